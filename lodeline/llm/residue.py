@@ -311,7 +311,7 @@ def recurrence(found: DataFrame) -> DataFrame:
     collide and never too many; everything is a sum, an or or a maximum, so a
     message that a third of all documents hold is aggregated before the shuffle.
     """
-    bit = F.shiftleft(F.lit(1).cast("bigint"), F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(64)).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(64)).cast("int"))
     return found.groupBy("message").agg(F.count(F.lit(1)).alias("documents"), F.bit_count(F.bit_or(bit)).alias("sources"), F.max("kind").alias("kind"), F.min("sample").alias("sample"))
 
 
