@@ -38,15 +38,24 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def strict_json(text: Column) -> Column:
+    """VARIANT of text that is one JSON value and nothing else; null otherwise.
+
+    The parser stops after a value, so the text is read as the only element of a list.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """Adds ``doc``: the unwrapped envelope as VARIANT; null where the value is null or not JSON.
 
     JSON text of JSON is parsed again; {schema, payload} is unwrapped.
     """
-    df = _once(raw, "_v", F.try_parse_json("value_json"))
-    again = F.coalesce(F.try_parse_json(F.try_variant_get("_v", "$", "string")), F.col("_v"))
+    df = _once(raw, "_v", strict_json(F.col("value_json")))
+    again = F.coalesce(strict_json(F.try_variant_get("_v", "$", "string")), F.col("_v"))
     df = _once(df, "_d", F.when(_kind("$", "_v") == "STRING", again).otherwise(F.col("_v"))).drop("_v")
-    inner = F.when(_kind("$.payload", "_d") == "STRING", F.try_parse_json(F.try_variant_get("_d", "$.payload", "string"))).otherwise(F.try_variant_get("_d", "$.payload", "variant"))
+    inner = F.when(_kind("$.payload", "_d") == "STRING", strict_json(F.try_variant_get("_d", "$.payload", "string"))).otherwise(F.try_variant_get("_d", "$.payload", "variant"))
     wrapped = _kind("$.schema", "_d").isNotNull() & _kind("$.payload", "_d").isNotNull()
     return _once(df, "doc", F.when(wrapped, inner).otherwise(F.col("_d"))).drop("_d")
 

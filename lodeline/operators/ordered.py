@@ -7,6 +7,10 @@ crosses a block's border is carried by one summary row per key and block.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,3 +32,41 @@ def carry(df: DataFrame, keys: list[str], block: str, order: list[str], columns:
     summary = summary.select(*keys, block, *[F.last(f"{n}__last", ignorenulls=True).over(across).alias(f"{n}__over") for n in columns])
     out = df.select("*", *[F.last(x, ignorenulls=True).over(inside).alias(f"{n}__in") for n, x in columns.items()]).join(summary, [*keys, block], "left")
     return out.select(*df.columns, *[F.coalesce(f"{n}__in", f"{n}__over").alias(n) for n in columns])
+
+
+def numbered(df: DataFrame, keys: list[str], block: str, order: list[str], name: str) -> DataFrame:
+    """Adds the row's number (from 0) in its key's order, counted inside blocks and offset by the counts of earlier blocks."""
+    inside = Window.partitionBy(*keys, block).orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*keys, block, F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
+    return df.withColumn("_in", F.row_number().over(inside) - 1).join(counts, [*keys, block]).select(*df.columns, (F.col("_in") + F.col("_before")).alias(name))
+
+
+def fold(df: DataFrame, key: str, order: list[str], columns: list[str], schema: str, step: Callable[[Any, tuple], tuple[Any, tuple]]) -> DataFrame:
+    """A sequential fold over each key's rows in order.
+
+    ``step(state, row)`` gives the next state and the row's results; the state is
+    None at a key's first row. Rows stream through in Arrow batches: a task holds
+    one batch and one state, never a whole key. Only for what can't be computed in
+    another way (hash chains, caps that depend on when a segment opened): a key's
+    rows pass through one task, however many tasks the others use.
+    """
+    slim = df.select(key, *order, *columns).repartition(key).sortWithinPartitions(key, *order)
+    names = [part.split()[0] for part in schema.split(",")]
+    width = 1 + len(order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current: Any = object()
+        state = None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                if row[0] != current:
+                    current, state = row[0], None
+                state, result = step(state, row)
+                out.append((*row[:width], *result))
+            yield pd.DataFrame(out, columns=[key, *order, *names])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:width])
+    return slim.mapInPandas(run, f"{kinds}, {schema}")
