@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Members that are lists, whatever they are written as.
@@ -299,6 +299,10 @@ def flat_rows(documents: DataFrame, plan: Plan, attributes: bool = True) -> Data
     return documents.select("source_table", "delivery_id", "text").mapInArrow(rows, ddl)
 
 
+def _without(names: list[str]) -> Column:
+    return F.map_filter("attributes", lambda k, v: ~k.isin(*names)) if names else F.col("attributes")
+
+
 def tables(documents: DataFrame, plan: Plan, columns: dict[str, list[str]]) -> dict[str, DataFrame]:
     """The named tables with one column per named attribute; the attributes not named stay in ``rest``."""
     rows = flat_rows(documents, plan)
@@ -308,7 +312,7 @@ def tables(documents: DataFrame, plan: Plan, columns: dict[str, list[str]]) -> d
         out[name] = own.select(
             "source_table", "delivery_id", "node_path", "parent_table", "parent_path",
             *[F.col("attributes")[c].alias(c.replace(".", "_")) for c in wanted],
-            F.map_filter("attributes", lambda k, v, w=tuple(wanted): ~k.isin(*w) if w else F.lit(True)).alias("rest"),
+            _without(wanted).alias("rest"),
         )
     return out
 

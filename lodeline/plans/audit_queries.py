@@ -74,7 +74,7 @@ def primary_keys(spark: SparkSession, root: str) -> DataFrame:
 
 _CELLS = f"""
 base as (select *, {_OBJECT} as object from normalized_change where operation in ('INSERT', 'UPDATE', 'DELETE')
-    and not exists (select 1 from (select unnest(list_concat(coalesce(json_extract(before_image, '$.*'), []), coalesce(json_extract(after_image, '$.*'), []))) as v) where json_type(v) = 'DOUBLE')),
+    and not exists (select 1 from (select unnest(list_concat(coalesce(json_extract(before_image, '$.*'), []), coalesce(json_extract(after_image, '$.*'), []))) as v) where json_type(v) = 'DOUBLE' and cast(v as double) <> floor(cast(v as double)))),
 names as (
   select change_id, unnest(list_distinct(list_concat(case when operation <> 'INSERT' then coalesce(json_keys(before_image), []) else [] end, case when operation <> 'DELETE' then coalesce(json_keys(after_image), []) else [] end))) as name from base),
 cells as (
@@ -99,7 +99,7 @@ def _items(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     return df.withColumn("fields", normalize.field_changes(F.col("_b.members"), F.col("_a.members"), F.col("operation"), F.col("schema_name"), F.col("object_name"), names))
 
 
-_PLAIN = lambda c: f"case when json_type({c}) in ('OBJECT', 'ARRAY', 'NULL') then null else {c} ->> '$' end"
+_PLAIN = lambda c: f"case when json_type({c}) in ('OBJECT', 'ARRAY', 'NULL') then null when json_type({c}) = 'DOUBLE' then cast(cast(cast({c} as double) as bigint) as varchar) else {c} ->> '$' end"
 
 
 @query(f"with {_CELLS} select change_id, \"column\", data_type, {_PLAIN('o')} as old, {_PLAIN('w')} as new from diff")
@@ -305,11 +305,11 @@ def segment_assign_aged(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(f"""with {SEALED}
-select envelope_id, row_number() over (order by commit_iso, seq, gtid, event_type, sha256(arrival::varchar), envelope_id) - 1 as place from hashed where db_id = 'db-1'""")
+select envelope_id, row_number() over (partition by db_id order by commit_iso, seq, gtid, event_type, sha256(arrival::varchar), envelope_id) - 1 as place from hashed""")
 def global_order(spark: SparkSession, root: str) -> DataFrame:
-    """The frozen order of one database's events. The number is by a global window: the feature is the place itself."""
-    rows = bridge.sealed(spark, root).where("db_id = 'db-1'").withColumn("schema_name", F.lit("events"))
-    return rows.select("envelope_id", (F.row_number().over(Window.partitionBy("db_id").orderBy(segments.order_key())) - 1).cast("bigint").alias("place"))
+    """The frozen order of each database's events; the place is the feature, so a database's events are ranked in one window."""
+    order = Window.partitionBy("db_id").orderBy(segments.order_key())
+    return bridge.sealed(spark, root).select("envelope_id", (F.row_number().over(order) - 1).cast("bigint").alias("place"))
 
 
 def _chained(spark: SparkSession, root: str) -> DataFrame:
@@ -553,11 +553,10 @@ def epoch_coverage(spark: SparkSession, root: str) -> DataFrame:
     return projection.epoch_coverage(once, expected).select("db_id", "object", "emitted_rows", "status")
 
 
-@query("select doc_id, 'sha256:' || sha256(coalesce(text, 'null')) as payload_hash from documents where text is null or text not like '%{%'")
+@query("select delivery_id, 'sha256:' || regexp_replace(lower(payload_hash), '^sha256:', '') as payload_hash from dlq where payload_hash is not null")
 def payload_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """Hash of every payload that isn't JSON; JSON payloads are hashed in key order and tested against brute force."""
-    d = read_table(spark, root, "documents").select("doc_id", "text", C.sha(C.stable(F.col("text"))).alias("payload_hash"))
-    return d.where(F.col("text").isNull() | ~F.contains("text", F.lit("{"))).select("doc_id", "payload_hash")
+    """The payload's hash in key order, of every dead letter that states one; the SQL gives the stated ones."""
+    return read_table(spark, root, "dlq").where(F.col("payload_hash").isNotNull()).select("delivery_id", C.sha(C.stable(F.col("original_payload"))).alias("payload_hash"))
 
 
 @query("select doc_id, sha256(nfc_normalize(text)) as nfc_hash from documents where text is not null")
