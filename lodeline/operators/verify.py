@@ -133,3 +133,18 @@ def key_state(uses: DataFrame, keys: DataFrame) -> DataFrame:
     df = uses.join(one, "key_id", "left")
     state = F.when(F.col("k").isNull(), "unknown").when(F.col("at_ms") < F.col("k.created_ms"), "not_yet_valid").when(F.col("at_ms") >= F.col("k.revoked_ms"), "revoked").otherwise("active")
     return df.withColumn("key_state", state).drop("k")
+
+
+def signature_failures(signed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Signatures that don't hold: the rows of ``signed`` with ``problem``.
+
+    signed: key_id, algorithm, message, signature (base64), at_ms. keys: key_id,
+    public_key, created_ms, revoked_ms. Problems: the key's state unless active,
+    another algorithm than ed25519, a signature that doesn't verify.
+    """
+    from lodeline.functions.ed25519 import verified
+
+    known = keys.groupBy("key_id").agg(F.min_by("public_key", F.struct("created_ms", "revoked_ms")).alias("public_key"))
+    df = key_state(signed, keys).join(known, "key_id", "left").withColumn("_ok", verified(F.col("public_key"), F.col("message"), F.col("signature")))
+    problem = F.when(F.col("key_state") != "active", F.col("key_state")).when(F.lower("algorithm") != "ed25519", "algorithm").when(~F.col("_ok"), "signature")
+    return df.withColumn("problem", problem).where(F.col("problem").isNotNull()).drop("_ok", "public_key", "key_state")
