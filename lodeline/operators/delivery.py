@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 def stream_identity(stream_id: Column) -> Column:
     """``ms-seq`` without blanks and leading zeros; a missing seq is 0.
 
-    Text of any other form stays as it is, without blanks. Null stays null.
+    Text of any other form stays as it is, without blanks. Null stays null, and
+    text of blanks alone is null.
     """
-    bare = F.regexp_replace(stream_id, r"\s+", "")
+    bare = F.nullif(F.regexp_replace(stream_id, r"\s+", ""), F.lit(""))
     form = r"^0*(\d+)(?:-0*(\d+))?$"
     seq = F.regexp_extract(bare, form, 2)
     return F.when(bare.rlike(form), F.concat(F.regexp_extract(bare, form, 1), F.lit("-"), F.when(seq == "", "0").otherwise(seq))).otherwise(bare)
@@ -32,11 +33,12 @@ def payload_identity(payload_hash: Column) -> Column:
 def item_identity(event_id: Column, engine: Column, offset_key: Column, payload_hash: Column) -> Column:
     """``dlq-`` and 32 lower-case hex digits.
 
-    A null event_id is derived from source_engine|offset_key|payload_hash (null
+    A null or blank event_id is derived from source_engine|offset_key|payload_hash (null
     engine and offset as empty text). Null where payload_hash is null as well:
     such a delivery has no identity and is never a repeat.
     """
-    given = F.concat(F.lit("dlq-"), F.regexp_replace(F.regexp_replace(F.lower(event_id), r"\s+", ""), "^dlq-", ""))
+    bare = F.nullif(F.regexp_replace(F.regexp_replace(F.lower(event_id), r"\s+", ""), "^dlq-", ""), F.lit(""))
+    given = F.concat(F.lit("dlq-"), bare)
     text = F.concat(F.coalesce(engine, F.lit("")), F.lit("|"), F.coalesce(offset_key, F.lit("")), F.lit("|"), payload_identity(payload_hash))
     return F.coalesce(given, F.concat(F.lit("dlq-"), F.substring(F.sha2(text, 256), 1, 32)))
 
@@ -52,7 +54,7 @@ def repeats(deliveries: DataFrame, item: list[str], best: Column, delivery: str
 
 
 def _raw_items(raw: DataFrame) -> tuple[DataFrame, list[str], Column]:
-    items = raw.where(F.col("stream_id").isNotNull()).select("delivery_id", F.coalesce("topic", F.lit("")).alias("topic"), stream_identity(F.col("stream_id")).alias("item"), "received_at")
+    items = raw.select("delivery_id", F.coalesce("topic", F.lit("")).alias("topic"), stream_identity(F.col("stream_id")).alias("item"), "received_at").where(F.col("item").isNotNull())
     # a null received_at counts as the latest
     return items, ["topic", "item"], F.struct(F.col("received_at").isNull().alias("n"), "received_at", "delivery_id")
 

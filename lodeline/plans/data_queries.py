@@ -103,7 +103,7 @@ where l.writes and not exists (
 """
 
 _ITEM = """
-coalesce('dlq-' || regexp_replace(regexp_replace(lower(event_id), '\\s+', '', 'g'), '^dlq-', ''),
+coalesce('dlq-' || nullif(regexp_replace(regexp_replace(lower(event_id), '\\s+', '', 'g'), '^dlq-', ''), ''),
   'dlq-' || left(sha256(coalesce(source_engine, '') || '|' || coalesce(offset_key, '') || '|sha256:' || regexp_replace(regexp_replace(lower(payload_hash), '\\s+', '', 'g'), '^sha256:', '')), 32))"""
 
 _RANKED = f"""
@@ -111,7 +111,7 @@ with raw as (
   select delivery_id, row_number() over (
     partition by topic, split_part(bare, '-', 1)::hugeint, coalesce(nullif(split_part(bare, '-', 2), ''), '0')::hugeint
     order by received_at nulls last, delivery_id) as n
-  from (select *, regexp_replace(stream_id, '\\s+', '', 'g') as bare from raw_source_event where stream_id is not null)),
+  from (select *, regexp_replace(stream_id, '\\s+', '', 'g') as bare from raw_source_event where trim(stream_id) <> '')),
 dead as (
   select delivery_id, row_number() over (partition by item order by last_seen desc nulls last, delivery_id desc) as n
   from (select *, {_ITEM} as item from dlq) where item is not null)

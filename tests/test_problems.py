@@ -218,16 +218,16 @@ def test_changelog(spark):
 def test_deliveries(spark):
     at = lambda s: T0 + timedelta(seconds=s)
     raw = spark.createDataFrame([
-        (1, "t", "5-0", at(3)), (2, "t", " 5", at(1)), (3, "t", "05-00\n", at(1)), (4, "u", "5-0", at(0)), (5, "t", None, at(0)), (6, "t", None, at(0)), (7, "t", "5-1", at(9)), (8, None, "5", at(1)), (9, None, "5-0", None), (10, "t", "odd", at(1)), (11, "t", "odd ", at(2)),
+        (1, "t", "5-0", at(3)), (2, "t", " 5", at(1)), (3, "t", "05-00\n", at(1)), (4, "u", "5-0", at(0)), (5, "t", None, at(0)), (6, "t", None, at(0)), (7, "t", "5-1", at(9)), (8, None, "5", at(1)), (9, None, "5-0", None), (10, "t", "odd", at(1)), (11, "t", "odd ", at(2)), (12, "t", " ", at(1)), (13, "t", "", at(1)),
     ], "delivery_id bigint, topic string, stream_id string, received_at timestamp")
     h = "ab" * 32
     derived = "dlq-" + __import__("hashlib").sha256(f"mysql||sha256:{h}".encode()).hexdigest()[:32]
     x = "0123456789abcdef" * 2
     dlq = spark.createDataFrame([
-        (1, f"dlq-{x}", "mysql", "o", None, at(1)), (2, f" DLQ-{x.upper()}", "mysql", "o", None, at(2)), (3, x, "mysql", "o", None, at(2)), (4, None, "mysql", None, h.upper(), at(1)), (5, derived, "mysql", "z", None, None), (6, None, "mysql", None, None, at(1)), (7, None, "mysql", None, None, at(1)),
+        (1, f"dlq-{x}", "mysql", "o", None, at(1)), (2, f" DLQ-{x.upper()}", "mysql", "o", None, at(2)), (3, x, "mysql", "o", None, at(2)), (4, None, "mysql", None, h.upper(), at(1)), (5, derived, "mysql", "z", None, None), (6, None, "mysql", None, None, at(1)), (7, " ", "mysql", None, None, at(1)), (8, "dlq- ", "mysql", None, h, at(0)),
     ], "delivery_id bigint, event_id string, source_engine string, offset_key string, payload_hash string, last_seen timestamp")
-    assert rows(delivery.p4_found(raw, dlq)) == sorted([("raw_source_event", 1), ("raw_source_event", 3), ("raw_source_event", 9), ("raw_source_event", 11), ("dlq", 1), ("dlq", 2), ("dlq", 5)], key=repr)
-    assert sorted(r["delivery_id"] for r in delivery.once_raw(raw).collect()) == [2, 4, 5, 6, 7, 8, 10]
+    assert rows(delivery.p4_found(raw, dlq)) == sorted([("raw_source_event", 1), ("raw_source_event", 3), ("raw_source_event", 9), ("raw_source_event", 11), ("dlq", 1), ("dlq", 2), ("dlq", 5), ("dlq", 8)], key=repr)
+    assert sorted(r["delivery_id"] for r in delivery.once_raw(raw).collect()) == [2, 4, 5, 6, 7, 8, 10, 12, 13]
     assert delivery.once_dlq(dlq).count() == 4
     assert rows(delivery.p4_found(raw.limit(0), dlq.limit(0))) == []
 
