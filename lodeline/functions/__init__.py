@@ -1 +1 @@
-
+"""Columns and column-like building blocks."""

@@ -253,8 +253,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str, columns:
     """Adds the right side's columns as of each left row: those of the latest right row with an equal key and a time not after it.
 
     Both sides are laid into one timeline, cut into blocks of ``block_ms`` (ts is in ms);
-    at equal times the right side counts. Left rows without a match get nulls.
-    Rows with null keys or times have no match.
+    at equal times the right side counts, of right rows at one time any one. Left rows without a match get
+    nulls, as have those with null keys or times.
     """
     names = left.columns
     a = left.select(F.struct(*names).alias("_l"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(ts).alias("_t"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("_r"))

@@ -1 +1 @@
-
+"""Reading and writing of objects and packages."""

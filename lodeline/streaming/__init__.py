@@ -1 +1 @@
-
+"""The stream form of the operators."""
