@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.llm.cells import TEXT, cells
+from lodeline.session import cut_lineage
 
 NONE, LIKELY, CERTAIN = 0, 1, 2
 
@@ -322,7 +323,8 @@ def flagged(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_source
     at least ``min_documents`` documents of ``min_sources`` sources. Null, empty and blank texts
     are never flagged; rows with equal doc_id count as one document.
     """
-    found = messages(documents)
+    # read once: the few classed messages are written to the shared folder, then used twice
+    found = cut_lineage(messages(documents).where(F.col("kind") != NONE).select("doc_id", "source", "message", "kind", "sample"))
     likely = found.where(F.col("kind") == LIKELY).select("doc_id", "source", "message", "kind", "sample")
     wide = recurrence(likely).where((F.col("documents") >= min_documents) & (F.col("sources") >= min_sources)).select("message")
     certain = found.where(F.col("kind") == CERTAIN).select("doc_id")
