@@ -96,7 +96,7 @@ def _integer(text: str) -> int:
 
 def _whole(text: str) -> int:
     value = float(text)
-    if value != int(value) or abs(value) > SAFE_INTEGER:
+    if abs(value) > SAFE_INTEGER or value != int(value):
         raise NotCanonical("not an integer")
     return int(value)
 

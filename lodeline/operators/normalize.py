@@ -2,6 +2,7 @@
 
 changes -> change items (canonical images, diff, mask) -> islands of one
 transaction -> events (id, hashes) -> guard (emit, duplicate, violation).
+A transaction with a change that has no canonical form is a dead letter.
 Only canonical form of open images runs in Python, in one Arrow UDF per row.
 """
 
@@ -77,7 +78,7 @@ def change_items(changes: DataFrame, names: list[str] | None = None) -> DataFram
 
     Needs operation, schema_name, object_name, pk, before_image, after_image
     (JSON text) and ddl_statement, ddl_effect. error is why an image has no
-    canonical form (floats, unsafe integers, clashing names, invalid JSON).
+    canonical form (floats, unsafe integers, clashing names, invalid JSON, no object).
     """
     names = names or []
     df = changes
@@ -94,7 +95,8 @@ def change_items(changes: DataFrame, names: list[str] | None = None) -> DataFram
     image = lambda name: C.image_object(masked_image(F.col(f"{name}.members"), schema, table, names))
     members = {"operation": C.token(op), "object": target, "before": image("_b"), "after": image("_a"), "field_changes": F.when(F.col("fields").isNotNull(), C.arr(field)), "ddl": ddl}
     item = C.obj(members, {"field_changes", "ddl"})
-    error = F.coalesce("_b.error", "_a.error", "_k.error")
+    shapeless = lambda name: F.when(F.col(f"{name}.members").isNull() & (F.col(f"{name}.text") != "null"), "not an object")
+    error = F.coalesce("_b.error", "_a.error", "_k.error", shapeless("_b"), shapeless("_a"))
     # the item stays open: its seq, the last member by name, is known when the transaction is complete
     return df.withColumn("item", F.regexp_replace(item, r"\}$", "")).withColumn("pk_text", F.col("_k.text")).withColumn("error", error).drop("_b", "_a", "_k")
 
@@ -132,6 +134,8 @@ def transactions(items: DataFrame, arrival: str = "change_id", max_changes: int
 
     A transaction of more than max_changes changes comes in parts 0, 1, ...; part
     is null for all others. Changes whose epoch_id isn't null stand alone.
+    errors (change_id, error) are the part's changes without a canonical form;
+    refused says whether any part of the transaction has one.
     """
     # the GTID is the key where there is one; it is a plain column, so looking back never computes an image
     keyed = items.withColumn("_key", F.when(F.col("gtid") != "", F.col("gtid")))
@@ -143,9 +147,11 @@ def transactions(items: DataFrame, arrival: str = "change_id", max_changes: int
         F.min_by(F.struct(*first), "_n").alias("first"),
         F.array_sort(F.collect_list(F.struct("_n", "item", "operation", "schema_name", "object_name", "pk_text"))).alias("changes"),
         F.count(F.lit(1)).alias("statement_count"),
+        F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct(F.col(arrival).alias("change_id"), "error")))).alias("errors"),
     )
+    refused = F.max(F.size("errors") > 0).over(Window.partitionBy("db_id", "island")).alias("refused")
     full = (F.col("_part") > 0) | (F.col("statement_count") == max_changes)
-    return grouped.select("db_id", "island", F.when(full, F.col("_part")).alias("part"), "first.*", "changes", "statement_count")
+    return grouped.select("db_id", "island", F.when(full, F.col("_part")).alias("part"), "first.*", "changes", "statement_count", "errors", refused)
 
 
 def unattested_fidelity(completeness_known: Column | None = None) -> Column:
@@ -169,8 +175,14 @@ def events(grouped: DataFrame, fidelity: Column | None = None, completeness: Col
     """Canonical events: envelope_id, schema_version, core (canonical JSON without evidence), event_hash.
 
     fidelity, completeness and actor are canonical tokens; left out, they say
-    what is known of an event nothing attests.
+    what is known of an event nothing attests. Refused transactions give none;
+    they are ``dead_letters``.
     """
+    return attempted(grouped, fidelity, completeness, actor).where(~F.col("refused")).drop("errors", "refused")
+
+
+def attempted(grouped: DataFrame, fidelity: Column | None = None, completeness: Column | None = None, actor: Column | None = None) -> DataFrame:
+    """``events`` with the refused transactions left in, which have neither id nor core nor hash."""
     fidelity = unattested_fidelity(F.col("epoch_id").isNotNull()) if fidelity is None else fidelity
     completeness = default_completeness() if completeness is None else completeness
     actor = F.lit(UNATTRIBUTED) if actor is None else actor
@@ -185,7 +197,15 @@ def events(grouped: DataFrame, fidelity: Column | None = None, completeness: Col
         "schema_version": C.token(F.col("schema_version")), "envelope_id": C.token(F.col("envelope_id")), "kind": F.lit('"transaction"'), "source": source, "transaction": tx,
         "offset": offset_object(), "fidelity": fidelity, "completeness": completeness, "actor": actor, "changes": C.arr(items),
     })
-    return df.withColumn("core", core).withColumn("event_hash", C.sha(F.col("core")))
+    df = df.withColumn("core", F.when(~F.col("refused"), core)).withColumn("event_hash", C.sha(F.col("core")))
+    return df.withColumn("envelope_id", F.when(~F.col("refused"), F.col("envelope_id")))
+
+
+def dead_letters(grouped: DataFrame) -> DataFrame:
+    """One row per refused transaction, whatever its parts: db_id, island, statement_count, failure_reason (the first change's), change_ids."""
+    whole = grouped.where("refused").groupBy("db_id", "island").agg(F.sum("statement_count").alias("statement_count"), F.array_sort(F.flatten(F.collect_list("errors"))).alias("errors"))
+    reason = F.concat(F.lit("serialization failed: "), F.col("errors")[0]["error"])
+    return whole.select("db_id", "island", "statement_count", reason.alias("failure_reason"), F.col("errors.change_id").alias("change_ids"))
 
 
 def prepared(changes: DataFrame, sources: DataFrame, names: list[str] | None = None) -> DataFrame:

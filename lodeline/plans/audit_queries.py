@@ -131,12 +131,14 @@ def tx_group(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def canonical_events(spark: SparkSession, root: str) -> DataFrame:
-    """Canonical events of the whole change feed with the guard's outcome."""
+    """Canonical events of the whole change feed with the guard's outcome, and its refused transactions (DEAD_LETTER, with reason and change ids)."""
     changes = read_table(spark, root, "normalized_change").withColumn("object_name", plain_object(F.col("object_name")))
-    built = normalize.events(normalize.transactions(normalize.prepared(changes, read_table(spark, root, "source_db"))))
+    built = normalize.attempted(normalize.transactions(normalize.prepared(changes, read_table(spark, root, "source_db"))))
     # the guard reads the events twice; their ids and hashes are computed once
-    slim = cut_lineage(built.select("db_id", "island", "envelope_id", "schema_version", "statement_count", "event_hash"))
-    return normalize.guarded(slim).select("db_id", "island", "envelope_id", "schema_version", "statement_count", "event_hash", "outcome")
+    slim = cut_lineage(built.select("db_id", "island", "envelope_id", "schema_version", "statement_count", "event_hash", "errors", "refused"))
+    kept = normalize.guarded(slim.where("not refused")).select("db_id", "island", "envelope_id", "schema_version", "statement_count", "event_hash", "outcome")
+    dead = normalize.dead_letters(slim).withColumn("outcome", F.lit("DEAD_LETTER"))
+    return kept.unionByName(dead, allowMissingColumns=True)
 
 
 @query(f"with {SEALED} select envelope_id, event_hash from hashed")

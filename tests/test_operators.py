@@ -1,6 +1,7 @@
 """Operators of the audit engine on small fixtures."""
 
 import base64
+import datetime
 import hashlib
 import json
 import random
@@ -190,6 +191,19 @@ def test_islands_and_parts(spark):
     assert [r["island"] // 40_000 for r in normalize.islands(df).orderBy("change_id").collect()] == [0, 0, 2, 3, 4, 5, 6, 6, 6]
 
 
+def test_changes_without_canonical_form_are_dead_letters(spark):
+    columns = "change_id bigint, db_id string, engine string, schema_name string, object_name string, primary_key string, operation string, before_image string, after_image string, ddl_statement string, ddl_effect string, gtid string, binlog_file string, binlog_pos bigint, snapshot_phase string, commit_ts timestamp, ingest_ts timestamp"
+    at = datetime.datetime(2026, 6, 1)
+    row = lambda n, gtid, after: (n, "d", "mysql", "s", "t", '{"id":1}', "INSERT", None, after, None, None, gtid, "b.1", n, "streaming", at, at)
+    good, bad = '{"id":1,"balance":"68.71"}', '{"id":1,"balance":68.71}'
+    rows = [row(1, "u:1", good), row(2, "u:2", good), row(3, "u:2", bad), row(4, "u:3", "[1]"), row(9, "u:5", '{"id":1e400}'), row(5, "u:4", good), row(6, "u:4", good), row(7, "u:4", good), row(8, "u:4", bad)]
+    items = normalize.prepared(spark.createDataFrame(rows, columns), spark.createDataFrame([("d", "srv")], "db_id string, server_uuid string"))
+    grouped = normalize.transactions(items, max_changes=2)
+    assert [r["gtid"] for r in normalize.events(grouped).collect()] == ["u:1"]
+    got = {r["island"]: (r["statement_count"], r["failure_reason"], r["change_ids"]) for r in normalize.dead_letters(grouped).collect()}
+    assert got == {2: (2, "serialization failed: not an integer", [3]), 4: (1, "serialization failed: not an object", [4]), 5: (4, "serialization failed: not an integer", [8]), 9: (1, "serialization failed: not an integer", [9])}
+
+
 def test_liveness_and_handoff(spark):
     a = spark.createDataFrame([("live", 990, True), ("idle", 990, False), ("idle2", 100, True), ("idle2", 990, False), ("stalled", 1, True), ("none", None, True)], "db_id string, at_ms bigint, is_event boolean")
     got = {r["db_id"]: r["liveness"] for r in completeness.liveness(a, 1000, stall_ms=600, idle_ms=200).collect()}
