@@ -7,6 +7,7 @@ one Arrow UDF, since NFC and recursive key order have no built-in.
 
 from __future__ import annotations
 
+import decimal
 import json
 import unicodedata
 
@@ -146,6 +147,72 @@ def canonical(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "members", "error"])
 
 
+class Literal(str):
+    """A JSON number that has no canonical form, written out exactly."""
+
+
+def _literal(text: str) -> Literal:
+    try:
+        value = decimal.Decimal(text).normalize(decimal.Context(prec=len(text)))
+        return Literal(format(value, "f") if -40 < value.adjusted() < 40 else str(value))
+    except ArithmeticError:
+        return Literal(text)
+
+
+def _any_number(text: str) -> int | Literal:
+    literal = _literal(text)
+    return int(literal) if len(literal) < 18 and literal.lstrip("-").isdigit() and abs(int(literal)) <= SAFE_INTEGER else literal
+
+
+def _any_members(pairs: list[tuple[str, object]]) -> dict:
+    raw = dict(pairs)
+    out = {unicodedata.normalize("NFC", k): v for k, v in raw.items()}
+    return out if len(out) == len(raw) else raw
+
+
+def _write_any(value) -> str:
+    if isinstance(value, Literal):
+        return str(value)
+    if isinstance(value, list):
+        return "[" + ",".join(map(_write_any, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_write(k)}:{_write_any(value[k])}" for k in sorted(value)) + "}"
+    return _write(_normal(value))
+
+
+def open_members(text: str) -> dict[str, str] | None:
+    """Tokens of an object's members, also where it has no canonical form: equal numbers have equal tokens, names that normalisation would make equal stay apart.
+
+    null has none; ``NotCanonical`` for text that isn't JSON or no object.
+    """
+    try:
+        # most images have a canonical form, whose tokens are the same and cost less
+        value = _normal(json.loads(text, parse_int=_integer, parse_float=_whole, parse_constant=_refuse, object_pairs_hook=_members))
+        if isinstance(value, dict):
+            return {k: _write(v) for k, v in value.items()}
+    except (ValueError, RecursionError):
+        pass
+    try:
+        value = json.loads(text, parse_int=_any_number, parse_float=_any_number, parse_constant=_refuse, object_pairs_hook=_any_members)
+        if value is not None and not isinstance(value, dict):
+            raise NotCanonical("not an object")
+        return value and {k: _write_any(v) for k, v in value.items()}
+    except (ValueError, RecursionError) as error:
+        raise NotCanonical(str(error)) from None
+
+
+@F.pandas_udf(T.StructType([T.StructField("members", T.MapType(T.StringType(), T.StringType())), T.StructField("error", T.StringType())]))
+def opened(texts: pd.Series) -> pd.DataFrame:
+    """struct(members, error) of JSON text by ``open_members``; both are null for null text."""
+    out = []
+    for t in texts:
+        try:
+            out.append((None if t is None else open_members(t), None))
+        except NotCanonical as error:
+            out.append((None, str(error)[:200]))
+    return pd.DataFrame(out, columns=["members", "error"])
+
+
 @F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Text in normal form C; null stays null."""

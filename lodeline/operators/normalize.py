@@ -25,10 +25,10 @@ ARRIVAL_BLOCK = 65_536
 
 
 def type_label(json_token: Column) -> Column:
-    """decimal, int, bool, string, json or null of a JSON token: decimals are strings with a point."""
+    """decimal, int, bool, string, json or null of a JSON token: decimals are strings with a point, and numbers that aren't whole."""
     return (
         F.when(json_token.isNull() | (json_token == "null"), "null").when(json_token.isin("true", "false"), "bool")
-        .when(json_token.rlike(r'^"-?\d+\.\d+"$'), "decimal").when(json_token.startswith('"'), "string")
+        .when(json_token.rlike(r'^"-?\d+\.\d+"$') | json_token.rlike(r"^-?\d+[.E]"), "decimal").when(json_token.startswith('"'), "string")
         .when(json_token.rlike(r"^[\[{]"), "json").otherwise("int")
     )
 

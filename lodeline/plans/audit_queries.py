@@ -89,14 +89,15 @@ diff as (
     then case when regexp_full_match(side ->> '$', '-?\\d+\\.\\d+') then 'decimal' else 'string' end else 'int' end as data_type from kept)"""
 
 
-def _items(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    changes = read_table(spark, root, "normalized_change").where(F.col("operation").isin(*normalize.ROW_OPERATIONS))
-    changes = changes.withColumn("object_name", plain_object(F.col("object_name"))).withColumn("pk", F.lit(None).cast("string"))
-    before, after = C.canonical(F.col("before_image")), C.canonical(F.col("after_image"))
+def _items(changes: DataFrame, names: list[str]) -> DataFrame:
+    """Row changes with their fields. The diff compares tokens, so images without a canonical form have one too; one that is no JSON object at all gives a single field of nulls."""
+    changes = changes.where(F.col("operation").isin(*normalize.ROW_OPERATIONS))
+    changes = changes.withColumn("object_name", plain_object(F.col("object_name")))
+    before, after = C.opened(F.col("before_image")), C.opened(F.col("after_image"))
     df = changes.select("change_id", "db_id", "schema_name", "object_name", "operation", before.alias("_b"), after.alias("_a"))
-    # images without a canonical form (floats, unsafe integers) have no diff; they are routed by their error
-    df = df.where(F.col("_b.error").isNull() & F.col("_a.error").isNull())
-    return df.withColumn("fields", normalize.field_changes(F.col("_b.members"), F.col("_a.members"), F.col("operation"), F.col("schema_name"), F.col("object_name"), names))
+    fields = normalize.field_changes(F.col("_b.members"), F.col("_a.members"), F.col("operation"), F.col("schema_name"), F.col("object_name"), names)
+    unknown = F.from_json(F.lit("[{}]"), "array<struct<path:string,old:string,new:string,data_type:string,sensitive:boolean,masked:boolean>>")
+    return df.withColumn("fields", F.when(F.coalesce("_b.error", "_a.error").isNull(), fields).otherwise(unknown))
 
 
 _PLAIN = lambda c: f"case when json_type({c}) in ('OBJECT', 'ARRAY', 'NULL') then null when json_type({c}) = 'DOUBLE' then cast(cast(cast({c} as double) as bigint) as varchar) else {c} ->> '$' end"
@@ -104,7 +105,8 @@ _PLAIN = lambda c: f"case when json_type({c}) in ('OBJECT', 'ARRAY', 'NULL') the
 
 @query(f"with {_CELLS} select change_id, \"column\", data_type, {_PLAIN('o')} as old, {_PLAIN('w')} as new from diff")
 def field_diff(spark: SparkSession, root: str) -> DataFrame:
-    table = projection.field_table(_items(spark, root, []))
+    """All row changes; the SQL leaves out those with a fractional number in an image."""
+    table = projection.field_table(_items(read_table(spark, root, "normalized_change"), []))
     plain = lambda c: F.when(~F.col(c).rlike(r"^[\[{]"), rules.bare_token(F.col(c)))
     return table.select("change_id", "column", "data_type", plain("old").alias("old"), plain("new").alias("new"))
 
@@ -114,9 +116,10 @@ secret as (select object_name as object, trim(unnest(string_split(sensitive_colu
 select change_id, "column", case when json_type(o) = 'NULL' then 'null' else '"***"' end as old, case when json_type(w) = 'NULL' then 'null' else '"***"' end as new, true as sensitive
 from diff where (object, "column") in (select (object, "column") from secret)""")
 def masking(spark: SparkSession, root: str) -> DataFrame:
+    """All row changes, as in field_diff; where an image is no JSON object, sensitive is null."""
     table = read_table(spark, root, "monitored_table").where(F.col("sensitive_columns").isNotNull())
     names = [f"{r['object_name']}.{c.strip()}" for r in bounded_rows(table.select("object_name", "sensitive_columns"), 10_000, "monitored_table") for c in r["sensitive_columns"].split(",")]
-    return projection.field_table(_items(spark, root, names)).where("sensitive").select("change_id", "column", "old", "new", "sensitive")
+    return projection.field_table(_items(read_table(spark, root, "normalized_change"), names)).where("coalesce(sensitive, true)").select("change_id", "column", "old", "new", "sensitive")
 
 
 @query("""with prev as (

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodeline.functions import canonical as C
 from lodeline.functions import ed25519, gtid, merkle
 from lodeline.operators import attest, completeness, deadletter, ingest, normalize, rules, segments, validate, verify
+from lodeline.plans import audit_queries
 from lodeline.sources import objects, sinks
 
 
@@ -204,6 +205,26 @@ def test_changes_without_canonical_form_are_dead_letters(spark):
     assert got == {2: (2, "serialization failed: not an integer", [3]), 4: (1, "serialization failed: not an object", [4]), 5: (4, "serialization failed: not an integer", [8]), 9: (1, "serialization failed: not an integer", [9])}
 
 
+def test_diff_and_mask_of_all_row_changes(spark, tmp_path):
+    columns = "change_id bigint, db_id string, schema_name string, object_name string, operation string, before_image string, after_image string"
+    rows = [
+        (1, "d", "s", "t", "UPDATE", '{"name":"a","n":68.710,"m":1e2}', '{"name":"b","n":68.71,"m":100}'),
+        (2, "d", "s", "t", "INSERT", None, '{"n":68.71,"name":"c"}'),
+        (3, "d", "s", "t", "UPDATE", '{"n":9007199254740993,"x":{"y":[0.50,1e400]}}', '{"n":9007199254740992,"x":{"y":[0.5,1E+400]}}'),
+        (4, "d", "s", "t", "DELETE", '{"n":', None),
+        (5, "d", "s", "t", "UPDATE", '{"n":"1"}', '{"n":"1"}'),
+    ]
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/normalized_change.parquet")
+    spark.createDataFrame([("t", "name, x")], "object_name string, sensitive_columns string").write.parquet(f"{tmp_path}/monitored_table.parquet")
+    got = sorted((tuple(r) for r in audit_queries.field_diff(spark, str(tmp_path)).collect()), key=str)
+    assert got == [
+        (1, "name", "string", "a", "b"), (2, "n", "decimal", None, "68.71"), (2, "name", "string", None, "c"),
+        (3, "n", "int", "9007199254740993", "9007199254740992"), (4, None, None, None, None),
+    ]
+    got = sorted((tuple(r) for r in audit_queries.masking(spark, str(tmp_path)).collect()), key=str)
+    assert got == [(1, "name", '"***"', '"***"', True), (2, "name", "null", '"***"', True), (4, None, None, None, None)]
+
+
 def test_liveness_and_handoff(spark):
     a = spark.createDataFrame([("live", 990, True), ("idle", 990, False), ("idle2", 100, True), ("idle2", 990, False), ("stalled", 1, True), ("none", None, True)], "db_id string, at_ms bigint, is_event boolean")
     got = {r["db_id"]: r["liveness"] for r in completeness.liveness(a, 1000, stall_ms=600, idle_ms=200).collect()}
