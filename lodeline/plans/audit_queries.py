@@ -515,8 +515,9 @@ def rule_cross_table(spark: SparkSession, root: str) -> DataFrame:
 
 @query("""select change_id, not (isodow(commit_ts) between 1 and 5 and hour(commit_ts) * 60 + minute(commit_ts) >= 480 and hour(commit_ts) * 60 + minute(commit_ts) < 1080) as outside from normalized_change where commit_ts is not null""")
 def rule_outside_hours(spark: SparkSession, root: str) -> DataFrame:
+    """Null for a change without a commit time: the rule can't decide it. The SQL leaves those out."""
     leaf = rules.LEAVES["outside_hours"]({"days": [1, 2, 3, 4, 5], "from": "08:00", "to": "18:00"})
-    return _observed(spark, root).where(F.col("ts").isNotNull()).select("change_id", leaf.alias("outside"))
+    return _observed(spark, root).select("change_id", leaf.alias("outside"))
 
 
 @query(f"""with f as ({ORACLES['rule_per_event']})
@@ -562,8 +563,8 @@ def epoch_coverage(spark: SparkSession, root: str) -> DataFrame:
 
 @query("select delivery_id, 'sha256:' || regexp_replace(lower(payload_hash), '^sha256:', '') as payload_hash from dlq where payload_hash is not null")
 def payload_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """The payload's hash in key order, of every dead letter that states one; the SQL gives the stated ones."""
-    return read_table(spark, root, "dlq").where(F.col("payload_hash").isNotNull()).select("delivery_id", C.sha(C.stable(F.col("original_payload"))).alias("payload_hash"))
+    """The payload's hash in key order, of every dead letter; the SQL gives the stated ones."""
+    return read_table(spark, root, "dlq").select("delivery_id", C.sha(C.stable(F.col("original_payload"))).alias("payload_hash"))
 
 
 @query("select doc_id, sha256(nfc_normalize(text)) as nfc_hash from documents where text is not null")

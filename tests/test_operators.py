@@ -280,6 +280,19 @@ def test_dead_letters(spark):
     assert deadletter.depth_alarm(deadletter.upserted(r), 2).first()["severity"] == "high" and deadletter.depth_alarm(deadletter.upserted(r), 3).count() == 0
 
 
+def test_rows_the_sql_cannot_decide(spark, tmp_path):
+    payloads = [(1, "stated", '{"b":1,"a":2}'), (2, None, '{"b":1,"a":[{"d":1,"c":2}]}'), (3, None, "no JSON"), (4, None, None)]
+    spark.createDataFrame(payloads, "delivery_id bigint, payload_hash string, original_payload string").write.parquet(f"{tmp_path}/dlq.parquet")
+    sha = lambda text: "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+    got = {r["delivery_id"]: r["payload_hash"] for r in audit_queries.payload_hashes(spark, str(tmp_path)).collect()}
+    assert got == {1: sha('{"a":2,"b":1}'), 2: sha('{"a":[{"c":2,"d":1}],"b":1}'), 3: sha("no JSON"), 4: sha("null")}
+
+    times = [datetime.datetime(2026, 6, 1, 9), datetime.datetime(2026, 6, 1, 20), datetime.datetime(2026, 6, 6, 9), None]  # a Monday, twice, and a Saturday
+    rows = [(n, "d", "t", "INSERT", None, "{}", at, "b.000001", n, 0) for n, at in enumerate(times)]
+    spark.createDataFrame(rows, "change_id bigint, db_id string, object_name string, operation string, before_image string, after_image string, commit_ts timestamp, binlog_file string, binlog_pos bigint, row_no int").write.parquet(f"{tmp_path}/normalized_change.parquet")
+    assert {r["change_id"]: r["outside"] for r in audit_queries.rule_outside_hours(spark, str(tmp_path)).collect()} == {0: False, 1: True, 2: True, 3: None}
+
+
 def test_rules(spark):
     df = spark.createDataFrame([(1, None, '{"a": 10}'), (2, True, '{"a": "12.5"}'), (3, False, "{}")], "n int, known boolean, after_image string")
     rule = {"id": "r", "base": 10, "when": {"any": [{"leaf": "field_value", "field": "a", "op": ">", "value": 11}, {"leaf": "flag", "column": "known"}]}, "modifiers": [{"add": 95, "when": {"leaf": "field_value", "field": "a", "op": "exists", "value": True}}]}
