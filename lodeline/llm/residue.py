@@ -2,9 +2,9 @@
 
 Text cells are cut into messages (paragraphs). Numbers, addresses and dates of
 a message are masked and it is normalised; equal messages have equal hashes, by
-which they are counted over documents and sources. Phrase and placeholder rules
-class a message: what a rule knows for certain counts wherever it occurs, what
-only looks like a notice counts if the message recurs widely.
+which all of them are counted over documents and sources. Groups that recur
+widely are classed by loose rules; beside this, what a rule knows for certain
+counts wherever it occurs, as most residue is unique.
 """
 
 from __future__ import annotations
@@ -173,9 +173,16 @@ _DATE = re.compile(r"\b\d{4}-\d\d?-\d\d?(?:[T ]\d\d?:\d\d(?::\d\d(?:\.\d+)?)?Z?)
 _NUMBER = re.compile(r"\b[0-9a-f]*\d[0-9a-f]*\b", re.I)
 _STATUS = re.compile(r"^(?:http\s+)?[45]\d\d\b", re.I)
 
-#: Words of notices; a message that begins with a status code and of which they are a third looks like an error page.
+#: Words of notices; a message of which they are a third looks like an error page.
 NOTICE_WORDS = frozenset("error page found unavailable denied forbidden expired permission maintenance timeout requests session refused gateway server".split())
 
+#: Words about scripts and about switching them on; a message with both looks like a script notice.
+SCRIPT_WORDS = frozenset("javascript js noscript script scripts scripting".split())
+SWITCH_WORDS = frozenset("activate activated allow blocked browser disabled enable enabled needed needs off required requires".split())
+
+#: Messages that only say that text is missing or to come.
+PENDING = frozenset("todo tbd tba comingsoon underconstruction tobeadded tobecompleted tobedone tobewritten fillmein writeme addtexthere textmissing".split())
+
 
 def squeezed(text: str) -> str:
     """Letters and digits alone, compatibility forms and case folded: what phrases are compared in."""
@@ -241,8 +248,8 @@ def filler(text: str) -> bool:
     return any(" ".join(_WORD.findall(s.casefold())) in FILLER_SENTENCES for s in _SENTENCE.split(text))
 
 
-def classify(message: str) -> int:
-    """CERTAIN, LIKELY or NONE for one message of a text cell."""
+def cleaned(message: str) -> str:
+    """A message on one line without formulas, code and quotations."""
     text = message
     if "`" in text:
         text = _SPAN.sub(" ", text)
@@ -250,7 +257,12 @@ def classify(message: str) -> int:
         text = _MATH.sub(" ", text)
     if '"' in text or "“" in text or "„" in text:
         text = _QUOTED.sub(" ", text)
-    text = " ".join(text.split())
+    return " ".join(text.split())
+
+
+def classify(message: str) -> int:
+    """CERTAIN, LIKELY or NONE for one message of a text cell."""
+    text = cleaned(message)
     if placeholder(text):
         return CERTAIN
     plain = _TAG.sub(" ", text) if "<" in text else text
@@ -264,6 +276,20 @@ def classify(message: str) -> int:
     return NONE
 
 
+def loosely(message: str) -> int:
+    """LIKELY or NONE by rules too loose for one message alone: notices by their words, slots of any name with hardly a word beside them, text to come."""
+    if len(message) >= 300:
+        return NONE
+    text = cleaned(message)
+    plain = _TAG.sub(" ", text) if "<" in text else text
+    words = _WORD.findall(plain.casefold())
+    known = [w for w in words if w in NOTICE_WORDS]
+    notice = len(set(known)) > 1 and 3 * len(known) >= len(words)
+    script = not SCRIPT_WORDS.isdisjoint(words) and not SWITCH_WORDS.isdisjoint(words)
+    slot = bool(_TRIGGER.search(text) and _NAMED.search(text)) and len(_WORD.findall(_NAMED.sub(" ", text))) < 4
+    return LIKELY if notice or script or slot or "".join(words) in PENDING else NONE
+
+
 def messages_of(text: str | None) -> Iterator[str]:
     """The messages of a document's text cells: paragraphs without marks of quotation."""
     for kind, body in cells(text):
@@ -285,7 +311,7 @@ def messages(documents: DataFrame) -> DataFrame:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, text, source in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                seen = set()
+                seen: dict[int, tuple] = {}
                 for message in messages_of(text):
                     normal = masked(message)
                     code = xxhash.xxh3_64_intdigest(normal) - (1 << 63)
@@ -295,40 +321,40 @@ def messages(documents: DataFrame) -> DataFrame:
                     if kind is None:
                         if len(memo) > 500_000:
                             memo.clear()
-                        kind = memo[own] = classify(message)
-                    if (code, kind) not in seen:
-                        seen.add((code, kind))
-                        for column, x in zip(out, (doc, source, code, kind, normal[:200] if kind else None), strict=True):
-                            column.append(x)
+                        kind = memo[own] = classify(message) or loosely(message)
+                    if code not in seen or kind > seen[code][3]:
+                        seen[code] = (doc, source, code, kind, normal[:200] if kind else None)
+                for row in seen.values():
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.string())], names=["doc_id", "source", "message", "kind", "sample"])
 
     return documents.select("doc_id", "text", "source").mapInArrow(run, "doc_id bigint, source string, message bigint, kind int, sample string")
 
 
 def recurrence(found: DataFrame) -> DataFrame:
-    """Each message over the corpus: message, documents, sources, kind, sample.
+    """Each message over the corpus: message, documents, sources, kind, classed (documents where a rule, loose or not, knows it), sample.
 
     Sources are counted by a bitmap of 64 hashed sources, exact while they don't
     collide and never too many; everything is a sum, an or or a maximum, so a
     message that a third of all documents hold is aggregated before the shuffle.
     """
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(64)).cast("int"))
-    return found.groupBy("message").agg(F.count(F.lit(1)).alias("documents"), F.bit_count(F.bit_or(bit)).alias("sources"), F.max("kind").alias("kind"), F.min("sample").alias("sample"))
+    return found.groupBy("message").agg(F.count(F.lit(1)).alias("documents"), F.bit_count(F.bit_or(bit)).alias("sources"), F.max("kind").alias("kind"), F.count_if(F.col("kind") != NONE).alias("classed"), F.min("sample").alias("sample"))
 
 
 def flagged(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_sources: int = MIN_SOURCES) -> DataFrame:
     """doc_id of each document that shows residue, filler, an error or a script notice, each id once.
 
-    Documents with a certain message, and those with a likely one that recurs in
-    at least ``min_documents`` documents of ``min_sources`` sources. Null, empty and blank texts
-    are never flagged; rows with equal doc_id count as one document.
+    Every message is counted, whatever its class. Documents with a message that recurs in at least ``min_documents``
+    documents of ``min_sources`` sources and that the rules, loose ones too, know in most of these; and documents with a
+    certain message, however rare. Null, empty and blank texts are never flagged; rows with equal doc_id count as one document.
     """
-    # read once: the few classed messages are written to the shared folder, then used twice
-    found = cut_lineage(messages(documents).where(F.col("kind") != NONE).select("doc_id", "source", "message", "kind", "sample"))
-    likely = found.where(F.col("kind") == LIKELY).select("doc_id", "source", "message", "kind", "sample")
-    wide = recurrence(likely).where((F.col("documents") >= min_documents) & (F.col("sources") >= min_sources)).select("message")
+    # read once: the messages' hashes are written to the shared folder, then used twice
+    found = cut_lineage(messages(documents))
+    wide = recurrence(found).where((F.col("documents") >= min_documents) & (F.col("sources") >= min_sources) & (2 * F.col("classed") > F.col("documents"))).select("message")
     certain = found.where(F.col("kind") == CERTAIN).select("doc_id")
-    return certain.unionByName(likely.select("doc_id", "message").join(wide, "message", "left_semi").select("doc_id")).distinct()
+    return found.select("doc_id", "message").join(wide, "message", "left_semi").select("doc_id").unionByName(certain).distinct()
 
 
 def exclude(documents: DataFrame, **limits: int) -> DataFrame:

@@ -196,5 +196,15 @@ def test_found_in_spark(spark):
     assert residue.exclude(df.select("doc_id", "text", "source"), min_documents=5).count() == len(docs) - len(got)
 
 
+def test_groups_that_recur_widely(spark):
+    loose = ["Your session was refused: gateway unavailable", "Viewer 12 requires scripts, so enable them", "Title: {some name}", "To be written"]
+    docs = [(10 * k + i, x.replace("12", str(i)), f"s{i % 3}") for k, x in enumerate(loose) for i in range(5)]
+    # widely, but no rule knows it; too rarely; in too few sources; and a group that is mostly something else
+    docs += [(100 + i, "Notes on tide levels", f"s{i}") for i in range(5)] + [(110 + i, "TODO", f"s{i}") for i in range(4)] + [(120 + i, "Coming soon", f"s{i % 2}") for i in range(5)]
+    docs += [(130 + i, f"see the value of __{'QUUX' if i == 0 else 'quux'}__ in here", f"s{i}") for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    assert sorted(r["doc_id"] for r in residue.flagged(df).collect()) == [10 * k + i for k in range(4) for i in range(5)] + [130]
+
+
 def test_masking():
     assert residue.masked("Ref  12ab at 2017-03-01T10:00:00Z from 10.0.0.1, see https://x.y/z") == "ref # at #date from #address, see #address"
