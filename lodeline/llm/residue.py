@@ -335,12 +335,12 @@ def messages(documents: DataFrame) -> DataFrame:
 def recurrence(found: DataFrame) -> DataFrame:
     """Each message over the corpus: message, documents, sources, kind, classed (documents where a rule, loose or not, knows it), sample.
 
-    Sources are counted by a bitmap of 64 hashed sources, exact while they don't
-    collide and never too many; everything is a sum, an or or a maximum, so a
-    message that a third of all documents hold is aggregated before the shuffle.
+    Sources are counted exactly (null and the empty one are one source): each pair of message and source is aggregated
+    before the shuffle, so a message that a third of all documents hold is a row per source and task.
     """
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(64)).cast("int"))
-    return found.groupBy("message").agg(F.count(F.lit(1)).alias("documents"), F.bit_count(F.bit_or(bit)).alias("sources"), F.max("kind").alias("kind"), F.count_if(F.col("kind") != NONE).alias("classed"), F.min("sample").alias("sample"))
+    pairs = found.groupBy("message", F.coalesce("source", F.lit("")).alias("source")).agg(
+        F.count(F.lit(1)).alias("documents"), F.max("kind").alias("kind"), F.count_if(F.col("kind") != NONE).alias("classed"), F.min("sample").alias("sample"))
+    return pairs.groupBy("message").agg(F.sum("documents").alias("documents"), F.count(F.lit(1)).cast("int").alias("sources"), F.max("kind").alias("kind"), F.sum("classed").alias("classed"), F.min("sample").alias("sample"))
 
 
 def flagged(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_sources: int = MIN_SOURCES) -> DataFrame:

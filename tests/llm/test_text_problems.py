@@ -206,5 +206,10 @@ def test_groups_that_recur_widely(spark):
     assert sorted(r["doc_id"] for r in residue.flagged(df).collect()) == [10 * k + i for k in range(4) for i in range(5)] + [130]
 
 
+def test_sources_are_counted_exactly(spark):
+    found = spark.createDataFrame([(i, None if i == 0 else "" if i == 1 else f"s{i}", 7, 0, None) for i in range(100)] + [(200, "s5", 7, 0, None)], "doc_id bigint, source string, message bigint, kind int, sample string")
+    assert [(r["documents"], r["sources"]) for r in residue.recurrence(found).collect()] == [(101, 99)]
+
+
 def test_masking():
     assert residue.masked("Ref  12ab at 2017-03-01T10:00:00Z from 10.0.0.1, see https://x.y/z") == "ref # at #date from #address, see #address"
