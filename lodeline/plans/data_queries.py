@@ -158,9 +158,9 @@ union all
 select 'snapshots', db_id, 'users', cast(id as varchar), ts, lead(ts, 1, -1) over (partition by db_id, id order by ts) from starts
 """
 
-_P2 = f"""
-with images as (
-  select db_id, {_OBJECT} as object, {_FILE} as file_no, binlog_file, after_image from normalized_change where after_image is not null),
+_FIELDS = f"""
+images as (
+  select change_id, db_id, {_OBJECT} as object, {_FILE} as file_no, binlog_file, after_image from normalized_change where after_image is not null),
 cells as (
   select i.*, k.name, json_extract(after_image, '$."' || k.name || '"') as value
   from images i, lateral (select unnest(json_keys(after_image)) as name) k),
@@ -176,18 +176,25 @@ lost as (
 new as (
   select v.*, f.name from versions v join fields f on f.db_id = v.db_id and f.object = v.object and f.file_no = v.file_no
   where v.prev_no is not null and not exists (select 1 from fields g where g.db_id = v.db_id and g.object = v.object and g.file_no = v.prev_no and g.name = f.name)),
-pairs as (select l.db_id, l.object, l.file_no, l.prev_no, l.name as lost, n.name as new from lost l join new n on n.db_id = l.db_id and n.object = l.object and n.file_no = l.file_no),
-rows as (select p.db_id, p.object, p.file_no, p.lost, p.new, count(distinct a.row_key) as kept
+pairs as (select l.db_id, l.object, l.file_no, l.name as lost, n.name as new from lost l join new n on n.db_id = l.db_id and n.object = l.object and n.file_no = l.file_no),
+-- every value a row of such an object was ever written with
+written as (
+  select distinct t.db_id, t.object, t.file_no, t.name, t.value::varchar as value, {_key('after_image')} as row_key
+  from (select t.*, m.pk_columns as pk from typed t join monitored_table m on m.object_name = t.object
+    where t.kind is not null and (t.db_id, t.object, t.name) in (select (db_id, object, lost) from pairs union all select (db_id, object, new) from pairs)) t),
+rows as (
+  select p.db_id, p.object, p.file_no, p.lost, p.new, count(distinct a.row_key) as kept
   from pairs p
-  join (select t.*, {_key('after_image')} as row_key from (select t.*, m.pk_columns as pk from typed t join monitored_table m on m.object_name = t.object where (t.db_id, t.object) in (select (db_id, object) from pairs)) t) a
-    on a.db_id = p.db_id and a.object = p.object and a.file_no = p.prev_no and a.name = p.lost and a.kind is not null
-  join (select t.*, {_key('after_image')} as row_key from (select t.*, m.pk_columns as pk from typed t join monitored_table m on m.object_name = t.object where (t.db_id, t.object) in (select (db_id, object) from pairs)) t) b
-    on b.db_id = p.db_id and b.object = p.object and b.file_no = p.file_no and b.name = p.new and b.row_key = a.row_key and b.value = a.value
+  join written a on a.db_id = p.db_id and a.object = p.object and a.name = p.lost and a.file_no < p.file_no
+  join written b on b.db_id = p.db_id and b.object = p.object and b.name = p.new and b.file_no >= p.file_no and b.row_key = a.row_key and b.value = a.value
   group by all),
 best as (
   select * from rows
   qualify row_number() over (partition by db_id, object, file_no, lost order by kept desc, new) = 1
-    and row_number() over (partition by db_id, object, file_no, new order by kept desc, lost) = 1)
+    and row_number() over (partition by db_id, object, file_no, new order by kept desc, lost) = 1)"""
+
+_P2 = f"""
+with {_FIELDS}
 select b.db_id, b.object as object_name, v.binlog_file, 'renamed' as change_kind, b.new as field_name, b.lost as old_name from best b join versions v on v.db_id = b.db_id and v.object = b.object and v.file_no = b.file_no
 union all
 select l.db_id, l.object, l.binlog_file, 'removed', l.name, '' from lost l where not exists (select 1 from best b where b.db_id = l.db_id and b.object = l.object and b.file_no = l.file_no and b.lost = l.name)
@@ -200,4 +207,20 @@ select v.db_id, v.object, v.binlog_file, 'retyped', f.name, '' from versions v
 where f.kinds <> g.kinds
 """
 
-ORACLES = {"p2_found": _P2, "p3_found": _P3, "p3_rows": _P3, "p4_found": _P4, "p4_once": _P4_ONCE, "p5_found": _P5}
+_P2_UNIFIED = f"""
+with recursive {_FIELDS},
+named as (
+  select db_id, object, file_no, name, file_no as at_no, name as latest from fields
+  union all
+  select n.db_id, n.object, n.file_no, n.name, b.file_no, b.new from named n join best b on b.db_id = n.db_id and b.object = n.object and b.lost = n.latest and b.file_no > n.at_no
+    and not exists (select 1 from best c where c.db_id = b.db_id and c.object = b.object and c.lost = b.lost and c.file_no > n.at_no and c.file_no < b.file_no)),
+latest as (select db_id, object, file_no, name, arg_max(latest, at_no) as latest from named group by all),
+moved as (
+  select t.change_id, l.latest, t.value, l.latest = t.name as own from typed t join latest l on l.db_id = t.db_id and l.object = t.object and l.file_no = t.file_no and l.name = t.name where t.kind is not null),
+one as (select * from moved m qualify own or not bool_or(own) over (partition by change_id, latest))
+select i.change_id, i.db_id, i.object as object_name, i.binlog_file,
+  (select '{{' || coalesce(string_agg(to_json(latest) || ':' || to_json(value ->> '$'), ',' order by latest), '') || '}}' from one o where o.change_id = i.change_id) as fields
+from images i
+"""
+
+ORACLES = {"p2_found": _P2, "p2_unified": _P2_UNIFIED, "p3_found": _P3, "p3_rows": _P3, "p4_found": _P4, "p4_once": _P4_ONCE, "p5_found": _P5}

@@ -15,14 +15,20 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests,
-    notebooks) a temporary folder is set, once per session.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset and the
+    session is a single process (tests, notebooks), a temporary folder is set,
+    once per session; on a cluster a missing setting is an error, as a folder of
+    one machine isn't shared.
     """
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(named)
         return named
-    context = spark.sparkContext
     if not context.getCheckpointDir():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodeline-"))
     return context.getCheckpointDir()
 
