@@ -2,10 +2,13 @@
 
 The first pass analyses the schema graph: element types (the root ``$``, else
 the member's name) and edges between them. A type gets a table of its own if it
-is repeated (below a list), shared (below several types) or recursive; every
-other type is inlined into the columns of the type it is below. The second pass
-writes one row per element of a tabled type, with the foreign keys
-(source_table, delivery_id, parent_path).
+is repeated (below a list) or shared (below several types); every other type is
+inlined into the columns of the type it is below. A recursive type needs no rule
+of its own: all types are reached from the root, so each cycle is entered from
+outside and holds a type with two parents, which is shared; inlining stops there.
+The second pass writes one row per element of a tabled type, with its number in
+the document (node) and the foreign key (source_table, delivery_id, parent_node).
+What an element belongs to is read from the foreign keys alone.
 
 Documents are irregular (lists written as JSON text, bare objects for lists of
 one, wrapped envelopes), so both passes parse them in Arrow batches in Python.
@@ -15,8 +18,10 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from decimal import Decimal
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,8 +33,8 @@ LIST_MEMBERS = (
     "tableChanges", "columns", "data_collections", "changes", "field_changes", "tables",
 )
 
-#: Singleton types whose place in the schema graph is looked up; types beyond are inlined. Lists always get tables.
-MAX_TYPES = 20_000
+#: Names of tabled types that every task is handed whole; with more, each document is joined to the types it has.
+MAX_PLAN = 50_000
 
 ROOT = "$"
 
@@ -42,20 +47,100 @@ def _no_constant(name: str):
     raise Invalid(name)
 
 
+def _whole(text: str):
+    """An integer of any length; Python's int reads no more than some thousand digits."""
+    return int(text) if len(text) < 4000 else Decimal(text)
+
+
+# numbers keep the digits they are written with
+_DECODER = json.JSONDecoder(parse_constant=_no_constant, parse_int=_whole, parse_float=Decimal)
+_BLANK = json.decoder.WHITESPACE
+_NUMBER = json.scanner.NUMBER_RE
+_ATOMS = {"t": ("true", True), "f": ("false", False), "n": ("null", None)}
+
+
 def _load(text: str):
     try:
-        return json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+        return _DECODER.decode(text)
+    except RecursionError:
+        return _load_deep(text)
+    except ValueError:
         raise Invalid from None
 
 
+def _load_deep(text: str):
+    """What the decoder gives, by a loop with a stack: for documents that nest deeper than it can call itself."""
+    at, stack, out = 0, [], []
+    blank = lambda i: _BLANK.match(text, i).end()
+    place, key = out, None  # where the next value goes
+    try:
+        while True:
+            at = blank(at)
+            c = text[at]
+            opened = None
+            if c in "{[":
+                value = opened = {} if c == "{" else []
+                at += 1
+            elif c == '"':
+                value, at = scanstring(text, at + 1, True)
+            elif c in _ATOMS and text.startswith(_ATOMS[c][0], at):
+                value, at = _ATOMS[c][1], at + len(_ATOMS[c][0])
+            elif m := _NUMBER.match(text, at):
+                value = Decimal(m.group()) if m.group(2) or m.group(3) else _whole(m.group())
+                at = m.end()
+            else:
+                raise Invalid
+            if isinstance(place, dict):
+                place[key] = value
+            else:
+                place.append(value)
+            if opened is not None:
+                stack.append(place)
+                place = opened
+                at = blank(at)
+                if text[at] == ("}" if isinstance(place, dict) else "]"):
+                    at += 1
+                else:
+                    if isinstance(place, dict):
+                        key, at = _member(text, at, blank)
+                    continue
+                place = stack.pop()
+            while stack:
+                at = blank(at)
+                c = text[at]
+                at += 1
+                if c == ",":
+                    if isinstance(place, dict):
+                        key, at = _member(text, blank(at), blank)
+                    break
+                if c != ("}" if isinstance(place, dict) else "]"):
+                    raise Invalid
+                place = stack.pop()
+            else:
+                if blank(at) != len(text):
+                    raise Invalid
+                return out[0]
+    except (IndexError, ValueError):
+        raise Invalid from None
+
+
+def _member(text: str, at: int, blank) -> tuple[str, int]:
+    if text[at] != '"':
+        raise Invalid
+    key, at = scanstring(text, at + 1, True)
+    at = blank(at)
+    if text[at] != ":":
+        raise Invalid
+    return key, at + 1
+
+
 def read_document(text: str | None):
     """The document to read, or ``Invalid``.
 
     A JSON string that holds JSON is read as the inner JSON. With both members
     schema and payload only payload is read, itself perhaps JSON text. Null,
-    blank and invalid text, NaN and Infinity, and nesting beyond the parser's
-    depth are invalid.
+    blank and invalid text, NaN and Infinity are invalid. Nesting may be of any
+    depth, numbers of any length.
     """
     if text is None:
         raise Invalid
@@ -84,7 +169,7 @@ def as_list(value):
 
 @dataclass(frozen=True)
 class Plan:
-    """The tabled singleton types; repeated types always are. lists: the members that are lists."""
+    """The types that have tables, besides the root; what has none is inlined. lists: the members that are lists."""
 
     tabled: frozenset[str] = frozenset()
     lists: frozenset[str] = field(default_factory=lambda: frozenset(LIST_MEMBERS))
@@ -116,34 +201,41 @@ def edges(doc, lists: frozenset[str], out: Counter) -> None:
                     todo.append((kind + "[]", x, kind))
 
 
-def shred(doc, plan: Plan, attributes: bool):
-    """Rows (type, node_path, parent_type, parent_path, parent_element, is_element, is_object, attributes) of one document.
+def _text(value) -> str:
+    """A value of an attribute: strings as they are, other values as JSON."""
+    if isinstance(value, str):
+        return value
+    return str(value) if isinstance(value, Decimal) else json.dumps(value, default=str)
+
+
+def shred(doc, plan: Plan, attributes: bool) -> Iterator[tuple]:
+    """Rows (type, node, node_path, parent_type, parent_node, is_element, is_object, attributes) of one document.
 
-    node_path joins member names with ``.``, list positions from 0 in brackets.
-    parent_path is the node_path of the nearest enclosing row, parent_element
-    that of the nearest enclosing object that is an element of a list ('' if
-    none). attributes holds the inlined members by their path from the row;
-    strings as they are, other values as JSON.
+    Rows come parents first; node counts them. node_path joins member names with
+    ``.``, list positions from 0 in brackets. parent_node is the node of the
+    nearest enclosing row. attributes holds the inlined members by their path
+    from the row; a list whose type has no table is a value like others.
     """
-    out = []
-    # type, value, path, parent type, parent path, parent element, element?
-    todo = [(ROOT, doc, "", None, None, "", False)]
+    node = 0
+    # type, value, path, parent type, parent node, element?
+    todo = [(ROOT, doc, "", None, None, False)]
     while todo:
-        kind, value, path, ptype, ppath, pelement, is_element = todo.pop()
+        kind, value, path, ptype, pnode, is_element = todo.pop()
         if isinstance(value, list):
+            inner = kind + "[]"
             for i in range(len(value) - 1, -1, -1):
                 x = value[i]
-                if isinstance(x, list):
-                    todo.append((kind + "[]", x, f"{path}[{i}]", ptype, ppath, pelement, False))
+                if isinstance(x, list) and inner in plan.tabled:
+                    todo.append((inner, x, f"{path}[{i}]", ptype, pnode, False))
                 elif isinstance(x, dict) or attributes:
-                    todo.append((kind, x, f"{path}[{i}]", ptype, ppath, pelement, True))
+                    todo.append((kind, x if not isinstance(x, list) else json.dumps(x, default=str), f"{path}[{i}]", ptype, pnode, True))
             continue
         if not isinstance(value, dict):
             if attributes:
-                out.append((kind, path, ptype, ppath, pelement, is_element, False, [("value", value if isinstance(value, str) else json.dumps(value))] if value is not None else []))
+                yield kind, node, path, ptype, pnode, is_element, False, [("value", _text(value))] if value is not None else []
+                node += 1
             continue
         own = [] if attributes else None
-        element = path if is_element else pelement
         later = []
         inline = [("", path, value)]
         while inline:
@@ -151,20 +243,32 @@ def shred(doc, plan: Plan, attributes: bool):
             for name, y in x.items():
                 if name in plan.lists:
                     y = as_list(y)
-                if isinstance(y, list):
-                    if y:
-                        later.append((name, y, f"{at}.{name}" if at else name, kind, path, element, False))
-                elif isinstance(y, dict):
-                    to = f"{at}.{name}" if at else name
+                if isinstance(y, (list, dict)):
                     if name in plan.tabled:
-                        later.append((name, y, to, kind, path, element, False))
-                    else:
-                        inline.append((f"{prefix}{name}.", to, y))
+                        later.append((name, y, f"{at}.{name}" if at else name, kind, node, False))
+                    elif isinstance(y, dict):
+                        inline.append((f"{prefix}{name}.", f"{at}.{name}" if at else name, y))
+                    elif attributes:
+                        own.append((prefix + name, _text(y)))
                 elif attributes and y is not None:
-                    own.append((prefix + name, y if isinstance(y, str) else json.dumps(y)))
-        out.append((kind, path, ptype, ppath, pelement, is_element, True, own))
+                    own.append((prefix + name, _text(y)))
+        yield kind, node, path, ptype, pnode, is_element, True, own
+        node += 1
         todo.extend(reversed(later))
-    return out
+
+
+def followed(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """Adds to each row of ``shred`` the node_path of the nearest object above that is an element of a list, '' if none.
+
+    It is found by the foreign keys: the parent's row if that is one, else what
+    holds for the parent.
+    """
+    near: list[str] = []
+    for row in rows:
+        parent = row[4]
+        above = "" if parent is None else near[parent]
+        near.append(row[2] if row[5] and row[6] else above)
+        yield (*row, above)
 
 
 def schema_graph(documents: DataFrame, lists: tuple[str, ...] = LIST_MEMBERS) -> DataFrame:
@@ -203,114 +307,119 @@ def _edge_batch(total: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns[:4]], pa.array(columns[4], pa.int64())], names=["source_table", "parent_type", "type", "kind", "n"])
 
 
-def inlining_plan(graph: DataFrame, lists: tuple[str, ...] = LIST_MEMBERS) -> Plan:
-    """Which singleton types get tables: the shared, the recursive, and those that also occur as lists.
+def tabled_types(graph: DataFrame) -> DataFrame:
+    """The types with tables of their own (column type): those that occur as lists and those below several types."""
+    edges_ = graph.where(F.col("kind") != "value").groupBy("parent_type", "type").agg(F.bool_or(F.col("kind") == "list").alias("repeated"))
+    types = edges_.groupBy("type").agg(F.count(F.lit(1)).alias("parents"), F.bool_or("repeated").alias("repeated"))
+    return types.where((F.col("parents") > 1) | F.col("repeated")).select("type")
 
-    Only edges between object types matter, at most MAX_TYPES of the most
-    frequent are brought to the driver; types beyond these (member names that
-    are data) are inlined. No element is lost by that: inlining keeps all values.
-    """
-    rows = graph.where(F.col("kind") != "value").groupBy("parent_type", "type").agg(F.sum("occurrences").alias("n"), F.bool_or(F.col("kind") == "list").alias("repeated"))
-    rows = rows.orderBy(F.desc("n"), "parent_type", "type").limit(MAX_TYPES).collect()
-    parents: dict[str, set[str]] = {}
-    children: dict[str, set[str]] = {}
-    tabled = set()
-    for r in rows:
-        parents.setdefault(r["type"], set()).add(r["parent_type"])
-        children.setdefault(r["parent_type"], set()).add(r["type"])
-        if r["repeated"]:
-            tabled.add(r["type"])
-    tabled |= {t for t, p in parents.items() if len(p) > 1} | _on_cycles(children)
-    return Plan(frozenset(tabled), frozenset(lists))
-
-
-def _on_cycles(children: dict[str, set[str]]) -> set[str]:
-    """Types that lie on a cycle: Tarjan's components of more than one type, or with an edge to themselves."""
-    index: dict[str, int] = {}
-    low: dict[str, int] = {}
-    stack: list[str] = []
-    on: set[str] = set()
-    out: set[str] = set()
-    for root in list(children):
-        if root in index:
-            continue
-        work = [(root, iter(children.get(root, ())))]
-        index[root] = low[root] = len(index)
-        stack.append(root)
-        on.add(root)
-        while work:
-            node, rest = work[-1]
-            step = next(rest, None)
-            if step is None:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == index[node]:
-                    part = []
-                    while True:
-                        x = stack.pop()
-                        on.discard(x)
-                        part.append(x)
-                        if x == node:
-                            break
-                    if len(part) > 1 or node in children.get(node, ()):
-                        out.update(part)
-            elif step not in index:
-                index[step] = low[step] = len(index)
-                stack.append(step)
-                on.add(step)
-                work.append((step, iter(children.get(step, ()))))
-            elif step in on:
-                low[node] = min(low[node], index[step])
-    return out
 
+_ROWS = {
+    "source_table": pa.string(), "delivery_id": pa.int64(), "table": pa.string(), "node": pa.int64(), "node_path": pa.string(), "parent_table": pa.string(), "parent_node": pa.int64(),
+    "is_element": pa.bool_(), "is_object": pa.bool_(), "attributes": pa.map_(pa.string(), pa.string()), "parent_path": pa.string(),
+}
 
-def flat_rows(documents: DataFrame, plan: Plan, attributes: bool = True) -> DataFrame:
+
+def flat_rows(documents: DataFrame, tabled: DataFrame, lists: tuple[str, ...] = LIST_MEMBERS, attributes: bool = True, max_plan: int = MAX_PLAN) -> DataFrame:
     """All rows of all tables.
 
-    Columns: source_table, delivery_id, table, node_path, parent_table,
-    parent_path, parent_element, is_element, is_object and, unless left out,
-    attributes map<string,string>. The root's row has a null parent. Documents
-    that are invalid give no rows.
+    Columns: source_table, delivery_id, table, node, node_path, parent_table,
+    parent_node, is_element, is_object, parent_path (of the nearest object above
+    that is an element of a list, '' if none) and, unless left out, attributes
+    map<string,string>. The root's row has a null parent. Documents that are
+    invalid give no rows; ``refused`` names them.
+
+    Up to ``max_plan`` types (checked) are handed to every task; beyond, each
+    document is joined to those of its own types that have tables. Both give the
+    same rows.
     """
-    kinds = [("source_table", pa.string()), ("delivery_id", pa.int64()), ("table", pa.string()), ("node_path", pa.string()), ("parent_table", pa.string()), ("parent_path", pa.string()), ("parent_element", pa.string()), ("is_element", pa.bool_()), ("is_object", pa.bool_())]
-    if attributes:
-        kinds.append(("attributes", pa.map_(pa.string(), pa.string())))
-    schema = pa.schema(kinds)
-    ddl = "source_table string, delivery_id bigint, table string, node_path string, parent_table string, parent_path string, parent_element string, is_element boolean, is_object boolean" + (", attributes map<string,string>" if attributes else "")
+    schema = pa.schema([(n, t) for n, t in _ROWS.items() if attributes or n != "attributes"])
+    ddl = ", ".join(f"{n} {'map<string,string>' if n == 'attributes' else {'int64': 'bigint', 'bool': 'boolean'}.get(str(schema.field(n).type), 'string')}" for n in schema.names)
+    known = frozenset(lists)
+    names = [r["type"] for r in tabled.limit(max_plan + 1).collect()]
+    whole = Plan(frozenset(names), known) if len(names) <= max_plan else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer: list[list] = [[] for _ in schema]
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(buffer, schema, strict=True)], schema=schema)
         for batch in batches:
-            buffer: list[list] = [[] for _ in schema]
-            for source, delivery, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            for source, delivery, text, *own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 try:
                     doc = read_document(text)
                 except Invalid:
                     continue
-                for row in shred(doc, plan, attributes):
-                    for column, x in zip(buffer, (source, delivery, *row), strict=False):
+                plan = whole or Plan(frozenset(own[0] or ()), known)
+                for row in followed(shred(doc, plan, attributes)):
+                    for column, x in zip(buffer, (source, delivery, *(row if attributes else (*row[:7], row[8]))), strict=True):
                         column.append(x)
-                if len(buffer[0]) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(buffer, schema, strict=True)], schema=schema)
-                    buffer = [[] for _ in schema]
-            if buffer[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(buffer, schema, strict=True)], schema=schema)
+                    if len(buffer[0]) >= 20_000:
+                        yield give()
+                        buffer = [[] for _ in schema]
+        if buffer[0]:
+            yield give()
+
+    read = documents.select("source_table", "delivery_id", "text")
+    if whole is None:
+        read = read.join(_own_types(documents, tabled, known), ["source_table", "delivery_id"], "left").select(*read.columns, "types")
+    return read.mapInArrow(rows, ddl)
+
+
+#: Parts of the rows of one type where documents are joined to their types.
+SALT = 32
+
 
-    return documents.select("source_table", "delivery_id", "text").mapInArrow(rows, ddl)
+def _own_types(documents: DataFrame, tabled: DataFrame, lists: frozenset[str]) -> DataFrame:
+    """The tabled types each document has: source_table, delivery_id, types. A type that most documents have is joined in SALT parts."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for source, delivery, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                try:
+                    doc = read_document(text)
+                except Invalid:
+                    continue
+                found: Counter = Counter()
+                edges(doc, lists, found)
+                for name in {name for _, name, kind in found if kind != "value"}:
+                    for column, x in zip(out, (source, delivery, name), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["source_table", "delivery_id", "type"])
+
+    has = documents.select("source_table", "delivery_id", "text").mapInArrow(each, "source_table string, delivery_id bigint, type string").withColumn("salt", F.pmod(F.xxhash64("delivery_id"), F.lit(SALT)).cast("int"))
+    parts = tabled.select("type", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    return has.join(parts, ["type", "salt"]).groupBy("source_table", "delivery_id").agg(F.collect_list("type").alias("types"))
+
+
+def refused(documents: DataFrame) -> DataFrame:
+    """The documents that can't be read, each with its reason (null, blank or invalid): source_table, delivery_id, reason."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for source, delivery, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                try:
+                    read_document(text)
+                except Invalid:
+                    for column, x in zip(out, (source, delivery, "null" if text is None else "invalid" if text.strip() else "blank"), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["source_table", "delivery_id", "reason"])
+
+    return documents.select("source_table", "delivery_id", "text").mapInArrow(run, "source_table string, delivery_id bigint, reason string")
 
 
 def _without(names: list[str]) -> Column:
     return F.map_filter("attributes", lambda k, v: ~k.isin(*names)) if names else F.col("attributes")
 
 
-def tables(documents: DataFrame, plan: Plan, columns: dict[str, list[str]]) -> dict[str, DataFrame]:
+def tables(documents: DataFrame, tabled: DataFrame, columns: dict[str, list[str]]) -> dict[str, DataFrame]:
     """The named tables with one column per named attribute; the attributes not named stay in ``rest``."""
-    rows = flat_rows(documents, plan)
+    rows = flat_rows(documents, tabled)
     out = {}
     for name, wanted in columns.items():
         own = rows.where(F.col("table") == name)
         out[name] = own.select(
-            "source_table", "delivery_id", "node_path", "parent_table", "parent_path",
+            "source_table", "delivery_id", "node", "node_path", "parent_table", "parent_node",
             *[F.col("attributes")[c].alias(c.replace(".", "_")) for c in wanted],
             _without(wanted).alias("rest"),
         )
@@ -325,8 +434,11 @@ def documents_of(raw: DataFrame, dlq: DataFrame) -> DataFrame:
 
 
 def p1_found(raw: DataFrame, dlq: DataFrame) -> DataFrame:
-    """(source_table, delivery_id, node_path, parent_path) of each object that is an element of a list."""
+    """(source_table, delivery_id, node_path, parent_path) of each object that is an element of a list.
+
+    The rows are those of the tables the schema graph asks for, their parents
+    found by the foreign keys.
+    """
     documents = documents_of(raw, dlq)
-    plan = inlining_plan(schema_graph(documents))
-    rows = flat_rows(documents, plan, attributes=False)
-    return rows.where("is_element and is_object").select("source_table", "delivery_id", "node_path", F.col("parent_element").alias("parent_path"))
+    rows = flat_rows(documents, tabled_types(schema_graph(documents)), attributes=False)
+    return rows.where("is_element and is_object").select("source_table", "delivery_id", "node_path", "parent_path")

@@ -9,17 +9,25 @@ from lodeline.operators import changelog, delivery, drift, history, nested
 from lodeline.session import read_table
 
 
+def _documents(spark: SparkSession, root: str) -> DataFrame:
+    return nested.documents_of(read_table(spark, root, "raw_source_event"), read_table(spark, root, "dlq"))
+
+
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return nested.p1_found(read_table(spark, root, "raw_source_event"), read_table(spark, root, "dlq"))
 
 
 def p1_schema_graph(spark: SparkSession, root: str) -> DataFrame:
-    return nested.schema_graph(nested.documents_of(read_table(spark, root, "raw_source_event"), read_table(spark, root, "dlq")))
+    return nested.schema_graph(_documents(spark, root))
 
 
 def p1_tables(spark: SparkSession, root: str) -> DataFrame:
-    documents = nested.documents_of(read_table(spark, root, "raw_source_event"), read_table(spark, root, "dlq"))
-    return nested.flat_rows(documents, nested.inlining_plan(nested.schema_graph(documents))).withColumn("attributes", F.to_json("attributes"))
+    documents = _documents(spark, root)
+    return nested.flat_rows(documents, nested.tabled_types(nested.schema_graph(documents))).withColumn("attributes", F.to_json("attributes"))
+
+
+def p1_refused(spark: SparkSession, root: str) -> DataFrame:
+    return nested.refused(_documents(spark, root))
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -61,13 +69,64 @@ def p5_versions(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_schema_graph": p1_schema_graph, "p1_tables": p1_tables,
+    "p1_found": p1_found, "p1_schema_graph": p1_schema_graph, "p1_tables": p1_tables, "p1_refused": p1_refused,
     "p2_found": p2_found, "p2_unified": p2_unified,
     "p3_found": p3_found, "p3_rows": p3_rows,
     "p4_found": p4_found, "p4_once": p4_once,
     "p5_found": p5_found, "p5_versions": p5_versions,
 }
 
+_LISTS = ", ".join(f"'{n}'" for n in nested.LIST_MEMBERS)
+
+#: JSON text inside a JSON string, as often as it is wrapped (three times at most in any document).
+_INNER = "case when json_type({0}) = 'VARCHAR' then try_cast({0} ->> '$' as json) else {0} end"
+
+_DOCUMENTS = f"""
+texts as (
+  select 'raw_source_event' as source_table, delivery_id, value_json as text from raw_source_event
+  union all select 'dlq', delivery_id, original_payload from dlq),
+once as (select *, try_cast(text as json) as v from texts),
+outer_ as (select *, {_INNER.format(_INNER.format('v'))} as d from once),
+docs as (
+  select source_table, delivery_id, text, case when json_type(d) = 'OBJECT' and json_exists(d, '$.schema') and json_exists(d, '$.payload')
+    then {_INNER.format(_INNER.format("json_extract(d, '$.payload')"))} else d end as doc from outer_)"""
+
+_NODES = f"""{_DOCUMENTS},
+-- every object and list: its type, path, the type above and the nearest object above that is an element
+nodes as (
+  select source_table, delivery_id, '$' as type, '' as path, '' as element, false as listed, doc as value from docs where json_type(doc) in ('OBJECT', 'ARRAY')
+  union all
+  select source_table, delivery_id, c.type, c.path, case when n.listed and json_type(n.value) = 'OBJECT' then n.path else n.element end, c.listed, c.value
+  from nodes n, lateral (
+    select case when json_type(x) = 'ARRAY' then n.type || '[]' else n.type end as type, n.path || '[' || (i - 1) || ']' as path, true as listed, x as value
+    from (select unnest(json_extract(n.value, '$[*]')) as x, generate_subscripts(json_extract(n.value, '$[*]'), 1) as i) where json_type(n.value) = 'ARRAY'
+    union all
+    select k, case when n.path = '' then k else n.path || '.' || k end, false,
+      case when k in ({_LISTS}) then case when json_type(y) = 'OBJECT' then json_array(y) when json_type(y) = 'ARRAY' then y else x end else x end
+    from (select k, x, {_INNER.format(_INNER.format('x'))} as y from (select k, json_extract(n.value, '$."' || k || '"') as x from (select unnest(json_keys(n.value)) as k) where json_type(n.value) = 'OBJECT'))) c
+  where json_type(c.value) in ('OBJECT', 'ARRAY'))"""
+
+_P1 = f"""
+with recursive {_NODES}
+select source_table, delivery_id, path as node_path, element as parent_path from nodes where listed and json_type(value) = 'OBJECT'
+"""
+
+_P1_REFUSED = f"""
+with {_DOCUMENTS}
+select source_table, delivery_id, case when text is null then 'null' when trim(text, E' \\t\\r\\n') = '' then 'blank' else 'invalid' end as reason from docs where doc is null
+"""
+
+_P1_GRAPH = f"""
+with recursive {_NODES},
+members as (
+  select n.source_table, n.type as parent_type, m.k as type,
+    case when m.k in ({_LISTS}) and json_type(m.y) in ('OBJECT', 'ARRAY') then 'list' when json_type(m.x) = 'ARRAY' then 'list' when json_type(m.x) = 'OBJECT' then 'object' else 'value' end as kind
+  from nodes n, lateral (select k, x, {_INNER.format(_INNER.format('x'))} as y from (select k, json_extract(n.value, '$."' || k || '"') as x from (select unnest(json_keys(n.value)) as k))) m where json_type(n.value) = 'OBJECT'
+  union all
+  select source_table, type[:-3], type, 'list' from nodes where listed and json_type(value) = 'ARRAY')
+select source_table, parent_type, type, kind, count(*) as occurrences from members group by all
+"""
+
 _OBJECT = r"regexp_replace(regexp_replace(lower(trim(object_name)), '[`\"\[\]]', '', 'g'), '^.*\.', '')"
 _FILE = r"cast(regexp_extract(binlog_file, '(\d+)\s*$', 1) as bigint)"
 
@@ -223,4 +282,4 @@ select i.change_id, i.db_id, i.object as object_name, i.binlog_file,
 from images i
 """
 
-ORACLES = {"p2_found": _P2, "p2_unified": _P2_UNIFIED, "p3_found": _P3, "p3_rows": _P3, "p4_found": _P4, "p4_once": _P4_ONCE, "p5_found": _P5}
+ORACLES = {"p1_found": _P1, "p1_schema_graph": _P1_GRAPH, "p1_refused": _P1_REFUSED, "p2_found": _P2, "p2_unified": _P2_UNIFIED, "p3_found": _P3, "p3_rows": _P3, "p4_found": _P4, "p4_once": _P4_ONCE, "p5_found": _P5}

@@ -95,25 +95,85 @@ def test_nested_whole_table(spark):
     assert rows(nested.p1_found(raw, dlq)) == sorted(want, key=repr)
 
 
+def shredded(spark, docs):
+    df = spark.createDataFrame([("raw", i, d if isinstance(d, str) else json.dumps(d)) for i, d in enumerate(docs)], "source_table string, delivery_id bigint, text string")
+    return df, nested.tabled_types(nested.schema_graph(df))
+
+
 def test_nested_tables_hold_every_value(spark):
-    doc = {"id": 1, "who": {"name": "n", "at": {"x": [1, 2]}}, "steps": [{"no": 1, "who": {"name": "m"}}, None, "t"]}
-    docs = spark.createDataFrame([("raw", 1, json.dumps(doc))], "source_table string, delivery_id bigint, text string")
-    plan = nested.inlining_plan(nested.schema_graph(docs))
-    assert "steps" in plan.tabled and "who" in plan.tabled  # repeated, shared
-    assert "at" not in plan.tabled
-    got = {(r["table"], r["node_path"]): (r["parent_path"], dict(r["attributes"])) for r in nested.flat_rows(docs, plan).collect()}
-    assert got["$", ""] == (None, {"id": "1"})
+    docs, tabled = shredded(spark, [{"id": 1, "price": 159.160, "who": {"name": "n", "at": {"x": [1, 2]}}, "steps": [{"no": 1, "who": {"name": "m"}}, None, "t"]}])
+    assert {r["type"] for r in tabled.collect()} == {"steps", "who", "x"}  # repeated, shared; at is inlined
+    found = nested.flat_rows(docs, tabled).collect()
+    path = {r["node"]: r["node_path"] for r in found}
+    got = {(r["table"], r["node_path"]): (path.get(r["parent_node"]), dict(r["attributes"])) for r in found}
+    assert got["$", ""] == (None, {"id": "1", "price": "159.16"})
     assert got["who", "who"] == ("", {"name": "n"})
     assert got["x", "who.at.x[1]"] == ("who", {"value": "2"})
     assert got["steps", "steps[0]"] == ("", {"no": "1"})
     assert got["who", "steps[0].who"] == ("steps[0]", {"name": "m"})
     assert got["steps", "steps[1]"] == ("", {}) and got["steps", "steps[2]"] == ("", {"value": "t"})
-    tables = nested.tables(docs, plan, {"who": ["name"]})
-    assert sorted(r["name"] for r in tables["who"].collect()) == ["m", "n"]
-
-
-def test_recursive_types(spark):
-    assert nested._on_cycles({"a": {"b"}, "b": {"c"}, "c": {"a", "d"}, "d": set(), "e": {"e"}}) == {"a", "b", "c", "e"}
+    assert sorted(r["name"] for r in nested.tables(docs, tabled, {"who": ["name"]})["who"].collect()) == ["m", "n"]
+
+
+def test_nested_rows_come_from_the_plan_and_the_keys(spark):
+    docs, tabled = shredded(spark, [{"steps": [{"who": {"notes": [{"a": 1}]}}], "who": {"notes": []}}])
+    cases = lambda t: {(r["node_path"], r["parent_path"]) for r in nested.flat_rows(docs, t, attributes=False).where("is_element and is_object").collect()}
+    whole = {("steps[0]", ""), ("steps[0].who.notes[0]", "steps[0]")}
+    assert cases(tabled) == whole
+    # a repeated type that the graph doesn't table has no rows; its values stay with the parent
+    wrong = tabled.where("type <> 'notes'")
+    assert cases(wrong) == {("steps[0]", "")}
+    assert any("notes" in r["attributes"] for r in nested.flat_rows(docs, wrong).collect())
+    # a wrong foreign key gives a wrong parent
+    rows_ = list(nested.shred({"a": [{"b": [{}]}, {}]}, nested.Plan(frozenset("ab")), False))
+    assert [r[-1] for r in nested.followed(rows_)] == ["", "", "a[0]", ""]
+    rows_[2] = (*rows_[2][:4], 0, *rows_[2][5:])
+    assert [r[-1] for r in nested.followed(rows_)][2] == ""
+
+
+def test_many_types_are_joined(spark):
+    """Beyond max_plan documents are joined to their own types; the rows are the same."""
+    docs, tabled = shredded(spark, [{f"list{i}": [{"v": i, "who": {"n": i}}], "who": {"n": 1}, "t": {"steps": "[{}, {\"changes\": {}}]"}} for i in range(60)] + ["bad", "3"])
+    key = lambda r: (r["delivery_id"], r["node"])
+    a, b = (sorted(nested.flat_rows(docs, tabled, max_plan=m).collect(), key=key) for m in (1000, 5))
+    assert a == b and len(a) > 240
+
+
+def test_deep_and_long_documents_are_read(spark):
+    depth = 20_000
+    deep = '{"a":' * depth + '[{"n": 1}]' + "}" * depth
+    long = '{"id": ' + "7" * 6_000 + ', "steps": [{"no": 1e400, "x": 0.10}]}'
+    docs, tabled = shredded(spark, [deep, long, "[" * depth + "]" * depth, "[" * depth + "]" * (depth - 1), '{"a":' * depth + "}" * depth])
+    got = {r["delivery_id"]: r for r in nested.flat_rows(docs, tabled).where("is_element and is_object").collect()}
+    assert got[0]["node_path"] == ".".join(["a"] * depth) + "[0]" and got[1]["attributes"] == {"no": "1E+400", "x": "0.10"}
+    assert {(r["delivery_id"], r["reason"]) for r in nested.refused(docs).collect()} == {(3, "invalid"), (4, "invalid")}
+    root = nested.flat_rows(docs, tabled).where("delivery_id = 1 and parent_node is null").first()
+    assert root["attributes"]["id"] == "7" * 6_000
+
+
+def test_the_deep_parser_is_the_parser():
+    rng = random.Random(9)
+
+    def value(depth):
+        kind = rng.choice("dlsnbx0f") if depth else rng.choice("snbx0f")
+        if kind == "d":
+            return {rng.choice(["a", "b", 'q"', "", "\u00e9"]): value(depth - 1) for _ in range(rng.randint(0, 3))}
+        if kind == "l":
+            return [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        return {"s": 'x\n"\\', "n": None, "b": True, "x": "", "0": -12, "f": 1.5}[kind]
+
+    for _ in range(400):
+        text = json.dumps(value(5), indent=rng.choice([None, 1]))
+        if rng.random() < 0.5 and text:
+            i = rng.randrange(len(text))
+            text = text[:i] + rng.choice(['', '"', "]", "}", ",", ":", " ", "1", "-"]) + text[i + 1:]
+        out = []
+        for f in (nested._DECODER.decode, nested._load_deep):
+            try:
+                out.append(repr(f(text)))
+            except ValueError:
+                out.append("invalid")
+        assert out[0] == out[1], text
 
 
 # ---- 2
