@@ -2,14 +2,17 @@
 
 Signed multiset: each change, counted once, contributes minus one for its
 before-image's row and plus one for its after-image's row; TRUNCATE contributes
-minus one for whatever the object holds. The contributions of a row, together
-with what it had before the feed began (the base), are summed in the order of
-the log. A table is a set by its key, so the running sum is clamped to 0..1: a
-write of a row that exists replaces it and a removal of a row that doesn't exist
-does nothing. The clamped sum after the last contribution is 1 exactly if that
-contribution is a plus one, hence two maxima per row decide, and these are
-computed by map-side partial aggregation: no row's history is ever gathered
-in one place, however hot its key.
+minus whatever the object holds, so what came before it is void. The signs of a
+row are summed in the order of the log, beginning with its base: 1 if it existed
+before the feed began, as its first contribution is a minus. A table is a set by
+its key, so the running sum is clamped to 0..1: a write of a row that exists
+replaces it, a removal of a row that doesn't exist does nothing. Rows whose sum
+is positive are retained.
+
+Adding a sign and clamping is a function x -> least(high, greatest(low, x + sum)),
+and such functions compose to one of their kind. So the signs of a row are folded
+to one function inside a block of the log, and the blocks' functions in their
+order: no row's history is gathered in one place, however hot its key.
 """
 
 from __future__ import annotations
@@ -63,41 +66,57 @@ def deduplicated(changes: DataFrame) -> DataFrame:
     )
 
 
+#: Bytes of a log file that make one block; with the file's number it bounds what is folded at once.
+BLOCK_BYTES = 1 << 20
+#: Blocks folded at once; runs of so many files are folded before the whole.
+RUN_FILES = 1024
+
+_ADD = "struct<sum:int,low:int,high:int>"
+
+
+def _add(sign: Column) -> Column:
+    """One contribution as a function of the multiplicity before it: clamp(x + sign) to 0..1."""
+    return F.struct(sign.cast("int").alias("sum"), F.lit(0).alias("low"), F.lit(1).alias("high"))
+
+
+def _then(first: Column, second: Column) -> Column:
+    """The function that applies ``first``, then ``second``."""
+    bound = lambda x: F.least(second["high"], F.greatest(second["low"], x + second["sum"]))
+    return F.struct((first["sum"] + second["sum"]).alias("sum"), bound(first["low"]).alias("low"), bound(first["high"]).alias("high"))
+
+
+def _folded(functions: Column) -> Column:
+    """An array of struct(order, f) folded to one function."""
+    inorder = F.transform(F.array_sort(functions), lambda x: x["f"])
+    return F.aggregate(inorder, F.from_json(F.lit('{"sum":0,"low":0,"high":1}'), _ADD), _then)
+
+
 def state(changes: DataFrame, monitored: DataFrame) -> DataFrame:
     """Rows alive after all changes.
 
-    Columns: db_id, object, row_key, at (position of the last write), writes,
-    removals, base (1 if the row existed before the feed: its first contribution
-    is a minus one) and multiplicity, the unclamped sum base + writes - removals.
-    An empty feed gives no rows.
+    Columns: db_id, object, row_key, at (position of the last write), total (sum
+    of the signs), base (1 if the row existed before the feed, or before what
+    TRUNCATE left of it) and multiplicity, the clamped sum from base on, which is
+    positive. An empty feed gives no rows.
     """
-    rows = (
-        contributions(changes, monitored)
-        .groupBy("db_id", "object", "row_key")
-        .agg(
-            F.max(F.when(F.col("sign") > 0, F.col("at"))).alias("at"),
-            F.max(F.when(F.col("sign") < 0, F.col("at"))).alias("gone"),
-            F.min_by("sign", "at").alias("first"),
-            F.count_if(F.col("sign") > 0).alias("writes"),
-            F.count_if(F.col("sign") < 0).alias("removals"),
-        )
-        .where(F.col("at").isNotNull() & (F.col("gone").isNull() | (F.col("at") > F.col("gone"))))
-    )
     emptied = (
         position(changes)
         .where(F.col("operation") == "TRUNCATE")
         .groupBy("db_id", "object")
         .agg(F.max(F.struct("file_no", "binlog_pos", "row_no")).alias("emptied"))
     )
-    base = F.when(F.col("first") < 0, 1).otherwise(0)
-    return (
-        rows.join(emptied, ["db_id", "object"], "left")
-        .where(F.col("emptied").isNull() | (F.struct("at.file_no", "at.binlog_pos", "at.row_no") > F.col("emptied")))
-        .select(
-            "db_id", "object", "row_key", "at", "writes", "removals",
-            base.alias("base"), (base + F.col("writes") - F.col("removals")).alias("multiplicity"),
-        )
-    )
+    key = ["db_id", "object", "row_key"]
+    signs = contributions(changes, monitored).join(emptied, ["db_id", "object"], "left")
+    signs = signs.where(F.col("emptied").isNull() | (F.struct("at.file_no", "at.binlog_pos", "at.row_no") > F.col("emptied")))
+    write = F.when(F.col("sign") > 0, F.col("at"))
+    blocks = signs.groupBy(*key, F.col("at.file_no").alias("file_no"), F.floor(F.col("at.binlog_pos") / BLOCK_BYTES).alias("block")).agg(
+        _folded(F.collect_list(F.struct(F.struct("at.binlog_pos", "at.row_no", "at.step").alias("order"), _add(F.col("sign")).alias("f")))).alias("f"), F.max(write).alias("at"), F.min(F.struct("at", "sign")).alias("first"))
+    runs = blocks.groupBy(*key, F.floor(F.col("file_no") / RUN_FILES).alias("run")).agg(
+        _folded(F.collect_list(F.struct(F.struct("file_no", "block").alias("order"), "f"))).alias("f"), F.max("at").alias("at"), F.min("first").alias("first"))
+    whole = runs.groupBy(*key).agg(_folded(F.collect_list(F.struct(F.struct("run").alias("order"), "f"))).alias("f"), F.max("at").alias("at"), F.min("first").alias("first"))
+    base = F.when(F.col("first.sign") < 0, 1).otherwise(0)
+    held = whole.select(*key, "at", F.col("f.sum").alias("total"), base.alias("base"), F.least("f.high", F.greatest(F.col("f.low"), base + F.col("f.sum"))).alias("multiplicity"))
+    return held.where(F.col("multiplicity") > 0)
 
 
 def current_rows(changes: DataFrame, monitored: DataFrame) -> DataFrame:
@@ -118,7 +137,7 @@ def current_rows(changes: DataFrame, monitored: DataFrame) -> DataFrame:
 
 
 def p3_found(changes: DataFrame, monitored: DataFrame) -> DataFrame:
-    """(db_id, object_name, row_key, binlog_file, binlog_pos, row_no) of each living row."""
+    """(db_id, object_name, row_key, binlog_file, binlog_pos, row_no) of each row with a positive multiplicity."""
     return state(changes, monitored).select(
         "db_id", F.col("object").alias("object_name"), "row_key",
         F.col("at.binlog_file").alias("binlog_file"), F.col("at.binlog_pos").alias("binlog_pos"), F.col("at.row_no").alias("row_no"),

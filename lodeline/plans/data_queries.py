@@ -44,7 +44,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_rows(spark: SparkSession, root: str) -> DataFrame:
-    return changelog.current_rows(read_table(spark, root, "normalized_change"), read_table(spark, root, "monitored_table")).select("db_id", "object_name", "row_key", "binlog_file", "binlog_pos", "row_no")
+    return changelog.current_rows(read_table(spark, root, "normalized_change"), read_table(spark, root, "monitored_table"))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -161,6 +161,12 @@ where l.writes and not exists (
     and (t.file_no, t.binlog_pos, t.row_no) > (l.file_no, l.binlog_pos, l.row_no))
 """
 
+_P3_ROWS = f"""
+with image_of as (
+  select db_id, {_FILE} as file_no, binlog_pos, row_no, arg_min(after_image, change_id) as image from normalized_change where operation in ('INSERT', 'UPDATE') group by all)
+select p.*, i.image from ({_P3}) p join image_of i on i.db_id = p.db_id and i.file_no = cast(regexp_extract(p.binlog_file, '(\\d+)\\s*$', 1) as bigint) and i.binlog_pos = p.binlog_pos and i.row_no = p.row_no
+"""
+
 _ITEM = """
 coalesce('dlq-' || nullif(regexp_replace(regexp_replace(lower(event_id), '\\s+', '', 'g'), '^dlq-', ''), ''),
   'dlq-' || left(sha256(coalesce(source_engine, '') || '|' || coalesce(offset_key, '') || '|sha256:' || regexp_replace(regexp_replace(lower(payload_hash), '\\s+', '', 'g'), '^sha256:', '')), 32))"""
@@ -282,4 +288,4 @@ select i.change_id, i.db_id, i.object as object_name, i.binlog_file,
 from images i
 """
 
-ORACLES = {"p1_found": _P1, "p1_schema_graph": _P1_GRAPH, "p1_refused": _P1_REFUSED, "p2_found": _P2, "p2_unified": _P2_UNIFIED, "p3_found": _P3, "p3_rows": _P3, "p4_found": _P4, "p4_once": _P4_ONCE, "p5_found": _P5}
+ORACLES = {"p1_found": _P1, "p1_schema_graph": _P1_GRAPH, "p1_refused": _P1_REFUSED, "p2_found": _P2, "p2_unified": _P2_UNIFIED, "p3_found": _P3, "p3_rows": _P3_ROWS, "p4_found": _P4, "p4_once": _P4_ONCE, "p5_found": _P5}

@@ -305,11 +305,33 @@ def test_changelog(spark):
     df = spark.createDataFrame(data, CHANGE).withColumn("row_key", F.lit("clash")).withColumn("step", F.lit(9))
     assert rows(changelog.p3_found(df, monitored(spark))) == brute_state(data)
     held = changelog.state(df, monitored(spark)).collect()
-    assert all(r["multiplicity"] == r["base"] + r["writes"] - r["removals"] for r in held)
+    assert all(r["multiplicity"] == 1 for r in held) and {r["base"] for r in held} <= {0, 1}
     assert rows(changelog.current_rows(df, monitored(spark)).drop("image")) == brute_state(data)
     assert rows(changelog.p3_found(df.limit(0), monitored(spark))) == []
 
 
+def test_multiplicities_are_clamped_sums(spark, monkeypatch):
+    """The fold by blocks equals the running sum, however the blocks are cut; without the sum no row is found."""
+    rng = random.Random(11)
+    signs = [rng.choice([1, -1]) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(signs)), "n int, sign int")
+    for size in (1, 7, 60):
+        part = df.groupBy(F.floor(F.col("n") / size).alias("b")).agg(changelog._folded(F.collect_list(F.struct("n", changelog._add(F.col("sign")).alias("f")))).alias("f"))
+        f = part.agg(changelog._folded(F.collect_list(F.struct("b", "f"))).alias("f")).first()["f"]
+        for base in (0, 1):
+            x = base
+            for s in signs:
+                x = min(1, max(0, x + s))
+            assert min(f["high"], max(f["low"], base + f["sum"])) == x
+    fed = [change(1, "UPDATE", "users", {"id": 2}, {"id": 2}), change(2, "UPDATE", "users", {"id": 2}, {"id": 3}, pos=2), change(3, "INSERT", "users", None, {"id": 3}, pos=3)]
+    assert [(r["row_key"], r["base"], r["total"], r["multiplicity"]) for r in changelog.state(spark.createDataFrame(fed, CHANGE), monitored(spark)).collect()] == [("3", 0, 2, 1)]
+    assert [(r["row_key"], r["base"], r["total"]) for r in changelog.state(spark.createDataFrame(fed[:1], CHANGE), monitored(spark)).collect()] == [("2", 1, 0)]
+    data = spark.createDataFrame([change(1, "INSERT", "users", None, {"id": 1})], CHANGE)
+    assert changelog.p3_found(data, monitored(spark)).count() == 1
+    monkeypatch.setattr(changelog, "_add", lambda sign: F.struct(F.lit(0).alias("sum"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+    assert changelog.p3_found(data, monitored(spark)).count() == 0
+
+
 # ---- 4
 
 def test_deliveries(spark):
