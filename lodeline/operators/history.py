@@ -1,10 +1,14 @@
 """Problem 5: history of changing entity attributes.
 
 Event-sourced log per attribute: every source is turned into observations
-(an attribute of an entity was set, or the entity ended), observations into
-points at which the attribute's value changes, points into intervals. Each
-attribute has intervals of its own; ``combined`` splits them at the union of
-their boundaries and coalesces equal neighbours into versions of the entity.
+(an attribute of an entity was set, or the entity ended), observations into the
+points at which the attribute's intervals begin and end. Each attribute has
+intervals of its own (``attribute_log``); ``combined`` splits them at the union
+of their boundaries and coalesces equal neighbours into versions of the entity.
+
+Boundaries are places in the order of the source (a log position, a snapshot's
+time) and carry their time as a label, so times that are missing, equal or out
+of order move no boundary.
 """
 
 from __future__ import annotations
@@ -12,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.functions.changes import member, plain_object, position, row_key
+from lodeline.functions.changes import key_columns, member, plain_object, position, row_key
 from lodeline.operators.changelog import deduplicated
 from lodeline.operators.ordered import carry
-from lodeline.functions.changes import key_columns
+from lodeline.session import cut_lineage
 
 ENTITY = ["origin", "db_id", "object_name", "entity_id", "attribute"]
 OPEN = -1
@@ -97,21 +101,21 @@ def observations_of_snapshots(snapshots: DataFrame, object_name: str, entity: st
     )
 
 
-def attribute_log(observations: DataFrame) -> DataFrame:
-    """Intervals of each attribute: ENTITY, value, valid_from_ms, valid_to_ms.
+def boundaries(observations: DataFrame) -> DataFrame:
+    """Where the intervals of each attribute begin and end: ENTITY, block, at (place), ts, opens, value.
 
     An interval begins at the observation that shows another value than the one
     before, that is the entity's first, or the first after its end; it ends
     where the next begins or where the entity ends. An entity whose first
-    observation shows what it had before holds that value from -1. An open end
-    is -1. A null time of the change stays null. No observations, no rows.
+    observation shows what it had before holds that value from -1. A null time
+    of the change stays null. No observations, no rows.
     """
     seen = carry(observations, ENTITY, "block", ["at"], {"prev": F.struct("ends", "value")})
     had = F.when(F.col("prev").isNull() & F.col("before").isNotNull(), F.struct(F.lit(False).alias("ends"), F.col("before.value").alias("value")))
     seen = seen.withColumn("had", had).withColumn("last", F.coalesce("prev", "had"))
     alive = F.col("last").isNotNull() & ~F.col("last.ends")
     begins = ~F.col("ends") & (~alive | ~F.col("last.value").eqNullSafe(F.col("value")))
-    point = lambda step, ts, value, open_: F.struct(F.lit(step).alias("n"), ts.cast("bigint").alias("ts"), value.alias("value"), F.lit(open_).alias("opens"))
+    point = lambda n, ts, value, open_: F.struct(F.lit(n).alias("n"), ts.cast("bigint").alias("ts"), F.lit(open_).alias("opens"), value.alias("value"))
     points = F.filter(
         F.array(
             F.when(F.col("had").isNotNull(), point(0, F.lit(OPEN), F.col("had.value"), True)),
@@ -120,13 +124,18 @@ def attribute_log(observations: DataFrame) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    each = seen.select(*ENTITY, "block", "at", F.explode(points).alias("p")).select(*ENTITY, "block", "at", F.col("p.n").alias("n"), F.col("p.ts").alias("ts"), F.col("p.value").alias("value"), F.col("p.opens").alias("opens"))
-    ended = carry(each, ENTITY, "block", ["at", "n"], {"next": F.struct("ts")}, backwards=True)
+    each = seen.select(*ENTITY, "block", "at", F.explode(points).alias("p"))
+    return each.select(*ENTITY, "block", F.struct("at.*", "p.n").alias("at"), F.col("p.ts").alias("ts"), F.col("p.opens").alias("opens"), F.col("p.value").alias("value"))
+
+
+def attribute_log(points: DataFrame) -> DataFrame:
+    """Intervals of each attribute: ENTITY, value, valid_from_ms, valid_to_ms; an open end is -1."""
+    ended = carry(points, ENTITY, "block", ["at"], {"next": F.struct("ts")}, backwards=True)
     return ended.where("opens").select(*ENTITY, "value", F.col("ts").alias("valid_from_ms"), F.when(F.col("next").isNull(), F.lit(OPEN).cast("bigint")).otherwise(F.col("next.ts")).alias("valid_to_ms"))
 
 
-def combined(log: DataFrame, attributes: list[str]) -> DataFrame:
-    """Versions of whole entities from the logs of their attributes.
+def combined(points: DataFrame, attributes: list[str]) -> DataFrame:
+    """Versions of whole entities from the boundaries of their attributes.
 
     The attributes' intervals are split at the union of their boundaries;
     neighbours with the same values are one version; stretches in which no
@@ -134,28 +143,31 @@ def combined(log: DataFrame, attributes: list[str]) -> DataFrame:
     entity_id, the attributes, valid_from_ms, valid_to_ms.
     """
     entity = [c for c in ENTITY if c != "attribute"]
-    starts = log.select(*entity, "attribute", F.col("valid_from_ms").alias("ts"), F.struct("value").alias("state"))
-    # an interval of no length is over before it begins
-    ends = log.where((F.col("valid_to_ms") != OPEN) & (F.col("valid_to_ms") > F.col("valid_from_ms"))).select(*entity, "attribute", F.col("valid_to_ms").alias("ts"), F.lit(None).cast("struct<value:string>").alias("state"))
-    starts = starts.join(log.where(F.col("valid_to_ms") == F.col("valid_from_ms")).select(*entity, "attribute", F.col("valid_from_ms").alias("ts"), F.struct("value").alias("state")), [*entity, "attribute", "ts", "state"], "left_anti")
-    # where one interval ends and the next begins, the beginning counts: max() prefers a state to null
-    at = starts.unionByName(ends).groupBy(*entity, "ts").agg(
-        *[F.max(F.when(F.col("attribute") == a, F.struct(F.col("state").isNotNull().alias("on"), F.col("state.value").alias("value")))).alias(f"a{i}") for i, a in enumerate(attributes)]
-    )
-    at = at.withColumn("block", F.floor(F.col("ts") / (30 * 24 * 3600 * 1000)).cast("bigint"))
-    full = carry(at, entity, "block", ["ts"], {f"s{i}": F.col(f"a{i}") for i in range(len(attributes))}, inclusive=True)
-    state = F.struct(*[F.when(F.col(f"s{i}.on"), F.struct(F.col(f"s{i}.value").alias("value"))).alias(f"s{i}") for i in range(len(attributes))])
-    full = full.select(*entity, "ts", "block", state.alias("state"))
-    full = carry(full, entity, "block", ["ts"], {"prev": F.struct("state")}).where(F.col("prev").isNull() | ~F.col("prev.state").eqNullSafe(F.col("state")))
-    full = carry(full.drop("prev"), entity, "block", ["ts"], {"next": F.col("ts")}, backwards=True)
-    some = F.coalesce(*[F.col(f"state.s{i}") for i in range(len(attributes))]).isNotNull()
+    names = [f"s{i}" for i in range(len(attributes))]
+    # what each attribute is from this place on; where one interval ends and the next begins, the beginning counts
+    now = lambda a: F.max(F.when(F.col("attribute") == a, F.struct(F.col("opens").alias("on"), "value")))
+    at = points.groupBy(*entity, "block", "at").agg(F.max("ts").alias("ts"), *[now(a).alias(f"a{i}") for i, a in enumerate(attributes)])
+    if len(attributes) > 1:
+        at = carry(at, entity, "block", ["at"], {n: F.col(f"a{i}") for i, n in enumerate(names)}, inclusive=True)
+    else:
+        at = at.withColumn("s0", F.col("a0"))
+    state = F.struct(*[F.when(F.col(f"{n}.on"), F.struct(F.col(f"{n}.value").alias("value"))).alias(n) for n in names])
+    full = at.select(*entity, "ts", "block", "at", state.alias("state"))
+    full = carry(full, entity, "block", ["at"], {"prev": F.struct("state")}).where(F.col("prev").isNull() | ~F.col("prev.state").eqNullSafe(F.col("state")))
+    full = carry(full.drop("prev"), entity, "block", ["at"], {"next": F.struct("ts")}, backwards=True)
+    some = F.coalesce(*[F.col(f"state.{n}") for n in names]).isNotNull()
     return full.where(some).select(
-        *entity, *[F.col(f"state.s{i}.value").alias(a) for i, a in enumerate(attributes)],
-        F.col("ts").alias("valid_from_ms"), F.coalesce("next", F.lit(OPEN).cast("bigint")).alias("valid_to_ms"),
+        *entity, *[F.col(f"state.{n}.value").alias(a) for n, a in zip(names, attributes, strict=True)],
+        F.col("ts").alias("valid_from_ms"), F.when(F.col("next").isNull(), F.lit(OPEN).cast("bigint")).otherwise(F.col("next.ts")).alias("valid_to_ms"),
     )
 
 
+def versions(observations: DataFrame, attributes: list[str]) -> DataFrame:
+    """Versions of the entities observed. The observations and the boundaries are written once to the shared folder, as each is looked through twice."""
+    return combined(cut_lineage(boundaries(cut_lineage(observations))), attributes)
+
+
 def p5_found(changes: DataFrame, monitored: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Versions of status of users and beneficiaries (changes) and of users (snapshots)."""
     seen = observations_of_changes(changes, monitored, ["users", "beneficiaries"], ["status"]).unionByName(observations_of_snapshots(snapshots, "users", "id", ["status"]))
-    return attribute_log(seen).select("origin", "db_id", "object_name", "entity_id", "valid_from_ms", "valid_to_ms")
+    return versions(seen, ["status"]).select("origin", "db_id", "object_name", "entity_id", "valid_from_ms", "valid_to_ms")

@@ -61,11 +61,14 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return history.p5_found(read_table(spark, root, "normalized_change"), read_table(spark, root, "monitored_table"), read_table(spark, root, "users"))
 
 
+VERSIONED = ["status", "email", "display_name"]
+
+
 def p5_versions(spark: SparkSession, root: str) -> DataFrame:
-    """Versions of users by status, email and display name together."""
-    wanted = ["status", "email", "display_name"]
-    seen = history.observations_of_snapshots(read_table(spark, root, "users"), "users", "id", wanted)
-    return history.combined(history.attribute_log(seen), wanted)
+    """Versions of users and beneficiaries by status, email and display name together, from both sources."""
+    changes, monitored = read_table(spark, root, "normalized_change"), read_table(spark, root, "monitored_table")
+    seen = history.observations_of_changes(changes, monitored, ["users", "beneficiaries"], VERSIONED)
+    return history.versions(seen.unionByName(history.observations_of_snapshots(read_table(spark, root, "users"), "users", "id", VERSIONED)), VERSIONED)
 
 
 QUERIES = {
@@ -288,4 +291,39 @@ select i.change_id, i.db_id, i.object as object_name, i.binlog_file,
 from images i
 """
 
-ORACLES = {"p1_found": _P1, "p1_schema_graph": _P1_GRAPH, "p1_refused": _P1_REFUSED, "p2_found": _P2, "p2_unified": _P2_UNIFIED, "p3_found": _P3, "p3_rows": _P3_ROWS, "p4_found": _P4, "p4_once": _P4_ONCE, "p5_found": _P5}
+_STATE = lambda image: ", ".join(f"""{n} := {_BARE.format(f"json_extract_string({image}, '$.{n}')")}""" for n in VERSIONED)
+_SHOT = ", ".join(f"{_BARE.format(n)} as {n}" for n in VERSIONED)
+_HELD = ", ".join(f"last_value({n} ignore nulls) over w as {n}" for n in VERSIONED)
+_NAMES = ", ".join(VERSIONED)
+
+_P5_VERSIONS = f"""
+with {_CHANGES},
+seen as (
+  select db_id, object, coalesce(new_key, old_key) as entity_id, file_no, binlog_pos, row_no, epoch_ms(commit_ts) as ts, operation = 'DELETE' as ends,
+    struct_pack({_STATE('after_image')}) as value, before_image is not null as had, struct_pack({_STATE('before_image')}) as before
+  from keyed where object in ('users', 'beneficiaries') and operation in ('INSERT', 'UPDATE', 'DELETE')),
+linked as (
+  select *, row_number() over w as n, lag(ends) over w as prev_ends, lag(value) over w as prev_value from seen
+  window w as (partition by db_id, object, entity_id order by file_no, binlog_pos, row_no)),
+state as (
+  select *, case when n = 1 then had else not prev_ends end as alive, case when n = 1 then before else prev_value end as was from linked),
+points as (
+  select db_id, object, entity_id, file_no, binlog_pos, row_no, 0 as step, -1 as ts, true as opens, before as value from state where n = 1 and had
+  union all select db_id, object, entity_id, file_no, binlog_pos, row_no, 1, ts, false, null from state where ends and alive
+  union all select db_id, object, entity_id, file_no, binlog_pos, row_no, 1, ts, true, value from state where not ends and (not alive or was is distinct from value)),
+spans as (
+  select *, lead(ts, 1, -1) over (partition by db_id, object, entity_id order by file_no, binlog_pos, row_no, step) as until from points),
+shots as (
+  select db_id, id, snapshot_ts, {_SHOT} from users where id is not null and db_id is not null and snapshot_ts is not null
+  qualify row_number() over (partition by db_id, id, snapshot_ts order by loaded_at desc nulls last, {", ".join(_BARE.format(n) + " desc nulls last" for n in VERSIONED)}) = 1),
+held as (select db_id, id, snapshot_ts, {_HELD} from shots window w as (partition by db_id, id order by snapshot_ts rows between unbounded preceding and current row)),
+starts as (
+  select *, epoch_ms(snapshot_ts) as ts from held where coalesce({_NAMES}) is not null
+  window w as (partition by db_id, id order by snapshot_ts)
+  qualify row_number() over w = 1 or lag(row({_NAMES})) over w is distinct from row({_NAMES}))
+select 'changes' as origin, db_id, object as object_name, entity_id, {", ".join("value." + n for n in VERSIONED)}, ts as valid_from_ms, until as valid_to_ms from spans where opens
+union all
+select 'snapshots', db_id, 'users', cast(id as varchar), {_NAMES}, ts, lead(ts, 1, -1) over (partition by db_id, id order by ts) from starts
+"""
+
+ORACLES = {"p1_found": _P1, "p1_schema_graph": _P1_GRAPH, "p1_refused": _P1_REFUSED, "p2_found": _P2, "p2_unified": _P2_UNIFIED, "p3_found": _P3, "p3_rows": _P3_ROWS, "p4_found": _P4, "p4_once": _P4_ONCE, "p5_found": _P5, "p5_versions": _P5_VERSIONS}

@@ -375,8 +375,36 @@ def test_history(spark):
     ], key=repr)
 
 
+def points(spark, data):
+    df = spark.createDataFrame([("s", "a", "u", e, a, at, at, on, v) for e, a, at, on, v in data], "origin string, db_id string, object_name string, entity_id string, attribute string, at int, ts bigint, opens boolean, value string")
+    return df.withColumn("block", F.floor(F.col("at") / 8)).withColumn("at", F.struct("at"))
+
+
 def test_combined_history(spark):
-    log = spark.createDataFrame([("s", "a", "u", "1", "x", "1", 0, 10), ("s", "a", "u", "1", "x", "2", 10, -1), ("s", "a", "u", "1", "y", "p", 5, 10), ("s", "a", "u", "1", "y", "p", 10, 20), ("s", "a", "u", "2", "y", None, 1, 3)],
-        "origin string, db_id string, object_name string, entity_id string, attribute string, value string, valid_from_ms bigint, valid_to_ms bigint")
+    log = points(spark, [("1", "x", 0, True, "1"), ("1", "x", 10, True, "2"), ("1", "y", 5, True, "p"), ("1", "y", 10, True, "p"), ("1", "y", 20, False, None), ("2", "y", 1, True, None), ("2", "y", 3, False, None)])
     got = rows(history.combined(log, ["x", "y"]).select("entity_id", "x", "y", "valid_from_ms", "valid_to_ms"))
     assert got == [("1", "1", "p", 5, 10), ("1", "1", None, 0, 5), ("1", "2", "p", 10, 20), ("1", "2", None, 20, -1), ("2", None, None, 1, 3)]
+    assert rows(history.attribute_log(log).select("entity_id", "attribute", "value", "valid_from_ms", "valid_to_ms")) == [
+        ("1", "x", "1", 0, 10), ("1", "x", "2", 10, -1), ("1", "y", "p", 10, 20), ("1", "y", "p", 5, 10), ("2", "y", None, 1, 3)]
+    # with one attribute, equal neighbours are one version too
+    assert rows(history.combined(log, ["y"]).where("entity_id = '1'").select("y", "valid_from_ms", "valid_to_ms")) == [("p", 5, 20)]
+
+
+def test_found_versions_are_the_combined_ones(spark, monkeypatch):
+    """p5_found takes its rows from the coalescing: without it there are none."""
+    data = spark.createDataFrame([change(1, "INSERT", "users", None, {"id": 1, "status": "a"})], CHANGE)
+    users = spark.createDataFrame([], "snapshot_ts timestamp, db_id string, id bigint, status string, loaded_at timestamp")
+    assert history.p5_found(data, monitored(spark), users).count() == 1
+    whole = history.combined
+    monkeypatch.setattr(history, "combined", lambda p, a: whole(p.limit(0), a))
+    assert history.p5_found(data, monitored(spark), users).count() == 0
+
+
+def test_times_out_of_order_move_no_boundary(spark):
+    """Null, equal and falling commit times: versions follow the log."""
+    at = lambda s: None if s is None else T0 + timedelta(seconds=s)
+    data = [(*change(i, "UPDATE", "users", {"id": 1, "status": "o"} if i == 1 else {"id": 1}, {"id": 1, "status": v}, pos=i)[:16], at(t), T0) for i, (v, t) in enumerate([("a", 9), ("b", None), ("c", 5), ("d", 5), ("d", 1), ("a", 2)], 1)]
+    users = spark.createDataFrame([], "snapshot_ts timestamp, db_id string, id bigint, status string, loaded_at timestamp")
+    got = sorted(((r["valid_from_ms"], r["valid_to_ms"]) for r in history.p5_found(spark.createDataFrame(data, CHANGE), monitored(spark), users).collect()), key=repr)
+    ms = lambda s: int((T0 + timedelta(seconds=s) - datetime(1970, 1, 1)).total_seconds() * 1000)
+    assert got == sorted([(-1, ms(9)), (ms(9), None), (None, ms(5)), (ms(5), ms(5)), (ms(5), ms(2)), (ms(2), -1)], key=repr)
