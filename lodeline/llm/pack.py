@@ -3,24 +3,25 @@
 Karmarkar-Karp for k windows: the two partial partitions with the greatest
 spread (largest minus smallest window) are merged with opposing order, the
 fullest window of one with the emptiest of the other, until one partition is
-left, whose windows are near equal. k starts at the least number that could do
-and rises whenever a window exceeds the capacity. An item larger than the
-capacity is cut into full containers and a rest; no other item is split.
+left, whose windows are near equal.
+
+Windows that are near equal over all items aren't full ones: the largest items
+meet the smallest, though these could have been left to smaller gaps. So items
+are differenced within size classes: a class is the largest items left, one for
+each of its windows, with runs of like items that fill what room these leave, the
+largest first. Differencing such a class gives windows that are equal and full. A
+run that takes a window above the capacity gives way to one of smaller items; in
+the last class the number of windows rises until none is above. An item larger
+than the capacity is cut into full containers and a rest; no other is split.
 
 Differencing is sequential, so items are dealt into shards of bounded size by a
 hash of their id and each shard is packed on its own; a shard wastes less than
 one container for having an end, so the waste falls with the shard's size.
-
-Near-equal windows aren't full windows: where many items are larger than half a
-container, differencing alone leaves more space unused than best fit does (the
-figures are in the README), so the packing with fewer windows is kept.
 """
 
 from __future__ import annotations
 
-import bisect
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,8 @@ from lodeline.session import bounded_rows
 
 #: Items of a shard, on average; bounds the memory and time of one task's group.
 SHARD = 4_000
+#: Windows of a class: more make classes wider and windows less full.
+WIDTH = 8
 #: Rows of pack_budget, a fixed table.
 MAX_BUDGETS = 100
 
@@ -76,94 +79,52 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return window[:n], sums
 
 
-def settle(sizes: np.ndarray, window: np.ndarray, sums: np.ndarray, capacity: int) -> list[int]:
-    """Moves items out of windows above the capacity into the gaps of others, in place; returns those that found none (window -1).
+def rising(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """(window of each item, number of windows): differenced into the least number that could do; it rises while a window exceeds the capacity."""
+    k = max(1, -(-int(sizes.sum()) // capacity))
+    while True:
+        # with as many windows as items each is alone, so there is an end
+        window, sums = differencing(sizes, min(k, len(sizes)))
+        if sums.max() <= capacity:
+            return window, len(sums)
+        k += 1
 
-    An overfull window gives up the smallest item that brings it down to the
-    capacity, or its largest ones; these go, the largest first, where they leave
-    the least space.
-    """
-    over = np.flatnonzero(sums > capacity)
-    if not len(over):
-        return []
-    order = np.argsort(window, kind="stable")
-    begins = np.searchsorted(window[order], np.arange(len(sums) + 1))
-    sums = sums.copy()
-    out: list[int] = []
-    for w in over.tolist():
-        own = sorted(order[begins[w] : begins[w + 1]].tolist(), key=lambda i: int(sizes[i]))
-        while sums[w] > capacity:
-            excess = sums[w] - capacity
-            i = next((j for j, x in enumerate(own) if sizes[x] >= excess), len(own) - 1)
-            item = own.pop(i)
-            sums[w] -= sizes[item]
-            window[item] = -1
-            out.append(item)
-    gaps = sorted((capacity - s, w) for w, s in enumerate(sums.tolist()) if s < capacity)
-    left = []
-    for item in sorted(out, key=lambda i: -int(sizes[i])):
-        size = int(sizes[item])
-        at = bisect.bisect_left(gaps, (size, -1))
-        if at == len(gaps):
-            left.append(item)
-            continue
-        gap, w = gaps.pop(at)
-        window[item] = w
-        if gap > size:
-            bisect.insort(gaps, (gap - size, w))
-    return left
-
-
-def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Best fit, the largest first: the window of each item."""
-    window = np.zeros(len(sizes), np.int64)
-    gaps: list[tuple[int, int]] = []
+
+def windows(sizes: np.ndarray, capacity: int, width: int = WIDTH) -> np.ndarray:
+    """The window of each item, none above ``capacity``; sizes are positive and at most the capacity. width: windows of a class."""
+    out = np.zeros(len(sizes), np.int64)
+    rest = np.argsort(sizes, kind="stable")
     used = 0
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        size = int(sizes[i])
-        at = bisect.bisect_left(gaps, (size, -1))
-        gap, w = gaps.pop(at) if at < len(gaps) else (capacity, used)
-        used = max(used, w + 1)
-        window[i] = w
-        if gap > size:
-            bisect.insort(gaps, (gap - size, w))
-    return window
-
-
-def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item, none above ``capacity``: differenced, or by best fit where that takes fewer windows."""
-    window = differenced(sizes, capacity)
-    if not len(sizes) or int(window.max()) + 1 <= -(-int(sizes.sum()) // capacity):
-        return window
-    other = best_fit(sizes, capacity)
-    return other if other.max() < window.max() else window
-
-
-def differenced(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item, none above ``capacity``.
-
-    Differencing into the least number of windows that could do, then settling;
-    what exceeds the capacity still is differenced into windows of its own, by
-    which the number of windows rises. Of the least number and up to two more
-    the one that ends with the fewest windows is taken.
-    """
-    if not len(sizes):
-        return np.zeros(0, np.int64)
-    low = max(1, -(-int(sizes.sum()) // capacity))
-    best: tuple[int, np.ndarray] | None = None
-    for k in range(low, min(low + 3, len(sizes) + 1)):
-        window, sums = differencing(sizes, k)
-        left = settle(sizes, window, sums, capacity)
-        total = len(sums)
-        if left:
-            more = differenced(sizes[left], capacity)
-            window[left] = total + more
-            total += int(more.max()) + 1
-        if best is None or total < best[0]:
-            best = total, window
-        if best[0] <= k:
+    while len(rest):
+        value = sizes[rest]
+        if len(rest) <= 2 * width or int(value.sum()) <= 2 * width * capacity:
+            window, k = rising(value, capacity)
+            out[rest] = used + window
             break
-    return best[1]
+        free = np.ones(len(rest), bool)
+        own = np.arange(len(rest) - width, len(rest))
+        window = np.arange(width)
+        while True:
+            free[own] = False
+            left = np.flatnonzero(free)
+            m = min(width, len(left))
+            totals = np.concatenate([[0], np.cumsum(value[left])])
+            # the run of the largest like items that the class has room for, then ever smaller ones
+            at = int(np.searchsorted(totals[m:] - totals[:-m], width * capacity - int(value[own].sum()), side="right")) - 1 if m else -1
+            step = 1
+            while at >= 0:
+                both = np.concatenate([own, left[at : at + m]])
+                found, sums = differencing(value[both], width)
+                if sums.max() <= capacity:
+                    break
+                at, step = at - step, 2 * step
+            if at < 0:
+                break
+            own, window = both, found
+        out[rest[own]] = used + window
+        used += width
+        rest = rest[free]
+    return out
 
 
 def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +177,8 @@ def assign(items: DataFrame, budgets: DataFrame, key: str = "doc_id", size: str
             out.append(pd.DataFrame({"budget_id": budget, "capacity_tokens": capacity, "container_id": first + container, "item": group["item"].to_numpy()[item], "first_token": start, "tokens": tokens}))
         return pd.concat(out) if out else pd.DataFrame(columns=["budget_id", "capacity_tokens", "container_id", "item", "first_token", "tokens"])
 
-    packed = rows.groupBy("shard").applyInPandas(fill, f"budget_id int, capacity_tokens int, container_id bigint, item {kind}, first_token bigint, tokens bigint")
+    # the rows are few bytes and much work: a number of partitions that isn't coalesced
+    packed = rows.repartition(2 * shards, "shard").groupBy("shard").applyInPandas(fill, f"budget_id int, capacity_tokens int, container_id bigint, item {kind}, first_token bigint, tokens bigint")
     return packed.withColumnRenamed("item", key)
 
 
