@@ -26,9 +26,6 @@ CELLS = 1_000_000
 #: Words kept in the cache of one worker; the cache is emptied when it is full.
 CACHE = 300_000
 
-#: Words up to this many characters are told apart by 64-bit sums; longer ones by their text.
-TRUSTED = 256
-
 #: Fixed value: the pattern that splits text before the merges. word_starts() reads it for whole arrays at once.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -303,8 +300,7 @@ class Encoder:
         return np.array([x for x in ids if x >= 0], np.int32)
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.long: dict[str, int] = {}
+        self.known: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.lens = np.zeros(1 << 16, np.int32)
@@ -325,6 +321,23 @@ class Encoder:
         self.used += len(ids)
         return np.arange(first, self.count)
 
+    def _alike(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(group of each word, one word of each group); the words of a group are equal, character by character."""
+        codes, unique = pd.factorize(word_sums(points, starts, ends))
+        first = np.zeros(len(unique), np.int64)
+        first[codes] = np.arange(len(codes))  # the last write stays
+        # sums only propose: each word is compared with its group's; one that differs is a group of its own
+        lens = ends - starts
+        other = first[codes]
+        at = np.arange(len(points)) + np.repeat(starts[other] - starts, lens)
+        differs = np.add.reduceat(points[np.minimum(at, len(points) - 1)] != points, starts, dtype=np.int64) > 0
+        odd = np.flatnonzero(differs | (lens[other] != lens))
+        if len(odd):
+            codes = codes.copy()
+            codes[odd] = len(first) + np.arange(len(odd))
+            first = np.concatenate([first, odd])
+        return codes, first
+
     def _indexes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number in the cache of every word, and borders of the texts among the words."""
         if self.count > CACHE:
@@ -336,25 +349,15 @@ class Encoder:
         points = code_points(joined)
         starts = word_starts(points, borders[:-1][np.diff(borders) > 0])
         ends = np.append(starts[1:], len(points))
-        sums = word_sums(points, starts, ends)
-        codes, unique = pd.factorize(sums)
-        number = np.fromiter((self.known.get(h, -1) for h in unique.tolist()), np.int64, len(unique))
+        codes, first = self._alike(points, starts, ends)
+        words = [joined[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        number = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
         new = np.flatnonzero(number < 0)
         if len(new):
-            # where each unknown word occurs: the last write stays
-            where = np.zeros(len(unique), np.int64)
-            where[codes] = np.arange(len(codes))
-            a, b = starts[where[new]].tolist(), ends[where[new]].tolist()
-            number[new] = self._learn([joined[i:j] for i, j in zip(a, b, strict=True)])
-            self.known.update(zip(unique[new].tolist(), number[new].tolist(), strict=True))
+            unknown = list(dict.fromkeys(words[i] for i in new.tolist()))
+            self.known.update(zip(unknown, self._learn(unknown).tolist(), strict=True))
+            number[new] = [self.known[words[i]] for i in new.tolist()]
         index = number[codes]
-        # sums of long words aren't trusted: these are looked up by their text
-        far = np.flatnonzero(ends - starts > TRUSTED)
-        if len(far):
-            texts_ = [joined[i:j] for i, j in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
-            if unknown := list(dict.fromkeys(t for t in texts_ if t not in self.long)):
-                self.long.update(zip(unknown, self._learn(unknown).tolist(), strict=True))
-            index[far] = [self.long[t] for t in texts_]
         return index, np.searchsorted(starts, borders)
 
     def lengths(self, texts: list[str]) -> np.ndarray:
