@@ -26,8 +26,8 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_messages(spark: SparkSession, root: str) -> DataFrame:
-    """Messages that recur widely, with the class the rules give them."""
-    found = residue.recurrence(residue.messages(read_table(spark, root, "documents")))
+    """Fragments that recur widely, with the class the rules give them and how often they prove it."""
+    found = residue.recurrence(residue.fragments(read_table(spark, root, "documents")))
     return found.where((F.col("documents") >= residue.MIN_DOCUMENTS) & (F.col("sources") >= residue.MIN_SOURCES))
 
 

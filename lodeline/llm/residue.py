@@ -1,10 +1,15 @@
 """Problem 8: template residue, filler, error pages and script notices.
 
-Text cells are cut into messages (paragraphs). Numbers, addresses and dates of
-a message are masked and it is normalised; equal messages have equal hashes, by
-which all of them are counted over documents and sources. Groups that recur
-widely are classed by loose rules; beside this, what a rule knows for certain
-counts wherever it occurs, as most residue is unique.
+Text cells are cut into fragments: sentences, and the slots of templates. In a
+fragment numbers, addresses, dates, references and the names of slots, runs of
+typing noise and of pseudo-Latin are masked and it is normalised; equal fragments
+have equal hashes. All of them are counted over documents and sources. What
+recurs widely is classed by phrase and placeholder rules, and the documents that
+hold a classed group are found. Nothing is found by a rule alone: a fragment too
+rare to be a template or a server's message is not.
+
+Phrase rules pair a thing with what happened to it (page + not found, access +
+denied, scripts + enable) in several languages; none is a whole message.
 """
 
 from __future__ import annotations
@@ -13,7 +18,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,230 +26,171 @@ from pyspark.sql import functions as F
 from lodeline.llm.cells import TEXT, cells
 from lodeline.session import cut_lineage
 
-NONE, LIKELY, CERTAIN = 0, 1, 2
+#: Classes of fragments. A LOOSE slot has delimiters that genuine text uses too; its name must be one that templates use.
+NONE, ERROR, SCRIPT, FILLER, SLOT, NAME, LOOSE = 0, 1, 2, 3, 4, 5, 6
 
-#: A message recurs widely from so many documents and sources on.
+#: A fragment recurs widely from so many documents and sources on.
 MIN_DOCUMENTS, MIN_SOURCES = 5, 3
 
-#: Messages of error pages.
-ERROR_PHRASES = (
-    "This share link has expired",
-    "We could not find the notebook you asked for",
-    "The page you requested has moved or no longer exists",
-    "You do not have permission to view this notebook",
-    "Something broke on our side while rendering this file",
-    "Service is down for maintenance",
-    "Too many requests, please slow down",
-    "File is too big to display",
-    "The upstream renderer did not answer in time",
-    "Your session ended; sign in again to continue",
-    "Die angeforderte Seite wurde nicht gefunden",
-    "Zugriff verweigert",
-    "Beim Anzeigen ist ein Fehler aufgetreten",
-    "La page demandée est introuvable",
-    "Accès refusé",
-    "Une panne empêche l'affichage du carnet",
-    "No encontramos la página solicitada",
-    "Acceso denegado",
-    "Se produjo un fallo al mostrar el cuaderno",
-    "Não encontramos a página pedida",
-    "Acesso negado",
-    "Ocorreu uma falha ao exibir o caderno",
-    "Запрошенная страница не найдена",
-    "Доступ запрещён",
-    "Доступ запрещен",
-    "Не удалось показать блокнот",
-    "找不到您请求的页面",
-    "拒绝访问",
-    "访问被拒绝",
-    "显示笔记本时出现故障",
-    "お探しのページは見つかりません",
-    "アクセスが拒否されました",
-    "ノートブックを表示できませんでした",
-)
-
-#: Notices that scripts are required.
-SCRIPT_PHRASES = (
-    "Please enable JavaScript and reload",
-    "It looks like script execution is blocked",
-    "Allow scripts for this site to continue",
-    "Scripts are switched off in your browser",
-    "JavaScript is required",
-    "interactive preview unavailable, activate JS",
-    "This viewer needs JavaScript",
-    "You need a browser with scripting support",
-    "You need to enable JavaScript",
-    "Bitte aktivieren Sie JavaScript",
-    "Ihr Browser führt keine Skripte aus",
-    "Activez JavaScript pour afficher",
-    "L'exécution de scripts est nécessaire",
-    "Esta página necesita que los scripts estén habilitados",
-    "Active JavaScript para ver",
-    "Esta página exige scripts habilitados",
-    "Ative o JavaScript para ver",
-    "Для этой страницы нужны скрипты",
-    "Включите JavaScript, чтобы увидеть",
-    "请启用 JavaScript 以查看",
-    "您的浏览器已禁用脚本",
-    "JavaScript を有効にしてください",
-    "スクリプトが無効になっています",
-)
-
-#: Filler that stands for text to be written.
-FILLER_PHRASES = (
-    "text goes here",
-    "content to follow",
-    "body copy pending",
-    "insert description",
-    "write your explanation in this cell",
-    "replace this text with your own",
-    "this is a dummy paragraph",
-    "lorem ipsum dolor sit",
-    "hier steht der Text",
-    "texte à venir",
-    "aquí va el texto",
-    "texto de exemplo",
-    "здесь будет текст",
-    "此处填写内容",
-    "ここに本文を入れる",
-)
-
-#: Filler that must be a whole sentence, as its words are common.
-FILLER_SENTENCES = ("sample text", "placeholder text", "dummy text")
-
-#: Words of pseudo-Latin filler.
-LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed tempor incididunt labore magna aliqua enim minim veniam quis nostrud"
-    " exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat"
-    " nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum vellum rursus vitae tandem"
-    " fugit sequi arbor lumen clamor mentis turbae ventus porta pondus ignota noctis silva obliqua quorum errat".split()
-)
-
-#: What slots of templates are named, where the form of a slot alone proves nothing.
-SLOTS = frozenset(
-    "title team short_summary summary dataset course contact author author_name date goal results project name description version"
-    " titel zusammenfassung ergebnisse titre auteur résumé título autor autora resumo resumen nome nombre nom"
-    " 題名 著者 要約 标题 作者 摘要 название автор резюме शीर्षक लेखक सारांश العنوان المؤلف ملخص".split()
-)
-
-#: Rows of keys that typing noise is made of.
-KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-
-_KEYED = re.compile(r"^(?:asdf\w*|qwer\w*|zxcv\w*|jkl|hjkl\w*|hjk\w*|sdf\w*|dfg\w*|fgh\w*)$")
-
 # a message has no blank lines, so what opens and closes in it may be wrapped
+_SPLIT = re.compile(r"\n[ \t >*]*(?:\n[ \t >*]*)+")
 _SPAN = re.compile(r"```.*?```|``.+?``|`[^`]*`", re.S)
-_MATH = re.compile(r"\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|(?<![\\\w$])\$(?![{(\s$])[^$]{1,200}?(?<!\s)\$(?![\w{(])", re.S)
-_QUOTED = re.compile(r"\"[^\"]{1,200}\"|“[^”]{1,200}”|„[^“”]{1,200}[“”]")
+_MATH = re.compile(r"\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|(?<![\\\w$])\$(?![{(\s$])[^$]+?(?<!\s)\$(?![\w{(])", re.S)
+_QUOTED = re.compile(r"\"[^\"]+\"|“[^”]+”|„[^“”]+[“”]")
 _TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>", re.I)
 
 _L = r"[\w\u0300-\u036f\u064b-\u0652\u0900-\u0dff\u0e31-\u0e4e]"  # letters with their marks
-_W = rf"[^\W\d]{_L}*(?:[ \-][^\W\d]{_L}*){{0,3}}"  # a slot's name: up to four words
-_PLACEHOLDER = re.compile(
-    rf"""
-    (?<![\^_\w\\}}{{$]) \{{\{{\s*(?:{_W}\.)*{_W}\s*(?:\|[^{{}}]*)?\}}\}}   # {{{{ name }}}}
-    | \{{%-?\s*\w+[^%]*%\}}                                                        # {{% block name %}}
-    | <%=?\s*[^%<>]{{1,80}}%>                                                      # <%= name %>
-    | (?<![\w$])\$\{{\s*{_W}\s*\}}                                                 # ${{name}}
-    | (?<![\w$])\$\(\s*{_W}\s*\)(?!\$)                                             # $(name)
-    | (?<!\w)\#\{{\s*{_W}\s*\}}                                                    # #{{name}}
-    | (?<![\w@])@@\s*{_W}\s*@@(?![\w@])                                            # @@name@@
-    | (?<![\w%])%%\s*{_W}\s*%%(?![\w%])                                            # %%name%%
-    | (?<!\[)\[\[\s*{_W}\s*\]\](?!\])                                              # [[name]]
-    | <<\s*{_W}\s*>>                                                               # <<name>>
-    | [\[<(]\s*insert\s+(?:your\s+)?{_W}\s*[\]>)]                                  # [insert name]
-    | [\[<(]\s*your\s+{_W}\s*[\]>)](?!\()                                          # <your name here>
-    | [\[<(]\s*{_W}\s+goes\s+here\s*[\]>)]                                         # [name goes here]
-    | [\[<(]\s*add\s+{_W}\s+here\s*[\]>)]                                          # (add name here)
-    | ~~\s*{_W}\s*~~\s*\(fill\s+in\)                                               # ~~name~~ (fill in)
-    """,
-    re.X | re.I,
-)
-_NAMED = re.compile(rf"«\s*({_W})\s*»|(?<![\w\\^$#{{}}%])\{{\s*({_W})\s*\}}(?!\}})|(?<!\w)__({_W})__(?!\w)")
-_TRIGGER = re.compile(r"[{}<>\[\]«@%$~]|__|\((?=\s*(?:insert|your|add|\w[^()]*goes))", re.I)
-
-_SPLIT = re.compile(r"\n[ \t >*]*(?:\n[ \t >*]*)+")
-_SENTENCE = re.compile(r"[.!?:。…;\n]+(?:\s|$)|。")
-_WORD = re.compile(r"[^\W_]+")
-_SQUEEZE = re.compile(r"[\W_]+")
+_W = rf"[^\W\d]{_L}*(?:[ \-][^\W\d]{_L}*)*"  # a slot's name
+#: Styles of slots: what opens, what closes, and whether nothing but a template writes so.
+_STYLES = [
+    ("{{", rf"(?<![\^_\w\\}}{{$])\{{\{{\s*(?:{_W}\.)*({_W})\s*(?:\|[^{{}}]*)?\}}\}}", SLOT),
+    ("{%", r"\{%-?\s*\w+([^%]*)%\}", SLOT),
+    ("<%", r"<%=?\s*([^%<>]+)%>", SLOT),
+    ("${", rf"(?<![\w$])\$\{{\s*({_W})\s*\}}", SLOT),
+    ("$(", rf"(?<![\w$])\$\(\s*({_W})\s*\)(?!\$)", SLOT),
+    ("#{", rf"(?<!\w)\#\{{\s*({_W})\s*\}}", SLOT),
+    ("%(", rf"%\(\s*({_W})\s*\)[sdfr](?!\w)", SLOT),
+    ("@@", rf"(?<![\w@])@@\s*({_W})\s*@@(?![\w@])", SLOT),
+    ("%%", rf"(?<![\w%])%%\s*({_W})\s*%%(?![\w%])", SLOT),
+    ("[[", rf"(?<!\[)\[\[\s*({_W})\s*\]\](?!\])", SLOT),
+    ("<<", rf"<<\s*({_W})\s*>>", SLOT),
+    ("[insert", rf"[\[<(]\s*insert\s+(?:your\s+)?({_W})\s*[\]>)]", SLOT),
+    ("[here", rf"[\[<(]\s*(?:your\s+)?({_W})\s+(?:goes\s+)?here\s*[\]>)]", SLOT),
+    ("[your", rf"[\[<(]\s*your\s+({_W})\s*[\]>)](?!\()", SLOT),
+    ("[tbd", r"[\[<(]\s*(tbd|tba|todo|fill\s+in|fill\s+me\s+in|to\s+be\s+(?:added|done|written|completed|filled\s+in))\s*[\]>)](?!\()", SLOT),
+    ("~~", rf"~~\s*({_W})\s*~~\s*\(fill\s+in\)", SLOT),
+    ("«", rf"«\s*({_W})\s*»", LOOSE),
+    ("{", rf"(?<![\w\\^$#{{}}%])\{{\s*({_W})\s*\}}(?!\}})", LOOSE),
+    ("__", rf"(?<!\w)__({_W})__(?!\w)", LOOSE),
+]
+_SLOT = re.compile("|".join(f"(?:{p})" for _, p, _ in _STYLES), re.I)
+_TRIGGER = re.compile(r"[{}<>\[\]«@%$~#]|__|\((?=\s*(?:insert|your|add|tb[ad]|todo|fill|to be|\w[^()]*here))", re.I)
+
+_SENTENCE = re.compile(r"[.!?:…;\n|]+(?:\s|$)|[。！？]")
+_WORD = re.compile(rf"[^\W_](?:{_L})*")
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+\.[\w.]+|\b\d{1,3}(?:\.\d{1,3}){3}\b", re.I)
 _DATE = re.compile(r"\b\d{4}-\d\d?-\d\d?(?:[T ]\d\d?:\d\d(?::\d\d(?:\.\d+)?)?Z?)?\b|\b\d\d?[./]\d\d?[./]\d{2,4}\b")
 _NUMBER = re.compile(r"\b[0-9a-f]*\d[0-9a-f]*\b", re.I)
-_STATUS = re.compile(r"^(?:http\s+)?[45]\d\d\b", re.I)
-
-#: Words of notices; a message of which they are a third looks like an error page.
-NOTICE_WORDS = frozenset("error page found unavailable denied forbidden expired permission maintenance timeout requests session refused gateway server".split())
+#: A number in brackets, with a word at most: the number of an incident.
+_STATUS = re.compile(r"(?<!\w)(?:http|error|status|code)\s*#(?=\W|$)", re.I)
+_REFERENCE = re.compile(r"[\[(]\s*(?:[^\W\d]+[:.]?\s*)?#(?:date|address)?\s*[\])]")
 
-#: Words about scripts and about switching them on; a message with both looks like a script notice.
-SCRIPT_WORDS = frozenset("javascript js noscript script scripts scripting".split())
-SWITCH_WORDS = frozenset("activate activated allow blocked browser disabled enable enabled needed needs off required requires".split())
 
-#: Messages that only say that text is missing or to come.
-PENDING = frozenset("todo tbd tba comingsoon underconstruction tobeadded tobecompleted tobedone tobewritten fillmein writeme addtexthere textmissing".split())
+def _any(*words: str) -> str:
+    return "(?:" + "|".join(words) + ")"
 
 
-def squeezed(text: str) -> str:
-    """Letters and digits alone, compatibility forms and case folded: what phrases are compared in."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    return _SQUEEZE.sub("", text.casefold())
-
-
-def masked(text: str) -> str:
-    """A message's normal form: numbers, addresses and dates masked, case and space folded."""
-    text = unicodedata.normalize("NFKC", text) if not text.isascii() else text
-    return " ".join(_NUMBER.sub("#", _DATE.sub("#date", _ADDRESS.sub("#address", text))).casefold().split())
+#: Phrase rules by class: each is what a fragment must hold, in any order. Words are folded and parted by single blanks.
+_THING = _any(
+    "pages?", "files?", "documents?", "sites?", "websites?", "resources?", "notebooks?", "links?", "urls?", "contents?", "previews?", "servers?", "services?", "sessions?", "viewers?", "connections?",
+    "seite", "datei", "dokument", "inhalt", "verbindung", "sitzung", "dienst", "fichier", "lien", "contenu", "carnet", "página", "pagina", "archivo", "documento", "enlace", "contenido", "cuaderno", "sesión", "servicio",
+    "arquivo", "conteúdo", "caderno", "sessão", "serviço", r"страниц\w*", r"файл\w*", r"документ\w*", r"блокнот\w*", r"ссылк\w*", r"сесси\w*", r"сервис\w*",
+)
+_GONE = _any(
+    "not found", "not be found", r"can t be found", "cannot be found", "no longer (?:exists?|available)", "(?:do|does) not exist", "doesn t exist", "(?:has|have) (?:moved|expired|ended)", "(?:has|have) been (?:moved|removed|deleted)", "unavailable",
+    "(?:is|are) (?:down|missing|not available|gone)", "too (?:big|large)", "(?:session|link) (?:expired|ended)", "timed out",
+    "nicht gefunden", "existiert nicht", "nicht (?:mehr )?verfügbar", "abgelaufen", "introuvable", "n existe (?:pas|plus)", "non trouvée?", "plus disponible", r"expirée?",
+    r"no encontrad[ao]", "no se encontr[óo]", "no encontramos", "no existe", "no (?:está )?disponible", r"caducad[ao]", r"expirad[ao]", r"não encontrad[ao]", "não encontramos", "não existe", "indisponível",
+    r"не найден\w*", "не существует", r"недоступ\w*", r"удал[её]н\w*", "истекла",
+)
+_FAIL = _any("could not", "couldn t", "cannot", "can t", "unable to", "failed to", "were not able to")
+_DO = _any("find", "load", "loaded", "display", "displayed", "open", "opened", "render", "rendered", "show", "shown", "retrieve", "fetch", "access", "connect", "reach", "reached")
+_SCRIPTS = _any("javascript", "js", "noscript", "scripting", "script execution", "skriptausführung")
+#: A script is many a thing; beside this word something must speak of a browser, of a page, or of what is switched.
+_ANY_SCRIPT = _any("scripts?", "skripte?", r"скрипт\w*")
+_SWITCH = _any(
+    "enabled?", "activate", "activated", "allow", "allowed", "turn(?:ed)? (?:on|off|them on|it on)", "switch(?:ed)? (?:on|off)", "required?", "requires", "needs?", "needed", "disabled", "blocked", "supports?", "supporting", "support",
+    r"aktivier\w*", r"erlaub\w*", "benötigt", "erforderlich", "deaktiviert", "ausgeschaltet", r"(?:schalten|einschalten)", r"führt keine", r"activez", "activer", "nécessaires?", "requis", r"désactivée?s?", r"autoris\w*", r"activ[ea]r?", r"habilit\w*", r"necesit\w*", "requier[ea]n?", r"desactivad[ao]s?",
+    "ative", "ativar", "exige", "requer", r"necess\w*", r"desativad[ao]s?", "включите", r"нужн\w*", r"требу\w*", r"отключ\w*", r"разреш\w*", r"необходим\w*",
+)
+_BROWSER = _any("browser", "page", "site", "view", "see", "continue", "blocked", "disabled", "off", "seite", "navigateur", "nécessaire", "navegador", "página", r"habilit\w*", r"браузер\w*", r"страниц\w*")
+_EAST_SCRIPTS = "javascript|js|脚本|スクリプト|स्क्रिप्ट|जावास्क्रिप्ट|سكريبت|스크립트|자바스크립트"
+_EAST_SWITCH = "启用|开启|禁用|需要|允许|打开|有効|無効|必要|許可|オン|सक्षम|تفعيل|تمكين|사용|활성"
+_TEXT = _any("texte?", "texto", "textos", "contents?", "copy", "paragraph", "description", "explanation", "title", "name", "summary", "caption", "abstract", "contenu", "contenido", "conteúdo", "inhalt", r"текст\w*", "описание")
+_RULES = {
+    ERROR: [
+        [r"^(?:error )?(?:page )?not found$|\byou have been blocked\b|\bchecking your browser\b"], [r"\b(?:erreur interne|error interno|erro interno|interner serverfehler|внутренняя ошибка)\b"],
+        [rf"\b{_THING}\b", rf"\b{_GONE}\b"], [rf"\b{_FAIL} (?:\w+ )?{_DO}\b"], [r"\bdid not (?:answer|respond)\b|\btook too long\b"],
+        [r"\b(?:access|permission)(?: is| was)? (?:denied|forbidden|refused|required|restricted)\b|\b(?:do not|don t) have (?:permission|access)\b|\bnot (?:authori[sz]ed|allowed|permitted) to (?:view|access|see|open)\b|\bforbidden\b|\b(?:cannot|can t|may not) access\b"],
+        [r"\b(?:internal server|server|proxy|application) error\b|\bbad (?:gateway|request)\b|\bgateway time ?out\b|\brequest time ?out\b"],
+        [r"\bsomething (?:went wrong|broke)\b|\b(?:an|unexpected|unknown|unhandled) (?:\w+ )?error (?:has )?occurred\b"], [r"\btoo many requests\b|\brate limit exceeded\b"], [r"\b(?:down|closed|under|undergoing) (?:for )?(?:\w+ )?maintenance\b"],
+        [r"\b(?:sign|log) in (?:again )?to (?:continue|view)\b"],
+        [r"\bzugriff (?:verweigert|nicht)|\bzu viele anfragen\b|\bwartungsarbeiten\b", ], [r"\b(?:fehler|problem|störung)\b", r"\b(?:aufgetreten|passiert)\b"], [r"\bnicht (?:angezeigt|geladen|geöffnet) werden\b"],
+        [r"\baccès (?:refusé|interdit)|\btrop de requêtes\b|\ben maintenance\b"], [r"\b(?:erreur|panne|problème)\b", r"\b(?:survenue?|produite?|empêche|affichage)\b"],
+        [r"\b(?:acceso|acesso) (?:denegado|negado|prohibido|proibido)|\bdemasiadas (?:solicitudes|peticiones)\b|\bmuitas solicitações\b|\b(?:en mantenimiento|em manutenção)\b"], [r"\b(?:error|fallo|problema|erro|falha)\b", r"\b(?:produjo|ocurrió|ocurrido|ocorreu|aconteceu|produzido)\b"],
+        [r"\bдоступ (?:запрещ|закрыт|огранич)|\bслишком много запросов\b|\bтехническ\w* работ|\bне удалось (?:показать|загрузить|открыть|найти|отобразить)"], [r"\b(?:ошибка|сбой)\b", r"\b(?:произош\w*|сервера|возник\w*)\b"],
+        [r"找不到|未找到|不存在|已失效|无法(?:访问|显示|打开|加载)", r"页|网|文件|文档|链接|资源|笔记本|内容"], [r"拒绝访问|访问被拒|禁止访问|没有权限|无权|请求(?:过多|太多|过于频繁)|会话已过期|系统维护|服务器错误"], [r"错误|故障|出错|异常", r"显示|发生|出现|服务"],
+        [r"見つかりません|見つかりませんでした|存在しません|表示できません|読み込めません|削除されました"], [r"アクセス", r"拒否|禁止|権限|できません"], [r"エラー|障害|問題", r"発生"], [r"メンテナンス中|リクエストが多すぎ|セッション(?:が|の)"],
+        [r"नहीं मिला|अस्वीकृत|त्रुटि हुई"], [r"غير موجود|تم رفض|حدث خطأ|غير متاح"], [r"찾을 수 없|거부되었|오류가 발생"],
+    ],
+    SCRIPT: [[rf"\b{_SCRIPTS}\b", rf"\b{_SWITCH}\b"], [rf"\b{_ANY_SCRIPT}\b", rf"\b{_SWITCH}\b", rf"\b{_BROWSER}\b"], [_EAST_SCRIPTS, _EAST_SWITCH]],
+    FILLER: [
+        [rf"\b{_TEXT} (?:goes here|here|to follow|to come|pending|coming(?: soon)?|missing|tbd)\b"], [r"^(?:this is )?(?:a |an |some |the )?(?:sample|placeholder|dummy|filler|example) (?:text|content|copy|paragraph|title|description)(?: for layout| only)?$"],
+        [rf"\b(?:insert|add|put|enter|type|write|replace)\b", rf"\b{_TEXT}\b", r"\b(?:your|here|own|this)\b"], [rf"^(?:insert|add|enter|type|write) (?:a |the |your |some )?{_TEXT}$"], [r"\blorem ipsum\b"], [r"^(?:tbd|tba|todo|coming soon|under construction|fill me in|write me|to be (?:added|done|written|completed|announced|filled in))$"],
+        [r"\bhier\b", r"\b(?:steht|kommt|folgt|einfügen|eingeben)\b", r"\b(?:text|inhalt)\b"], [r"\b(?:platzhaltertext|blindtext|beispieltext|mustertext|text folgt)\b"], [r"\btexte (?:à venir|ici|d exemple|de remplissage|à compléter)\b|\b(?:insérer|insérez|ajoutez|votre) (?:\w+ )?texte\b|\bà compléter\b"],
+        [r"\baquí (?:va|irá|el)\b|\btexto (?:de ejemplo|de relleno|aquí|pendiente|de prueba)\b|\b(?:inserte|escriba|agregue) (?:\w+ )?(?:texto|contenido|descripción)\b"], [r"\btexto (?:de exemplo|aqui|fictício|provisório|de preenchimento)\b|\b(?:insira|escreva|adicione) (?:\w+ )?(?:texto|conteúdo|descrição)\b"],
+        [r"\b(?:здесь|тут) (?:будет|должен быть|появится)\b", r"текст|описание"], [r"\b(?:введите|вставьте|добавьте|ваш) (?:\w+ )?текст\b|\bпример текста\b|\bтекст заглушка\b"],
+        [r"此处|这里|在此|此處", r"填写|输入|内容|文字|文本|添加"], [r"示例文[字本]|占位|待补充|待填写"], [r"ここに", r"本文|テキスト|文章|入力|挿入|入れ"], [r"サンプルテキスト|ダミーテキスト|仮テキスト"], [r"यहाँ (?:पाठ|लिखें|टेक्स्ट)"], [r"النص هنا|أدخل النص|نص تجريبي"], [r"여기에", r"입력|텍스트|내용"],
+    ],
+}
+_COMPILED = [(kind, [re.compile(p) for p in rule]) for kind, rules in _RULES.items() for rule in rules]
+
+#: Words that a notice or a line of filler has at most; what is longer tells something.
+LONGEST = 16
+
+#: Words of the customary pseudo-Latin passage that no living language uses often.
+LATIN = frozenset(
+    "lorem ipsum dolor amet consectetur adipiscing eiusmod tempor incididunt labore dolore magna aliqua veniam quis nostrud exercitation ullamco laboris"
+    " aliquip commodo consequat duis aute irure reprehenderit voluptate velit cillum fugiat pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit laborum".split()
+)
 
+#: The rows of a keyboard.
+KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+_PLACE = {c: (r, i) for r, row in enumerate(KEY_ROWS) for i, c in enumerate(row)}
 
-_automata: list = []
 
+def keyed(word: str) -> bool:
+    """Whether a word is typed along one row of the keyboard: at most one step in three isn't to the next key."""
+    if len(word) < 3 or word[0] not in _PLACE:
+        return False
+    places = [_PLACE.get(c) for c in word]
+    row = places[0][0]
+    if any(p is None or p[0] != row for p in places):
+        return False
+    steps = [b[1] - a[1] for a, b in zip(places, places[1:], strict=False)]
+    on = max(steps.count(1), steps.count(-1))
+    return 3 * (len(steps) - on) <= len(steps)
 
-def _phrases() -> ahocorasick.Automaton:
-    if not _automata:
-        automaton = ahocorasick.Automaton()
-        for phrase in (*ERROR_PHRASES, *SCRIPT_PHRASES, *FILLER_PHRASES):
-            automaton.add_word(squeezed(phrase), True)
-        automaton.make_automaton()
-        _automata.append(automaton)
-    return _automata[0]
 
+def masked_filler(words: list[str], share: int = 5) -> str | None:
+    """The mask of a run of words that are typing noise, pseudo-Latin or one filler word over and over; None for other text.
 
-def placeholder(text: str) -> bool:
-    """A slot of a template that nobody filled in; formulas, code and quotations must be out of the text."""
-    if not _TRIGGER.search(text):
-        return False
-    if _PLACEHOLDER.search(text):
-        return True
-    for m in _NAMED.finditer(text):
-        name = next(g for g in m.groups() if g)
-        known = re.sub(r"[\s\-]+", "_", name.casefold()) in SLOTS
-        if known or "_" in name.strip("_") or (m.group(3) and name == name.upper() and len(name) > 1):
-            return True
-    return False
-
-
-def filler(text: str) -> bool:
-    """Typing noise, pseudo-Latin, repeated syllables or x's, or a sentence that only stands for text."""
-    words = _WORD.findall(text.casefold())
-    if not words:
-        return False
-    keyed = latin = run = 0
-    last = None
-    for w in words:
-        keyed = keyed + 1 if _KEYED.match(w) else 0
-        run = run + 1 if (w == "blah" or (len(w) > 2 and not w.strip("x"))) and (last is None or run == 0 or w[0] == last[0]) else 0
-        latin += w in LATIN
-        last = w
-        if keyed > 1 or run > 1:
-            return True
-    if latin > 3 and 2 * latin > len(words):
-        return True
-    if latin > 3:
-        for sentence in _SENTENCE.split(text):
-            own = _WORD.findall(sentence.casefold())
-            if len(own) > 3 and 10 * sum(w in LATIN for w in own) > 7 * len(own):
-                return True
-    return any(" ".join(_WORD.findall(s.casefold())) in FILLER_SENTENCES for s in _SENTENCE.split(text))
+    share: one word in so many must be of the pseudo-Latin passage.
+    """
+    n = len(words)
+    if n < 2:
+        return None
+    typed = [w for w in words if keyed(w)]
+    # a word that happens to lie on the keys ("were") doesn't make noise
+    if 2 * len(typed) > n and (len(set(typed)) > 1 or len(typed[0]) > 4):
+        return "#keys"
+    known = [w for w in words if w in LATIN]
+    distinct = len(set(known))
+    if (distinct > 2 and share * len(known) >= n) or (distinct > 1 and 3 * len(known) >= n):
+        return "#latin"
+    if all(len(w) > 2 and not w.strip("x") for w in words) or set(words) in ({"blah"}, {"bla"}, {"yada"}):
+        return "#again"
+    return None
+
+
+def classify(normal: str) -> int:
+    """ERROR, SCRIPT, FILLER or NONE of a normalised fragment."""
+    if normal in ("#keys", "#latin", "#again"):
+        return FILLER
+    # scripts without blanks have few words; their length is counted in characters
+    if normal.count(" ") >= LONGEST or len(normal) > 12 * LONGEST:
+        return NONE
+    return next((kind for kind, rule in _COMPILED if all(p.search(normal) for p in rule)), NONE)
 
 
 def cleaned(message: str) -> str:
@@ -260,34 +205,39 @@ def cleaned(message: str) -> str:
     return " ".join(text.split())
 
 
-def classify(message: str) -> int:
-    """CERTAIN, LIKELY or NONE for one message of a text cell."""
-    text = cleaned(message)
-    if placeholder(text):
-        return CERTAIN
-    plain = _TAG.sub(" ", text) if "<" in text else text
-    if filler(plain) or next(_phrases().iter(squeezed(plain)), None):
-        return CERTAIN
-    if len(plain) < 300 and _STATUS.match(bare := plain.strip(" \t\n>#*_")):
-        words = _WORD.findall(bare.casefold())
-        known = sum(w in NOTICE_WORDS for w in words)
-        if known > 1 and 3 * known >= len(words):
-            return LIKELY
-    return NONE
-
-
-def loosely(message: str) -> int:
-    """LIKELY or NONE by rules too loose for one message alone: notices by their words, slots of any name with hardly a word beside them, text to come."""
-    if len(message) >= 300:
-        return NONE
-    text = cleaned(message)
-    plain = _TAG.sub(" ", text) if "<" in text else text
-    words = _WORD.findall(plain.casefold())
-    known = [w for w in words if w in NOTICE_WORDS]
-    notice = len(set(known)) > 1 and 3 * len(known) >= len(words)
-    script = not SCRIPT_WORDS.isdisjoint(words) and not SWITCH_WORDS.isdisjoint(words)
-    slot = bool(_TRIGGER.search(text) and _NAMED.search(text)) and len(_WORD.findall(_NAMED.sub(" ", text))) < 4
-    return LIKELY if notice or script or slot or "".join(words) in PENDING else NONE
+def slots(text: str) -> list[tuple[str, str, int]]:
+    """(style, name, class) of each slot in a text without formulas, code and quotations."""
+    out = []
+    if _TRIGGER.search(text):
+        for m in _SLOT.finditer(text):
+            style, _, kind = _STYLES[m.lastindex - 1]
+            out.append((style, re.sub(r"[\s\-_]+", " ", m.group(m.lastindex).casefold()).strip(), kind))
+    return out
+
+
+def _weight(word: str) -> int:
+    """How many words a run of letters counts for: scripts without blanks have about two letters a word."""
+    return 1 if word < "\u2e80" else -(-len(word) // 2)
+
+
+def sentences(text: str) -> list[tuple[str, int]]:
+    """(normal form, words) of the sentences of a cleaned message: masked, folded, words parted by single blanks."""
+    if _TRIGGER.search(text):
+        text = _TAG.sub(" . ", _SLOT.sub(" ", text))
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    text = _NUMBER.sub("#", _DATE.sub("#date", _ADDRESS.sub("#address", text)))
+    # what an incident's number follows ends there; a status is a number with its label
+    text = _STATUS.sub(" ", _REFERENCE.sub(" . ", text)).casefold()
+    out, every = [], []
+    for sentence in _SENTENCE.split(text):
+        words = _WORD.findall(sentence.replace("#date", " ").replace("#address", " "))
+        if words:
+            every += words
+            out.append((masked_filler(words) or " ".join(words), sum(map(_weight, words))))
+    # over a whole message fewer words of the passage are enough
+    whole = masked_filler(every, 8) if len(out) > 1 else None
+    return [(whole, sum(map(_weight, every)))] if whole else out
 
 
 def messages_of(text: str | None) -> Iterator[str]:
@@ -300,61 +250,104 @@ def messages_of(text: str | None) -> Iterator[str]:
                     yield message
 
 
-def messages(documents: DataFrame) -> DataFrame:
-    """One row per document and distinct message: doc_id, source, message (hash), kind, sample (only where kind isn't NONE).
+def fragments_of(text: str | None, known: dict[str, int]) -> Iterator[tuple[str, int, bool]]:
+    """(normal form, class, whether it stands by itself) of each fragment of a document.
 
-    Documents are read where they lie; of a message only its hash travels.
+    A sentence stands by itself if sentences of some class make up a third of its
+    message or more, a single word if it is the message. Lines may be wrapped or stand for themselves, so a message of
+    several is read both ways. A slot gives its style and its name.
+    """
+    for message in messages_of(text):
+        clean = cleaned(message)
+        for style, name, kind in slots(clean):
+            if kind == SLOT:
+                yield f"slot {style}", SLOT, True
+                yield f"name {name}", NAME, True
+            else:
+                yield f"name {name}", LOOSE, False
+        readings = [sentences(clean)]
+        if "\n" in message.strip():
+            readings.append([s for line in message.split("\n") for s in sentences(cleaned(line))])
+        for found in readings:
+            kinds = []
+            for s, _ in found:
+                kind = known.get(s)
+                if kind is None:
+                    if len(known) > 500_000:
+                        known.clear()
+                    kind = known[s] = classify(s)
+                kinds.append(kind)
+            total = sum(n for _, n in found)
+            alone = any(kinds) and 3 * sum(n for (_, n), k in zip(found, kinds, strict=True) if k) >= total
+            for (s, n), k in zip(found, kinds, strict=True):
+                # one word is a heading or a cell of a table, unless the message is that word
+                yield s, k, bool(k) and alone and (n > 1 or n == total)
+
+
+def fragments(documents: DataFrame) -> DataFrame:
+    """One row per document and distinct fragment: doc_id, source, fragment (hash), kind, proof, sample (only where kind isn't NONE).
+
+    Documents are read where they lie, whole; of a fragment only its hash travels.
+    proof: the fragment counts towards its group's being residue (it stands by
+    itself, or a template's delimiters say so).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[int, int] = {}
+        known: dict[str, int] = {}
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, text, source in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                seen: dict[int, tuple] = {}
-                for message in messages_of(text):
-                    normal = masked(message)
+                seen: dict[tuple[str, bool], tuple] = {}
+                for normal, kind, proof in fragments_of(text, known):
+                    at = (normal, kind == LOOSE)
+                    if at not in seen or proof > seen[at][1]:
+                        seen[at] = (kind, proof)
+                for (normal, _), (kind, proof) in seen.items():
                     code = xxhash.xxh3_64_intdigest(normal) - (1 << 63)
-                    # the memo is by the text itself: what masking removes may matter to a rule
-                    own = xxhash.xxh3_64_intdigest(message)
-                    kind = memo.get(own)
-                    if kind is None:
-                        if len(memo) > 500_000:
-                            memo.clear()
-                        kind = memo[own] = classify(message) or loosely(message)
-                    if code not in seen or kind > seen[code][3]:
-                        seen[code] = (doc, source, code, kind, normal[:200] if kind else None)
-                for row in seen.values():
-                    for column, x in zip(out, row, strict=True):
+                    for column, x in zip(out, (doc, source, code, kind, proof, normal if kind else None), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.string())], names=["doc_id", "source", "message", "kind", "sample"])
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int8(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "source", "fragment", "kind", "proof", "sample"])
 
-    return documents.select("doc_id", "text", "source").mapInArrow(run, "doc_id bigint, source string, message bigint, kind int, sample string")
+    return documents.select("doc_id", "text", "source").mapInArrow(run, "doc_id bigint, source string, fragment bigint, kind tinyint, proof boolean, sample string")
 
 
 def recurrence(found: DataFrame) -> DataFrame:
-    """Each message over the corpus: message, documents, sources, kind, classed (documents where a rule, loose or not, knows it), sample.
+    """Each fragment over the corpus: fragment, documents, sources, proofs (documents that prove), proof_sources, kind, sample.
+
+    Sources are counted exactly (null and the empty one are one source): each pair of fragment and source is aggregated
+    before the shuffle, so a fragment that a third of all documents hold is a row per source and task.
+    """
+    pairs = found.groupBy("fragment", F.coalesce("source", F.lit("")).alias("source")).agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if("proof").alias("proofs"), F.max(F.when(F.col("kind") != LOOSE, F.col("kind"))).alias("kind"), F.min("sample").alias("sample"))
+    return pairs.groupBy("fragment").agg(
+        F.sum("documents").alias("documents"), F.count(F.lit(1)).cast("int").alias("sources"), F.sum("proofs").alias("proofs"), F.count_if(F.col("proofs") > 0).cast("int").alias("proof_sources"), F.max("kind").alias("kind"), F.min("sample").alias("sample"))
+
+
+def residue_groups(groups: DataFrame, min_documents: int = MIN_DOCUMENTS, min_sources: int = MIN_SOURCES) -> DataFrame:
+    """The groups that recur widely and are residue by the rules: fragment, kind.
 
-    Sources are counted exactly (null and the empty one are one source): each pair of message and source is aggregated
-    before the shuffle, so a message that a third of all documents hold is a row per source and task.
+    A sentence must stand by itself in most of its documents. The name of a slot
+    counts if templates' own delimiters hold it widely; it then tells slots of
+    looser delimiters from other text.
     """
-    pairs = found.groupBy("message", F.coalesce("source", F.lit("")).alias("source")).agg(
-        F.count(F.lit(1)).alias("documents"), F.max("kind").alias("kind"), F.count_if(F.col("kind") != NONE).alias("classed"), F.min("sample").alias("sample"))
-    return pairs.groupBy("message").agg(F.sum("documents").alias("documents"), F.count(F.lit(1)).cast("int").alias("sources"), F.max("kind").alias("kind"), F.sum("classed").alias("classed"), F.min("sample").alias("sample"))
+    wide = groups.where((F.col("proofs") >= min_documents) & (F.col("proof_sources") >= min_sources))
+    return wide.where((F.col("kind") == NAME) | (2 * F.col("proofs") > F.col("documents"))).select("fragment", "kind")
 
 
 def flagged(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_sources: int = MIN_SOURCES) -> DataFrame:
     """doc_id of each document that shows residue, filler, an error or a script notice, each id once.
 
-    Every message is counted, whatever its class. Documents with a message that recurs in at least ``min_documents``
-    documents of ``min_sources`` sources and that the rules, loose ones too, know in most of these; and documents with a
-    certain message, however rare. Null, empty and blank texts are never flagged; rows with equal doc_id count as one document.
+    Every fragment of every document is counted. Found are the documents with a fragment whose group recurs in at
+    least ``min_documents`` documents of ``min_sources`` sources and is residue by the rules. Null, empty and blank
+    texts are never flagged; rows with equal doc_id count as documents of their own.
     """
-    # read once: the messages' hashes are written to the shared folder, then used twice
-    found = cut_lineage(messages(documents))
-    wide = recurrence(found).where((F.col("documents") >= min_documents) & (F.col("sources") >= min_sources) & (2 * F.col("classed") > F.col("documents"))).select("message")
-    certain = found.where(F.col("kind") == CERTAIN).select("doc_id")
-    return found.select("doc_id", "message").join(wide, "message", "left_semi").select("doc_id").unionByName(certain).distinct()
+    # read once: the fragments' hashes are written to the shared folder, then used twice
+    found = cut_lineage(fragments(documents))
+    groups = residue_groups(recurrence(found), min_documents, min_sources)
+    # a name alone proves nothing of the document that only has it in a proven slot: that slot's style does
+    hit = found.where((F.col("kind") != NONE) & (F.col("kind") != NAME)).select("doc_id", "fragment")
+    return hit.join(groups.select("fragment"), "fragment", "left_semi").select("doc_id").distinct()
 
 
 def exclude(documents: DataFrame, **limits: int) -> DataFrame:
