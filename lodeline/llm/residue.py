@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -58,7 +59,10 @@ _STYLES = [
     ("[here", rf"[\[<(]\s*(?:your\s+)?({_W})\s+(?:goes\s+)?here\s*[\]>)]", SLOT),
     ("[your", rf"[\[<(]\s*your\s+({_W})\s*[\]>)](?!\()", SLOT),
     ("[tbd", r"[\[<(]\s*(tbd|tba|todo|fill\s+in|fill\s+me\s+in|to\s+be\s+(?:added|done|written|completed|filled\s+in))\s*[\]>)](?!\()", SLOT),
+    ("{{{", rf"(?<!\{{)\{{\{{\{{\s*({_W})\s*\}}\}}\}}(?!\}})", SLOT),
+    ("[%", rf"\[%-?\s*({_W})\s*-?%\]", SLOT),
     ("~~", rf"~~\s*({_W})\s*~~\s*\(fill\s+in\)", SLOT),
+    ("[", rf"(?<![\]\w\[!])\[\s*({_W})\s*\](?![\](\[:])", LOOSE),
     ("«", rf"«\s*({_W})\s*»", LOOSE),
     ("{", rf"(?<![\w\\^$#{{}}%])\{{\s*({_W})\s*\}}(?!\}})", LOOSE),
     ("__", rf"(?<!\w)__({_W})__(?!\w)", LOOSE),
@@ -82,15 +86,15 @@ def _any(*words: str) -> str:
 
 #: Phrase rules by class: each is what a fragment must hold, in any order. Words are folded and parted by single blanks.
 _THING = _any(
-    "pages?", "files?", "documents?", "sites?", "websites?", "resources?", "notebooks?", "links?", "urls?", "contents?", "previews?", "servers?", "services?", "sessions?", "viewers?", "connections?",
+    "pages?", "files?", "documents?", "sites?", "websites?", "resources?", "notebooks?", "links?", "urls?", "contents?", "previews?", "servers?", "services?", "sessions?", "viewers?", "connections?", "repositor(?:y|ies)", "items?", "videos?", "images?", "apps?", "applications?", "accounts?", "articles?", "posts?", "projects?", "profiles?",
     "seite", "datei", "dokument", "inhalt", "verbindung", "sitzung", "dienst", "fichier", "lien", "contenu", "carnet", "página", "pagina", "archivo", "documento", "enlace", "contenido", "cuaderno", "sesión", "servicio",
     "arquivo", "conteúdo", "caderno", "sessão", "serviço", r"страниц\w*", r"файл\w*", r"документ\w*", r"блокнот\w*", r"ссылк\w*", r"сесси\w*", r"сервис\w*",
 )
 _GONE = _any(
-    "not found", "not be found", r"can t be found", "cannot be found", "no longer (?:exists?|available)", "(?:do|does) not exist", "doesn t exist", "(?:has|have) (?:moved|expired|ended)", "(?:has|have) been (?:moved|removed|deleted)", "unavailable",
+    "not found", r"(?:can ?not|can t|could not|couldn t|not) be (?:found|located|loaded|displayed|opened|reached|shown)", "(?:isn t|aren t|not) (?:currently )?available", "(?:is|are) private", "(?:was|were) (?:moved|removed|deleted)", "suspended", "broken", r"can t be found", "cannot be found", "no longer (?:exists?|available)", "(?:do|does) not exist", "doesn t exist", "(?:has|have) (?:moved|expired|ended)", "(?:has|have) been (?:moved|removed|deleted)", "unavailable",
     "(?:is|are) (?:down|missing|not available|gone)", "too (?:big|large)", "(?:session|link) (?:expired|ended)", "timed out",
     "nicht gefunden", "existiert nicht", "nicht (?:mehr )?verfügbar", "abgelaufen", "introuvable", "n existe (?:pas|plus)", "non trouvée?", "plus disponible", r"expirée?",
-    r"no encontrad[ao]", "no se encontr[óo]", "no encontramos", "no existe", "no (?:está )?disponible", r"caducad[ao]", r"expirad[ao]", r"não encontrad[ao]", "não encontramos", "não existe", "indisponível",
+    r"no encontrad[ao]", "no se encontr[óo]", "no encontramos", "no existe", "no (?:está )?disponible", "não (?:está )?disponível", r"caducad[ao]", r"expirad[ao]", r"não encontrad[ao]", "não encontramos", "não existe", "indisponível",
     r"не найден\w*", "не существует", r"недоступ\w*", r"удал[её]н\w*", "истекла",
 )
 _FAIL = _any("could not", "couldn t", "cannot", "can t", "unable to", "failed to", "were not able to")
@@ -110,30 +114,36 @@ _TEXT = _any("texte?", "texto", "textos", "contents?", "copy", "paragraph", "des
 _RULES = {
     ERROR: [
         [r"^(?:error )?(?:page )?not found$|\byou have been blocked\b|\bchecking your browser\b"], [r"\b(?:erreur interne|error interno|erro interno|interner serverfehler|внутренняя ошибка)\b"],
-        [rf"\b{_THING}\b", rf"\b{_GONE}\b"], [rf"\b{_FAIL} (?:\w+ )?{_DO}\b"], [r"\bdid not (?:answer|respond)\b|\btook too long\b"],
-        [r"\b(?:access|permission)(?: is| was)? (?:denied|forbidden|refused|required|restricted)\b|\b(?:do not|don t) have (?:permission|access)\b|\bnot (?:authori[sz]ed|allowed|permitted) to (?:view|access|see|open)\b|\bforbidden\b|\b(?:cannot|can t|may not) access\b"],
-        [r"\b(?:internal server|server|proxy|application) error\b|\bbad (?:gateway|request)\b|\bgateway time ?out\b|\brequest time ?out\b"],
-        [r"\bsomething (?:went wrong|broke)\b|\b(?:an|unexpected|unknown|unhandled) (?:\w+ )?error (?:has )?occurred\b"], [r"\btoo many requests\b|\brate limit exceeded\b"], [r"\b(?:down|closed|under|undergoing) (?:for )?(?:\w+ )?maintenance\b"],
-        [r"\b(?:sign|log) in (?:again )?to (?:continue|view)\b"],
+        [rf"\b{_THING}\b", rf"\b{_GONE}\b"], [rf"\b{_FAIL} (?:\w+ )?{_DO}\b"], [r"\bdid not (?:answer|respond)\b|\btook too long\b|\bconnection (?:was )?(?:refused|reset|closed|timed out)\b|\brequest (?:has )?(?:failed|timed out)\b|^gone$"],
+        [r"\b(?:access|permission)(?: is| was)? (?:denied|forbidden|refused|required|restricted)\b|\b(?:do not|don t) have (?:permission|access)\b|\bnot (?:authori[sz]ed|allowed|permitted) to (?:view|access|see|open)\b|\bforbidden\b|\b(?:cannot|can t|may not) access\b|\byou need (?:permission|access|authori[sz]ation)\b"],
+        [r"\baccess\b", r"\b(?:denied|restricted|refused)\b"], [r"\b(?:keine (?:berechtigung|zugriffsrechte)|keinen zugriff|n avez pas (?:accès|l autorisation|la permission)|no tiene (?:permisos?|acceso)|no está autorizad[ao]|não tem (?:permissão|acesso)|нет (?:доступа|прав))\b"],
+        [r"\b(?:internal(?: server)?|server|proxy|application|network|system) error\b|\bbad (?:gateway|request)\b|\bgateway time ?out\b|\brequest time ?out\b"],
+        [r"\bsomething (?:went wrong|broke)\b|\b(?:an|unexpected|unknown|unhandled) (?:\w+ )?error (?:has )?occurred\b"], [r"\btoo many requests\b|\brate limit(?:ed| exceeded)\b"], [r"\b(?:down|closed|under|undergoing) (?:for )?(?:\w+ )?maintenance\b"],
+        [r"\b(?:sign|log) ?in (?:again )?to (?:continue|view|access|see)\b|\b(?:signed|logged) out\b"],
         [r"\bzugriff (?:verweigert|nicht)|\bzu viele anfragen\b|\bwartungsarbeiten\b", ], [r"\b(?:fehler|problem|störung)\b", r"\b(?:aufgetreten|passiert)\b"], [r"\bnicht (?:angezeigt|geladen|geöffnet) werden\b"],
         [r"\baccès (?:refusé|interdit)|\btrop de requêtes\b|\ben maintenance\b"], [r"\b(?:erreur|panne|problème)\b", r"\b(?:survenue?|produite?|empêche|affichage)\b"],
         [r"\b(?:acceso|acesso) (?:denegado|negado|prohibido|proibido)|\bdemasiadas (?:solicitudes|peticiones)\b|\bmuitas solicitações\b|\b(?:en mantenimiento|em manutenção)\b"], [r"\b(?:error|fallo|problema|erro|falha)\b", r"\b(?:produjo|ocurrió|ocurrido|ocorreu|aconteceu|produzido)\b"],
         [r"\bдоступ (?:запрещ|закрыт|огранич)|\bслишком много запросов\b|\bтехническ\w* работ|\bне удалось (?:показать|загрузить|открыть|найти|отобразить)"], [r"\b(?:ошибка|сбой)\b", r"\b(?:произош\w*|сервера|возник\w*)\b"],
-        [r"找不到|未找到|不存在|已失效|无法(?:访问|显示|打开|加载)", r"页|网|文件|文档|链接|资源|笔记本|内容"], [r"拒绝访问|访问被拒|禁止访问|没有权限|无权|请求(?:过多|太多|过于频繁)|会话已过期|系统维护|服务器错误"], [r"错误|故障|出错|异常", r"显示|发生|出现|服务"],
+        [r"找不到|未找到|不存在|已失效|无法(?:访问|显示|打开|加载)", r"页|网|文件|文档|链接|资源|笔记本|内容"], [r"拒绝访问|访问被拒|禁止访问|没有权限|无权|请求(?:过多|太多|过于频繁)|会话已过期|系统维护|服务器错误"], [r"错误|故障|出错|异常", r"显示|发生|出现|服务|网络|系统|请求"], [r"服务|网站|系统", r"不可用|维护"], [r"页|文件|内容|链接", r"已被?(?:删除|移除)"],
         [r"見つかりません|見つかりませんでした|存在しません|表示できません|読み込めません|削除されました"], [r"アクセス", r"拒否|禁止|権限|できません"], [r"エラー|障害|問題", r"発生"], [r"メンテナンス中|リクエストが多すぎ|セッション(?:が|の)"],
         [r"नहीं मिला|अस्वीकृत|त्रुटि हुई"], [r"غير موجود|تم رفض|حدث خطأ|غير متاح"], [r"찾을 수 없|거부되었|오류가 발생"],
     ],
     SCRIPT: [[rf"\b{_SCRIPTS}\b", rf"\b{_SWITCH}\b"], [rf"\b{_ANY_SCRIPT}\b", rf"\b{_SWITCH}\b", rf"\b{_BROWSER}\b"], [_EAST_SCRIPTS, _EAST_SWITCH]],
     FILLER: [
         [rf"\b{_TEXT} (?:goes here|here|to follow|to come|pending|coming(?: soon)?|missing|tbd)\b"], [r"^(?:this is )?(?:a |an |some |the )?(?:sample|placeholder|dummy|filler|example) (?:text|content|copy|paragraph|title|description)(?: for layout| only)?$"],
-        [rf"\b(?:insert|add|put|enter|type|write|replace)\b", rf"\b{_TEXT}\b", r"\b(?:your|here|own|this)\b"], [rf"^(?:insert|add|enter|type|write) (?:a |the |your |some )?{_TEXT}$"], [r"\blorem ipsum\b"], [r"^(?:tbd|tba|todo|coming soon|under construction|fill me in|write me|to be (?:added|done|written|completed|announced|filled in))$"],
+        [rf"\b(?:insert|add|put|enter|type|write|replace)\b", rf"\b{_TEXT}\b", r"\b(?:your|here|own|this)\b"], [rf"^(?:please )?(?:insert|add|enter|type|write|provide|put) (?:\w+ ){{0,3}}?{_TEXT}(?: (?:of|for|about) .+)?$"], [r"^replace (?:me|this|with)\b|^(?:n a )?placeholder$|\b(?:dummy|placeholder|filler) (?:text|content|copy)\b"],
+        [rf"\b{_TEXT} to be (?:added|done|written|completed|provided|announced)\b"], [r"^todo (?:add|write|fill|insert|complete|describe|update)\b"], [r"^(?:insert|add|enter|type|write|put) .*\bhere$"], [r"^(?:geben|fügen|ersetzen|schreiben) sie\b|\bhier einfügen\b", r"text|inhalt|beschreibung"],
+        [r"^(?:remplacez|saisissez|insérez|entrez|écrivez)\b", r"texte|contenu|description"], [r"^(?:escriba|inserte|ingrese|introduzca|agregue|añada|insira|escreva|digite|adicione)\b", r"texto|contenido|conteúdo|descripción|descrição"], [r"^请?(?:输入|填写|添加)", r"内容|文字|文本|标题|描述"], [r"\blorem ipsum\b"], [r"^(?:tbd|tba|todo|coming soon|under construction|fill me in|write me|to be (?:added|done|written|completed|announced|filled in))$"],
         [r"\bhier\b", r"\b(?:steht|kommt|folgt|einfügen|eingeben)\b", r"\b(?:text|inhalt)\b"], [r"\b(?:platzhaltertext|blindtext|beispieltext|mustertext|text folgt)\b"], [r"\btexte (?:à venir|ici|d exemple|de remplissage|à compléter)\b|\b(?:insérer|insérez|ajoutez|votre) (?:\w+ )?texte\b|\bà compléter\b"],
         [r"\baquí (?:va|irá|el)\b|\btexto (?:de ejemplo|de relleno|aquí|pendiente|de prueba)\b|\b(?:inserte|escriba|agregue) (?:\w+ )?(?:texto|contenido|descripción)\b"], [r"\btexto (?:de exemplo|aqui|fictício|provisório|de preenchimento)\b|\b(?:insira|escreva|adicione) (?:\w+ )?(?:texto|conteúdo|descrição)\b"],
         [r"\b(?:здесь|тут) (?:будет|должен быть|появится)\b", r"текст|описание"], [r"\b(?:введите|вставьте|добавьте|ваш) (?:\w+ )?текст\b|\bпример текста\b|\bтекст заглушка\b"],
         [r"此处|这里|在此|此處", r"填写|输入|内容|文字|文本|添加"], [r"示例文[字本]|占位|待补充|待填写"], [r"ここに", r"本文|テキスト|文章|入力|挿入|入れ"], [r"サンプルテキスト|ダミーテキスト|仮テキスト"], [r"यहाँ (?:पाठ|लिखें|टेक्स्ट)"], [r"النص هنا|أدخل النص|نص تجريبي"], [r"여기에", r"입력|텍스트|내용"],
     ],
 }
-_COMPILED = [(kind, [re.compile(p) for p in rule]) for kind, rules in _RULES.items() for rule in rules]
+# rules of the scripts from Hebrew on need only be tried on text that has such letters, the others only on text with others
+_EAST = re.compile(r"[\u0590-\uffff]")
+_COMPILED = {east: [(kind, [re.compile(p) for p in rule]) for kind, rules in _RULES.items() for rule in rules if bool(_EAST.search("".join(rule))) == east] for east in (False, True)}
+_WEST = re.compile(r"[a-zа-я]")
 
 #: Words that a notice or a line of filler has at most; what is longer tells something.
 LONGEST = 16
@@ -149,6 +159,7 @@ KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 _PLACE = {c: (r, i) for r, row in enumerate(KEY_ROWS) for i, c in enumerate(row)}
 
 
+@lru_cache(1 << 17)
 def keyed(word: str) -> bool:
     """Whether a word is typed along one row of the keyboard: at most one step in three isn't to the next key."""
     if len(word) < 3 or word[0] not in _PLACE:
@@ -190,7 +201,8 @@ def classify(normal: str) -> int:
     # scripts without blanks have few words; their length is counted in characters
     if normal.count(" ") >= LONGEST or len(normal) > 12 * LONGEST:
         return NONE
-    return next((kind for kind, rule in _COMPILED if all(p.search(normal) for p in rule)), NONE)
+    rules = [*(_COMPILED[False] if _WEST.search(normal) else ()), *(_COMPILED[True] if _EAST.search(normal) else ())]
+    return next((kind for kind, rule in rules if all(p.search(normal) for p in rule)), NONE)
 
 
 def cleaned(message: str) -> str:
