@@ -242,33 +242,81 @@ def late_ingests(built: DataFrame, source: str = "db_id", arrival: str = "change
     return df.withColumn("greatest", F.greatest("_in", "_over")).where(F.col(ingest) < F.col("greatest")).drop("_block", "_in", "_over")
 
 
+#: Hard keys of attribution: the event's column and the audit's.
+HARD_KEYS = ("connection_id", "thread_id", "gtid")
+
+
 def attributed(events_: DataFrame, audits: DataFrame, window_ms: int = 5000) -> DataFrame:
     """Adds confidence (exact, probable, unattributed), audit_event_id and candidates of each event.
 
-    events_: envelope_id, db_id, commit_ms, tables (array), gtid. audits:
-    audit_event_id, db_id, event_ms, objects (array of table names, null or
-    empty for any), gtid, connection_id, thread_id, tampered. A time bucket as
-    wide as the window makes the range join an equi-join on three buckets.
-    Exact: one candidate agrees on the GTID; else probable: there is one. A
-    tampered audit trail in the window attributes nothing.
+    events_: envelope_id, db_id, commit_ms, tables (array) and any of connection_id,
+    thread_id, gtid. audits: audit_event_id, db_id, event_ms, objects (array of
+    table names, null or empty for any), the same keys, tampered. A candidate is
+    an audit of the database inside the window, about one of the event's tables
+    or about any. Exact: one candidate agrees on a hard key; else probable: there
+    is one candidate. A tampered audit in the window attributes nothing.
+
+    Nothing is paired that isn't about the same thing: hard keys are an equi-join.
+    How many candidates there are is counted, not listed: those about any table
+    by the database, those about tables by database and table, each as a number of
+    audits up to a time, so an event looks up two numbers for each.
     """
+    keys = [k for k in HARD_KEYS if k in events_.columns and k in audits.columns]
     bucket = lambda ms: F.floor(ms / window_ms).cast("bigint")
-    left = events_.select("envelope_id", "db_id", "commit_ms", "tables", "gtid", F.explode(F.array(*[bucket(F.col("commit_ms")) + d for d in (-1, 0, 1)])).alias("_b"))
-    right = audits.select(F.col("db_id").alias("a_db"), "audit_event_id", "event_ms", "objects", F.col("gtid").alias("a_gtid"), "tampered", bucket(F.col("event_ms")).alias("a_b"))
-    near = (F.col("db_id") == F.col("a_db")) & (F.col("_b") == F.col("a_b")) & (F.abs(F.col("event_ms") - F.col("commit_ms")) <= window_ms)
-    about = F.col("objects").isNull() | (F.size("objects") == 0) | F.arrays_overlap("objects", "tables")
-    hits = left.join(right, near).groupBy("envelope_id").agg(
-        F.count_if(about).alias("candidates"), F.count_if(about & (F.col("a_gtid") == F.col("gtid"))).alias("keyed"),
-        F.bool_or(F.coalesce("tampered", F.lit(False))).alias("tampered"),
-        F.min(F.when(about & (F.col("a_gtid") == F.col("gtid")), F.col("audit_event_id"))).alias("key_id"), F.min(F.when(about, F.col("audit_event_id"))).alias("one_id"),
-    )
+    clean = audits.select("audit_event_id", F.col("db_id").alias("_db"), "event_ms", "objects", *[F.col(k).alias(f"a_{k}") for k in keys], F.coalesce("tampered", F.lit(False)).alias("tampered")).where(F.col("event_ms").isNotNull())
+    about = F.when(F.coalesce(F.size("objects"), F.lit(0)) < 1, F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct("objects"))
+    # per database, table (null: any) and bucket: how many, which if one; an audit of several tables is counted where events ask for several
+    slices = clean.select("_db", "audit_event_id", "event_ms", "tampered", F.explode(about).alias("_table"))
+    each = events_.select("envelope_id", "db_id", "commit_ms", F.explode(F.array_union(F.coalesce("tables", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))).alias("_table"))
+    counted = _near(each, slices, window_ms)
+    dirty = _near(events_.select("envelope_id", "db_id", "commit_ms", F.lit(None).cast("string").alias("_table")), clean.where("tampered").select("_db", "audit_event_id", "event_ms", "tampered", F.lit(None).cast("string").alias("_table")), window_ms)
+    out = events_.join(counted.select("envelope_id", F.col("n").alias("candidates"), F.col("one").alias("one_id")), "envelope_id", "left").join(dirty.select("envelope_id", (F.col("n") > 0).alias("tampered")), "envelope_id", "left")
+    keyed = None
+    for k in keys:
+        side = events_.where(F.col(k).isNotNull()).select("envelope_id", "db_id", "commit_ms", "tables", F.col(k).alias("_k"), F.explode(F.array(*[bucket(F.col("commit_ms")) + d for d in (-1, 0, 1)])).alias("_b"))
+        hit = side.join(clean.where(F.col(f"a_{k}").isNotNull()).select("_db", "audit_event_id", "event_ms", "objects", F.col(f"a_{k}").alias("_ak"), bucket(F.col("event_ms")).alias("_ab")), (F.col("db_id") == F.col("_db")) & (F.col("_k") == F.col("_ak")) & (F.col("_b") == F.col("_ab")))
+        hit = hit.where((F.abs(F.col("event_ms") - F.col("commit_ms")) <= window_ms) & ((F.coalesce(F.size("objects"), F.lit(0)) < 1) | F.coalesce(F.arrays_overlap("objects", "tables"), F.lit(False)))).select("envelope_id", "audit_event_id")
+        keyed = hit if keyed is None else keyed.unionByName(hit)
+    if keyed is not None:
+        one = keyed.groupBy("envelope_id").agg((F.min("audit_event_id") == F.max("audit_event_id")).alias("keyed"), F.min("audit_event_id").alias("key_id"))
+        out = out.join(one, "envelope_id", "left")
+    else:
+        out = out.withColumn("keyed", F.lit(False)).withColumn("key_id", F.lit(None))
     trusted = ~F.coalesce("tampered", F.lit(False))
-    exact, probable = trusted & (F.col("keyed") == 1), trusted & (F.col("candidates") == 1)
-    return events_.join(hits, "envelope_id", "left").withColumn("confidence", F.when(exact, "exact").when(probable, "probable").otherwise("unattributed")).withColumn(
+    exact, probable = trusted & F.coalesce("keyed", F.lit(False)), trusted & (F.col("candidates") == 1)
+    return out.withColumn("confidence", F.when(exact, "exact").when(probable, "probable").otherwise("unattributed")).withColumn(
         "audit_event_id", F.when(exact, F.col("key_id")).when(probable, F.col("one_id"))
     ).withColumn("candidates", F.coalesce("candidates", F.lit(0))).drop("keyed", "tampered", "key_id", "one_id")
 
 
+def _near(each: DataFrame, slices: DataFrame, window_ms: int) -> DataFrame:
+    """(envelope_id, n, one): how many audits of the same database and table are within the window of an event, and which one if it is one.
+
+    Both sides are one timeline per database and table, cut into buckets of the
+    window's width. Inside a bucket the audits are numbered in their order; the
+    audits within the window are then a run of numbers in three buckets.
+    """
+    bucket = lambda ms: F.floor(ms / window_ms).cast("bigint")
+    table = lambda c: F.coalesce(F.concat(F.lit("t:"), c), F.lit("*"))
+    a = slices.select(F.col("_db").alias("db_id"), table(F.col("_table")).alias("_t"), bucket(F.col("event_ms")).alias("_b"), "event_ms", "audit_event_id")
+    asks = each.select("envelope_id", "db_id", table(F.col("_table")).alias("_t"), "commit_ms", bucket(F.col("commit_ms")).alias("_c"))
+    # an event asks its own bucket and both beside it: of the one before for audits from commit - window on, of the one after for those up to commit + window
+    asks = asks.withColumn("_d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("_b", F.col("_c") + F.col("_d"))
+    line = a.select("db_id", "_t", "_b", F.col("event_ms").alias("_at"), F.lit(1).alias("_side"), "audit_event_id", F.lit(None).cast("string").alias("envelope_id"), F.lit(0).alias("_d")).unionByName(
+        asks.select("db_id", "_t", "_b", F.when(F.col("_d") < 0, F.col("commit_ms") - window_ms).when(F.col("_d") > 0, F.col("commit_ms") + window_ms).otherwise(F.lit(None).cast("bigint")).alias("_at"), F.when(F.col("_d") < 0, 0).otherwise(2).alias("_side"), F.lit(None).cast(a.schema["audit_event_id"].dataType).alias("audit_event_id"), F.col("envelope_id").cast("string").alias("envelope_id"), "_d")
+    )
+    # audits at the very edge count on both sides; a question of the own bucket comes after all of its audits
+    here = Window.partitionBy("db_id", "_t", "_b").orderBy(F.col("_at").asc_nulls_last(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("db_id", "_t", "_b")
+    first = F.col("_side") == 1
+    df = line.select("*", F.count_if(first).over(here).alias("_upto"), F.count_if(first).over(whole).alias("_all"), F.last(F.when(first, F.col("audit_event_id")), ignorenulls=True).over(here).alias("_last"), F.max(F.when(first, F.struct("_at", "audit_event_id"))).over(whole).alias("_top"))
+    n = F.when(F.col("_d") < 0, F.col("_all") - F.col("_upto")).otherwise(F.col("_upto"))
+    # if a question finds one audit: the last of its bucket for the side before, else the only one up to it
+    one = F.when(F.col("_d") < 0, F.col("_top.audit_event_id")).otherwise(F.col("_last"))
+    found = df.where(F.col("envelope_id").isNotNull()).select("envelope_id", n.alias("n"), F.when(n == 1, one).alias("one"))
+    return found.groupBy("envelope_id").agg(F.sum("n").alias("n"), F.max("one").alias("one"))
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str, columns: list[str], block_ms: int = 86_400_000) -> DataFrame:
     """Adds the right side's columns as of each left row: those of the latest right row with an equal key and a time not after it.
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeline.functions import canonical as C
 from lodeline.functions.changes import key_columns, position, row_key
 from lodeline.operators.changelog import deduplicated, state
+from lodeline.operators.ordered import fold
 
 
 def field_table(items: DataFrame) -> DataFrame:
@@ -59,6 +63,30 @@ def epoch_coverage(emitted: DataFrame, expected: DataFrame) -> DataFrame:
     return df.withColumn("status", status)
 
 
+def epoch_manifests(epochs: DataFrame, tables: DataFrame) -> DataFrame:
+    """Manifests of snapshot epochs: epochs with core (canonical), manifest_hash, prev_row_hash, row_hash.
+
+    epochs: db_id, epoch_id, n (order in the database), server_uuid, binlog_file,
+    binlog_pos, start_ts, handoff_gtid, supersedes. tables: db_id, epoch_id,
+    object, expected_rows, emitted_rows. Lists are as long as an epoch has tables.
+    """
+    entry = C.obj({"object": C.token(F.col("object")), "expected_rows": C.token(F.col("expected_rows"), "number"), "emitted_rows": C.token(F.col("emitted_rows"), "number")})
+    lists = tables.groupBy("db_id", "epoch_id").agg(F.array_sort(F.collect_list(F.struct("object", entry.alias("text")))).alias("_tables"))
+    text = lambda name: C.token(F.col(name))
+    core = C.obj({
+        "kind": F.lit('"snapshot_epoch_manifest"'), "schema_version": F.lit('"epoch-manifest-1.0"'), **{n: text(n) for n in ("epoch_id", "db_id", "server_uuid", "handoff_gtid", "supersedes")}, "snapshot_start_ts": text("start_ts"),
+        "snapshot_start_watermark": C.obj({"binlog_file": text("binlog_file"), "binlog_pos": C.token(F.col("binlog_pos"), "number")}), "tables": C.arr(F.transform(F.coalesce("_tables", F.array().cast("array<struct<object:string,text:string>>")), lambda t: t["text"])),
+    })
+    df = epochs.join(lists, ["db_id", "epoch_id"], "left").withColumn("core", core).drop("_tables").withColumn("manifest_hash", C.sha(F.col("core")))
+
+    def step(state, row):
+        before = state or C.GENESIS
+        own = "sha256:" + hashlib.sha256((before + row[2]).encode()).hexdigest()
+        return own, (before, own)
+
+    return df.join(fold(df, "db_id", ["n"], ["manifest_hash"], "prev_row_hash string, row_hash string", step), ["db_id", "n"])
+
+
 def current_epochs(epochs: DataFrame) -> DataFrame:
     """The epoch of each database that supersedes the others: the greatest watermark (file number, position), then handoff; ties by id."""
     return epochs.groupBy("db_id").agg(F.max_by("epoch_id", F.struct("file_no", "binlog_pos", F.coalesce("handoff_no", F.lit(-1)), "epoch_id")).alias("epoch_id"))

@@ -103,11 +103,16 @@ def manifests(objects: DataFrame) -> DataFrame:
         "*", first["envelope_id"].alias("first_envelope_id"), last["envelope_id"].alias("last_envelope_id"), first["row_hash"].alias("first_row_hash"), last["row_hash"].alias("last_row_hash"),
         first["prev_row_hash"].alias("first_prev_row_hash"), first["offset_key"].alias("first_offset_key"), last["offset_key"].alias("last_offset_key"),
     )
+    return m.withColumn("manifest_hash", C.sha(manifest_text()))
+
+
+def manifest_text() -> Column:
+    """The canonical core of a manifest, as writer and verifier hash it."""
     key = lambda o: C.object_key(F.col("db_id"), F.col("segment_id"), o["seq"], "cce")
     refs = F.transform("objects", lambda o: C.obj({"seq": o["seq"].cast("string"), "object_id": C.token(o["envelope_id"]), "worm_object_key": C.token(key(o)), "object_type": F.lit('"cce"')}))
     hashes = F.transform("objects", lambda o: C.obj({"seq": o["seq"].cast("string"), "event_hash": C.token(o["event_hash"]), "row_hash": C.token(o["row_hash"])}))
     yes = lambda c: c.cast("string")
-    body = C.obj({
+    return C.obj({
         "segment_id": C.token(F.col("segment_id")), "db_id": C.token(F.col("db_id")), "segment_sequence": yes(F.col("segment_sequence")), "event_count": yes(F.col("event_count")),
         "first_envelope_id": C.token(F.col("first_envelope_id")), "last_envelope_id": C.token(F.col("last_envelope_id")), "first_row_hash": C.token(F.col("first_row_hash")), "last_row_hash": C.token(F.col("last_row_hash")),
         "object_list": C.arr(refs), "object_hash_list": C.arr(hashes),
@@ -115,16 +120,34 @@ def manifests(objects: DataFrame) -> DataFrame:
         "fidelity_summary": C.obj({"all_healthy": yes((F.col("degraded_count") + F.col("compromised_count")) == 0), "degraded_count": yes(F.col("degraded_count")), "compromised_count": yes(F.col("compromised_count")), "reasons": C.arr(F.transform("reasons", lambda r: C.token(r)))}),
         "completeness_summary": C.obj({"gap_detected": yes(F.col("gap_detected")), "expected_continuous": yes(~F.col("gap_detected")), "notes": F.lit("[]")}),
     })
-    return m.withColumn("manifest_hash", C.sha(body))
 
 
 def heads(m: DataFrame) -> DataFrame:
-    """Adds previous_segment_hash and segment_hash, linked along each database's segments."""
+    """Adds the previous segment's id, number and hash (null, null and the genesis token at first) and segment_hash, linked along each database's segments."""
 
     def step(state, row):
-        previous = state or C.GENESIS
+        before_id, before_no, previous = state or (None, None, C.GENESIS)
         own = "sha256:" + hashlib.sha256((row[2] + row[3] + previous).encode()).hexdigest()
-        return own, (previous, own)
+        return (row[4], row[1], own), (before_id, before_no, previous, own)
 
-    got = fold(m, "db_id", ["segment_sequence"], ["manifest_hash", "last_row_hash"], "previous_segment_hash string, segment_hash string", step)
+    got = fold(m, "db_id", ["segment_sequence"], ["manifest_hash", "last_row_hash", "segment_id"], "previous_segment_id string, previous_segment_sequence bigint, previous_segment_hash string, segment_hash string", step)
     return m.join(got, ["db_id", "segment_sequence"])
+
+
+def sealed(objects: DataFrame) -> DataFrame:
+    """Sealing as one step that fails closed: the segments' heads with ``status`` (SEALED or REFUSED) and ``problems``.
+
+    What was chained is verified before it is sealed: each segment's objects by
+    their rules, its manifest by its own lists, its head by the one before it. A
+    segment with a problem is refused, and so is each later one of its database,
+    as it would rest on it.
+    """
+    from lodeline.operators import verify
+
+    found = heads(manifests(objects))
+    broken = verify.object_failures(objects).select("db_id", "segment_sequence", "rule").unionByName(verify.manifest_failures(found)).unionByName(verify.cross_failures(found))
+    bad = broken.groupBy("db_id", "segment_sequence").agg(F.array_sort(F.collect_set("rule")).alias("problems"))
+    first = bad.groupBy("db_id").agg(F.min("segment_sequence").alias("_first"))
+    out = found.join(bad, ["db_id", "segment_sequence"], "left").join(first, "db_id", "left")
+    status = F.when(F.col("_first").isNotNull() & (F.col("segment_sequence") >= F.col("_first")), "REFUSED").otherwise("SEALED")
+    return out.withColumn("status", status).withColumn("problems", F.coalesce("problems", F.array().cast("array<string>"))).drop("_first")

@@ -48,20 +48,99 @@ def list_failures(objects: DataFrame, manifests: DataFrame) -> DataFrame:
     return df.select("db_id", "segment_sequence", "seq", F.coalesce("envelope_id", "l_id").alias("envelope_id"), F.explode(F.array_compact(rules)).alias("rule"))
 
 
+def manifest_failures(manifests: DataFrame) -> DataFrame:
+    """(db_id, segment_sequence, rule) of what a manifest says against itself.
+
+    MANIFEST_HASH: its hash isn't that of its canonical core; EVENT_COUNT: its
+    count isn't its lists' length; LIST_INDEX: places in a list aren't 0, 1, ...;
+    ENDPOINTS: its first or last ids or hashes aren't those of its lists.
+    """
+    from lodeline.operators.segments import manifest_text
+
+    first, last = F.try_element_at("objects", F.lit(1)), F.try_element_at("objects", F.lit(-1))
+    ends = F.lit(False)
+    for name in ("envelope_id", "row_hash"):
+        ends = ends | ~F.col(f"first_{name}").eqNullSafe(first[name]) | ~F.col(f"last_{name}").eqNullSafe(last[name])
+    index = F.exists(F.transform("objects", lambda o, i: o["seq"] != i), lambda x: x)
+    rules = F.array(
+        F.when(~F.col("manifest_hash").eqNullSafe(C.sha(manifest_text())), "MANIFEST_HASH"), F.when(~F.col("event_count").eqNullSafe(F.size("objects").cast("bigint")), "EVENT_COUNT"),
+        F.when(F.coalesce(index, F.lit(True)), "LIST_INDEX"), F.when(ends, "ENDPOINTS"),
+    )
+    return manifests.select("db_id", "segment_sequence", F.explode(F.array_compact(rules)).alias("rule"))
+
+
+_LINK = ("db_id", "segment_id", "segment_sequence", "manifest_hash", "last_row_hash", "previous_segment_hash")
+
+
+def link_failures(pairs: DataFrame) -> DataFrame:
+    """Rows of ``pairs`` with each rule (column rule) their link breaks.
+
+    pairs: a segment's head and, as columns named p_..., the manifest supplied as
+    the one before it (null if none). GENESIS: the first segment has a
+    predecessor or names one; MISSING_PREVIOUS; DB_ID; SEQUENCE; PREVIOUS_SEGMENT:
+    it names no predecessor or another; PREVIOUS_SEGMENT_HASH: not the hash
+    computed again; ROW_BOUNDARY: the chain of rows breaks between the two.
+    """
+    col = F.col
+    genesis, there = col("segment_sequence") == 0, col("p_manifest_hash").isNotNull()
+    named = col("previous_segment_id").isNotNull() | col("previous_segment_sequence").isNotNull() | (col("previous_segment_hash") != C.GENESIS)
+    later = ~genesis & there
+    differs = lambda a, b: ~a.eqNullSafe(b)
+    rules = F.array(
+        F.when(genesis & (there | F.coalesce(named, F.lit(True))), "GENESIS"), F.when(~genesis & ~there, "MISSING_PREVIOUS"),
+        F.when(later & differs(col("db_id"), col("p_db_id")), "DB_ID"), F.when(later & differs(col("segment_sequence"), col("p_segment_sequence") + 1), "SEQUENCE"),
+        F.when(later & (differs(col("previous_segment_id"), col("p_segment_id")) | differs(col("previous_segment_sequence"), col("p_segment_sequence"))), "PREVIOUS_SEGMENT"),
+        F.when(later & differs(col("previous_segment_hash"), C.sha(F.concat("p_manifest_hash", "p_last_row_hash", "p_previous_segment_hash"))), "PREVIOUS_SEGMENT_HASH"),
+        F.when(later & differs(col("first_prev_row_hash"), col("p_last_row_hash")), "ROW_BOUNDARY"),
+    )
+    return pairs.withColumn("rule", F.explode(F.array_compact(rules)))
+
+
 def cross_failures(heads: DataFrame) -> DataFrame:
     """(db_id, segment_sequence, rule) of each broken link between a segment and the one before it by number.
 
     A self-join on the number, not on neighbours, so a gap shows as MISSING_PREVIOUS.
     """
-    before = heads.select("db_id", (F.col("segment_sequence") + 1).alias("segment_sequence"), F.col("last_row_hash").alias("p_last"), C.sha(F.concat("manifest_hash", "last_row_hash", "previous_segment_hash")).alias("p_hash"))
-    df = heads.join(before, ["db_id", "segment_sequence"], "left")
-    genesis = F.col("segment_sequence") == 0
-    there = F.col("p_hash").isNotNull()
-    rules = F.array(
-        F.when(genesis & (F.col("previous_segment_hash") != C.GENESIS), "GENESIS"), F.when(~genesis & ~there, "MISSING_PREVIOUS"),
-        F.when(~genesis & there & ~F.col("previous_segment_hash").eqNullSafe(F.col("p_hash")), "PREVIOUS_SEGMENT_HASH"), F.when(~genesis & there & ~F.col("first_prev_row_hash").eqNullSafe(F.col("p_last")), "ROW_BOUNDARY"),
+    before = heads.select(*[F.col(c).alias(f"p_{c}") for c in _LINK])
+    df = heads.join(before, (F.col("db_id") == F.col("p_db_id")) & (F.col("segment_sequence") == F.col("p_segment_sequence") + 1), "left")
+    return link_failures(df).select("db_id", "segment_sequence", "rule")
+
+
+def anchor_failures(heads: DataFrame, records: DataFrame, keys: DataFrame, certificates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(failures of the heads' signatures, failures of the anchors' tokens): db_id, segment_sequence, problem.
+
+    heads are recomputed. records, of each segment the earliest: db_id and the
+    members of the anchored payload, signing_key_id, algorithm, signature,
+    provider_type, token, cert_ref. keys: key_id, algorithm, public_key,
+    created_ms, revoked_ms; certificates: ref, algorithm, public_key. A segment
+    without a record fails both. The record must be of the recomputed head, its
+    key known, active when it signed and of the stated algorithm; the token must
+    hold against the trusted certificate and be of the payload.
+    """
+    from lodeline.functions.ed25519 import verified
+    from lodeline.functions.proofs import token_problem
+    from lodeline.operators import anchor
+
+    rest = [c for c in records.columns if c not in ("db_id", "segment_id")]
+    one = records.groupBy("db_id", "segment_id").agg(F.min_by(F.struct(*rest), F.struct("created_at", "signature", "token")).alias("r"))
+    own = heads.select("db_id", "segment_id", F.col("segment_sequence").alias("h_sequence"), C.sha(F.concat("manifest_hash", "last_row_hash", "previous_segment_hash")).alias("h_hash"), F.col("last_row_hash").alias("h_last"))
+    df = own.join(one, ["db_id", "segment_id"], "left").select("*", "r.*", F.col("r").isNotNull().alias("has")).drop("r")
+    df = df.withColumn("payload_problem", anchor.payload_problem()).withColumn("message", anchor.signing_message()).withColumn("payload_hash", anchor.payload_hash())
+    signed_ms = F.unix_millis(F.try_to_timestamp("created_at"))
+    df = key_state(df.withColumn("key_id", F.col("signing_key_id")).withColumn("at_ms", signed_ms), keys)
+    known = keys.groupBy("key_id").agg(F.min_by(F.struct(F.col("algorithm").alias("k_algorithm"), F.col("public_key").alias("k_public")), F.struct("created_ms", "revoked_ms")).alias("k"))
+    trusted = certificates.groupBy("ref").agg(F.min_by(F.struct(F.col("algorithm").alias("c_algorithm"), F.col("public_key").alias("c_public")), F.struct("algorithm", "public_key")).alias("c"))
+    df = df.join(known, "key_id", "left").join(trusted, F.col("cert_ref") == F.col("ref"), "left")
+    df = df.withColumn("_signed", verified(F.col("k.k_public"), F.col("message"), F.col("signature")))
+    df = df.withColumn("_token", token_problem("provider_type", "token", "payload_hash", "ref", F.col("c.c_public"), F.col("c.c_algorithm")))
+    form = F.when(~F.col("has"), "no_record").when(F.col("payload_problem").isNotNull(), F.concat(F.lit("payload:"), "payload_problem"))
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    signature = (
+        form.when(differs("segment_hash", "h_hash"), "segment_hash").when(differs("last_row_hash", "h_last"), "last_row_hash").when(differs("segment_sequence", "h_sequence"), "segment_sequence")
+        .when(F.col("key_state") != "active", F.col("key_state")).when(differs("algorithm", "k.k_algorithm") | (F.col("algorithm") != "ed25519"), "algorithm").when(~F.col("_signed"), "signature")
     )
-    return df.select("db_id", "segment_sequence", F.explode(F.array_compact(rules)).alias("rule"))
+    out = lambda problem: df.select("db_id", F.col("h_sequence").alias("segment_sequence"), problem.alias("problem")).where(F.col("problem").isNotNull())
+    return out(signature), out(form.otherwise(F.col("_token")))
 
 
 def segment_gaps(manifests: DataFrame, scope: DataFrame | None = None) -> DataFrame:
@@ -120,6 +199,18 @@ def report(databases: DataFrame, checks: dict[str, DataFrame | None]) -> DataFra
     return rows.withColumn("overall", F.when(passed == len(REQUIRED), "PASS").otherwise("FAIL"))
 
 
+def offending(checks: dict[str, DataFrame | None], ids: list[str]) -> DataFrame:
+    """Each distinct thing a check failed on: db_id, check, id (the columns named in ids that the check's failures have, joined by ``/``)."""
+    rows = None
+    for name, found in checks.items():
+        if found is None:
+            continue
+        parts = [F.col(c).cast("string") for c in ids if c in found.columns]
+        one = found.select("db_id", F.lit(name).alias("check"), F.concat_ws("/", *parts).alias("id")).distinct()
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def exportable(selected: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Coverage of an export: (selected objects in no supplied segment, gaps of the supplied segments from 0 on)."""
     held = manifests.select("db_id", F.explode("objects").alias("o")).select("db_id", F.col("o.envelope_id").alias("envelope_id"))
