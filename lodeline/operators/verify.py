@@ -173,11 +173,12 @@ def event_gaps(manifests: DataFrame) -> DataFrame:
 
 
 def projection_drift(objects: DataFrame, projection: DataFrame) -> DataFrame:
-    """(object_id, problem): rows of the projection that drifted, are extra or missing."""
-    a = objects.select(F.col("envelope_id").alias("object_id"), F.col("row_hash").alias("sealed"))
-    df = a.join(projection.select("object_id", F.col("row_hash").alias("shown")), "object_id", "full_outer")
+    """(object_id, problem): rows of the projection that drifted, are extra or missing; with db_id where both sides have it."""
+    on = ["db_id", "object_id"] if "db_id" in objects.columns and "db_id" in projection.columns else ["object_id"]
+    a = objects.withColumn("object_id", F.col("envelope_id")).select(*on, F.col("row_hash").alias("sealed"))
+    df = a.join(projection.select(*on, F.col("row_hash").alias("shown")), on, "full_outer")
     problem = F.when(F.col("sealed").isNull(), "extra row").when(F.col("shown").isNull(), "missing row").when(F.col("sealed") != F.col("shown"), "drifted")
-    return df.select("object_id", problem.alias("problem")).where(F.col("problem").isNotNull())
+    return df.select(*on, problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
 def report(databases: DataFrame, checks: dict[str, DataFrame | None]) -> DataFrame:

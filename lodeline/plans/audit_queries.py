@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import base64
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.functions import canonical as C
-from lodeline.functions import gtid, merkle
+from lodeline.functions import ed25519, gtid, merkle, proofs
 from lodeline.functions.changes import plain_object, position
-from lodeline.operators import anchor, attest, changelog, completeness, deadletter, ingest, normalize, projection, rules, segments, verify
+from lodeline.operators import anchor, attest, changelog, completeness, deadletter, export, ingest, normalize, projection, rules, segments, verify
+from lodeline.operators.ordered import numbered
 from lodeline.plans import bridge
 from lodeline.plans.bridge import SEALED, STREAM
-from lodeline.plans.data_queries import _FILE, _ITEM, _OBJECT
+from lodeline.plans.data_queries import _CHANGES, _FILE, _ITEM, _OBJECT, _P3
 from lodeline.session import bounded_rows, cut_lineage, read_table
 
 QUERIES: dict = {}
@@ -64,7 +67,13 @@ def cdc_filter(spark: SparkSession, root: str) -> DataFrame:
     return ingest.captured(read_table(spark, root, "raw_source_event")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""with {_DOC},
+changes as (select *, coalesce((select pk_columns from monitored_table m where m.object_name = lower(tab)), 'id') as pk, case when operation = 'INSERT' then x -> '$.after' else x -> '$.before' end as image
+  from classed where not beat and op in ('c', 'u', 'd', 'r') and tab is not null),
+named as (select delivery_id, tab, pk, case when json_type(image) = 'VARCHAR' then try_cast(image ->> '$' as json) else image end as image, operation from changes),
+cells as (select delivery_id, trim(c.name) as name, json_extract(image, '$."' || trim(c.name) || '"') as v from named, lateral (select unnest(string_split(pk, ',')) as name) c where operation in ('INSERT', 'UPDATE', 'DELETE') and json_type(image) = 'OBJECT'),
+texts as (select delivery_id, case when bool_and(v is not null) then '{{' || string_agg('"' || name || '":' || v, ',' order by name) || '}}' end as text from cells group by 1)
+select n.delivery_id, n.tab as object_name, t.text as pk from named n left join texts t using (delivery_id)""")
 def primary_keys(spark: SparkSession, root: str) -> DataFrame:
     rows = ingest.captured(read_table(spark, root, "raw_source_event")).where("class = 'change'")
     return ingest.with_primary_key(rows, read_table(spark, root, "monitored_table")).select("delivery_id", "object_name", "pk")
@@ -144,6 +153,22 @@ def canonical_events(spark: SparkSession, root: str) -> DataFrame:
     return kept.unionByName(dead, allowMissingColumns=True)
 
 
+_FRACTION = "exists (select 1 from (select unnest(coalesce(json_extract({0}, '$.*'), [])) as v) where json_type(v) = 'DOUBLE' and cast(v as double) <> floor(cast(v as double)))"
+_BROKEN = " or ".join(_FRACTION.format(c) for c in ("before_image", "after_image"))
+
+
+@query(f"""with prev as (
+  select *, lag(gtid) over (partition by db_id order by change_id) as p, row_number() over (partition by db_id order by change_id) as n from normalized_change),
+opens as (select *, case when n = 1 or gtid is null or p is distinct from gtid then change_id end as o from prev),
+runs as (select *, last_value(o ignore nulls) over (partition by db_id order by change_id rows between unbounded preceding and current row) as island, {_BROKEN} as broken from opens)
+select db_id, island, count(*) as statement_count, string_agg(case when broken then change_id end, ',' order by change_id) as change_ids from runs group by 1, 2 having bool_or(broken)""")
+def dlq_routed(spark: SparkSession, root: str) -> DataFrame:
+    """The transactions the normaliser refuses, whole, with the changes that have no canonical form."""
+    changes = read_table(spark, root, "normalized_change").withColumn("object_name", plain_object(F.col("object_name")))
+    dead = normalize.dead_letters(normalize.transactions(normalize.prepared(changes, read_table(spark, root, "source_db"))))
+    return dead.select("db_id", "island", "statement_count", F.array_join(F.transform("change_ids", lambda x: x.cast("string")), ",").alias("change_ids"))
+
+
 @query(f"with {SEALED} select envelope_id, event_hash from hashed")
 def event_hash(spark: SparkSession, root: str) -> DataFrame:
     return bridge.sealed(spark, root).select("envelope_id", "event_hash")
@@ -174,23 +199,25 @@ def ingest_monotonic(spark: SparkSession, root: str) -> DataFrame:
 
 
 _AUDITED = STREAM + """,
-tx as (select 'tx-' || event_id as envelope_id, db_id, (epoch_us(ts) // 1000) as commit_ms, gtid, user_id from stream where event_type = 'purchase'),
-audit as (select event_id as audit_event_id, db_id, (epoch_us(ts) // 1000) as event_ms, case when event_id % 3 = 0 then 'u' || user_id end as obj, gtid as g, event_id % 500 = 1 as tampered from stream where event_type in ('click', 'error'))"""
+tx as (select 'tx-' || event_id as envelope_id, db_id, (epoch_us(ts) // 1000) as commit_ms, gtid, user_id, user_id % 50 as connection_id, case when event_id % 2 = 0 then 't' || user_id % 20 end as thread_id from stream where event_type = 'purchase'),
+audit as (select event_id as audit_event_id, db_id, (epoch_us(ts) // 1000) as event_ms, case when event_id % 3 = 0 then 'u' || user_id end as obj, gtid as g, event_id % 500 = 1 as tampered, user_id % 50 as connection_id, 't' || user_id % 20 as thread_id from stream where event_type in ('click', 'error'))"""
 
 
 @query(f"""with {_AUDITED},
-hits as (select t.envelope_id, count(*) filter (a.obj is null or a.obj = 'u' || t.user_id) as candidates, bool_or(a.tampered) as tampered,
-    min(a.audit_event_id) filter (a.obj is null or a.obj = 'u' || t.user_id) as one
-  from tx t join audit a on a.db_id = t.db_id and abs(a.event_ms - t.commit_ms) <= 60000 group by 1)
-select t.envelope_id, coalesce(h.candidates, 0) as candidates, case when not coalesce(h.tampered, false) and h.candidates = 1 then 'probable' else 'unattributed' end as confidence,
-  case when not coalesce(h.tampered, false) and h.candidates = 1 then h.one end as audit_event_id
-from tx t left join hits h using (envelope_id)""")
+near as (select t.envelope_id, a.audit_event_id, a.tampered, a.obj is null or a.obj = 'u' || t.user_id as about, a.connection_id = t.connection_id or coalesce(a.thread_id = t.thread_id, false) or a.g = t.gtid as keyed
+  from tx t join audit a on a.db_id = t.db_id and abs(a.event_ms - t.commit_ms) <= 600000),
+hits as (select envelope_id, count(*) filter (about) as candidates, bool_or(tampered) as tampered, min(audit_event_id) filter (about) as one, count(*) filter (about and keyed) as keyed, min(audit_event_id) filter (about and keyed) as key_id from near group by 1),
+said as (select t.envelope_id, coalesce(h.candidates, 0) as candidates, case when coalesce(h.tampered, false) then 'unattributed' when h.keyed = 1 then 'exact' when h.candidates = 1 then 'probable' else 'unattributed' end as confidence, key_id, one from tx t left join hits h using (envelope_id))
+select envelope_id, candidates, confidence, case confidence when 'exact' then key_id when 'probable' then one end as audit_event_id from said""")
 def attribution(spark: SparkSession, root: str) -> DataFrame:
     s = bridge.stream(spark, root)
-    tx = s.where("event_type = 'purchase'").select(F.concat(F.lit("tx-"), "event_id").alias("envelope_id"), "db_id", F.unix_millis("ts").alias("commit_ms"), F.array(F.concat(F.lit("u"), "user_id")).alias("tables"), "gtid")
-    audits = s.where(F.col("event_type").isin("click", "error")).select(
-        F.col("event_id").alias("audit_event_id"), "db_id", F.unix_millis("ts").alias("event_ms"), F.when(F.col("event_id") % 3 == 0, F.array(F.concat(F.lit("u"), "user_id"))).alias("objects"), "gtid", (F.col("event_id") % 500 == 1).alias("tampered"))
-    return normalize.attributed(tx, audits, 60_000).select("envelope_id", "candidates", "confidence", "audit_event_id")
+    thread = F.concat(F.lit("t"), F.col("user_id") % 20)
+    keys = lambda rows, t: rows.withColumn("connection_id", F.col("user_id") % 50).withColumn("thread_id", t)
+    tx = keys(s.where("event_type = 'purchase'"), F.when(F.col("event_id") % 2 == 0, thread)).select(
+        F.concat(F.lit("tx-"), "event_id").alias("envelope_id"), "db_id", F.unix_millis("ts").alias("commit_ms"), F.array(F.concat(F.lit("u"), "user_id")).alias("tables"), "gtid", "connection_id", "thread_id")
+    audits = keys(s.where(F.col("event_type").isin("click", "error")), thread).select(
+        F.col("event_id").alias("audit_event_id"), "db_id", F.unix_millis("ts").alias("event_ms"), F.when(F.col("event_id") % 3 == 0, F.array(F.concat(F.lit("u"), "user_id"))).alias("objects"), "gtid", "connection_id", "thread_id", (F.col("event_id") % 500 == 1).alias("tampered"))
+    return normalize.attributed(tx, audits, 600_000).select("envelope_id", "candidates", "confidence", "audit_event_id")
 
 
 @query(f"""with {STREAM},
@@ -306,7 +333,15 @@ def segment_assign(spark: SparkSession, root: str) -> DataFrame:
     return segments.assigned_by_count(bridge.sealed(spark, root), CAP).select("envelope_id", "segment_sequence")
 
 
-@query()
+@query(f"""with recursive {SEALED},
+line as (select db_id, envelope_id, at_ms, row_number() over (partition by db_id order by arrival) - 1 as n from hashed),
+starts as (
+  select db_id, n, at_ms, cast(0 as bigint) as sequence from line where n = 0
+  union all
+  select l.db_id, l.n, l.at_ms, x.sequence + 1 from (
+    select s.db_id, s.sequence, least(s.n + {CAP}, coalesce((select min(l.n) from line l where l.db_id = s.db_id and l.n > s.n and l.at_ms - s.at_ms >= {AGE_MS}), s.n + {CAP})) as next from starts s) x
+  join line l on l.db_id = x.db_id and l.n = x.next)
+select l.envelope_id, s.sequence as segment_sequence, l.n - s.n as nth from line l asof join starts s on s.db_id = l.db_id and l.n >= s.n""")
 def segment_assign_aged(spark: SparkSession, root: str) -> DataFrame:
     return segments.assigned(bridge.sealed(spark, root), CAP, AGE_MS).select("envelope_id", "segment_sequence", "nth")
 
@@ -314,9 +349,9 @@ def segment_assign_aged(spark: SparkSession, root: str) -> DataFrame:
 @query(f"""with {SEALED}
 select envelope_id, row_number() over (partition by db_id order by commit_iso, seq, gtid, event_type, sha256(arrival::varchar), envelope_id) - 1 as place from hashed""")
 def global_order(spark: SparkSession, root: str) -> DataFrame:
-    """The frozen order of each database's events; the place is the feature, so a database's events are ranked in one window."""
-    order = Window.partitionBy("db_id").orderBy(segments.order_key())
-    return bridge.sealed(spark, root).select("envelope_id", (F.row_number().over(order) - 1).cast("bigint").alias("place"))
+    """The frozen order of each database's events: places are counted inside hours of commit, the order's first part, and offset by the hours before."""
+    rows = bridge.sealed(spark, root).withColumn("_order", segments.order_key()).withColumn("_hour", F.coalesce(F.substring("commit_iso", 1, 13), F.lit("")))
+    return numbered(rows, ["db_id"], "_hour", ["_order"], "place").select("envelope_id", F.col("place").cast("bigint").alias("place"))
 
 
 def _chained(spark: SparkSession, root: str) -> DataFrame:
@@ -346,7 +381,29 @@ def segment_manifest(spark: SparkSession, root: str) -> DataFrame:
     return m.select("db_id", "segment_sequence", "event_count", "first_envelope_id", "last_envelope_id", "first_offset_key", "last_offset_key", "degraded_count", "gap_detected")
 
 
-@query()
+_CHAIN = _SEGMENTS + f""",
+chain as (
+  select db_id, nth, 'sha256:{"0" * 64}' as prev_row_hash, 'sha256:' || sha256('sha256:{"0" * 64}' || event_hash) as row_hash from numbered where nth = 1
+  union all select n.db_id, n.nth, c.row_hash, 'sha256:' || sha256(c.row_hash || n.event_hash) from chain c join numbered n on n.db_id = c.db_id and n.nth = c.nth + 1),
+objects as (select n.*, c.prev_row_hash, c.row_hash, 'seg-' || lpad(n.segment_sequence::varchar, 6, '0') as segment_id from numbered n join chain c on c.db_id = n.db_id and c.nth = n.nth)"""
+
+_HEADS = _CHAIN + f""",
+listed as (
+  select db_id, segment_sequence, segment_id, count(*) as event_count, min_by(envelope_id, place) as first_envelope_id, max_by(envelope_id, place) as last_envelope_id, min_by(row_hash, place) as first_row_hash, max_by(row_hash, place) as last_row_hash,
+    min_by(gtid, place) as first_offset_key, max_by(gtid, place) as last_offset_key, count(*) filter (event_type = 'error') as degraded, bool_or(seq % 97 = 0) as gap,
+    string_agg('{{"object_id":"' || envelope_id || '","object_type":"cce","seq":' || place || ',"worm_object_key":"' || db_id || '/' || segment_id || '/' || lpad(place::varchar, 6, '0') || '.cce.json"}}', ',' order by place) as refs,
+    string_agg('{{"event_hash":"' || event_hash || '","row_hash":"' || row_hash || '","seq":' || place || '}}', ',' order by place) as hashes
+  from objects group by 1, 2, 3),
+manifests as (select *, 'sha256:' || sha256('{{"completeness_summary":{{"expected_continuous":' || (not gap) || ',"gap_detected":' || gap || ',"notes":[]}},"db_id":"' || db_id || '","event_count":' || event_count
+  || ',"fidelity_summary":{{"all_healthy":' || (degraded = 0) || ',"compromised_count":0,"degraded_count":' || degraded || ',"reasons":[' || case when degraded > 0 then '"error event"' else '' end || ']}},"first_envelope_id":"' || first_envelope_id || '","first_row_hash":"' || first_row_hash
+  || '","last_envelope_id":"' || last_envelope_id || '","last_row_hash":"' || last_row_hash || '","object_hash_list":[' || hashes || '],"object_list":[' || refs || '],"segment_id":"' || segment_id || '","segment_sequence":' || segment_sequence
+  || ',"source_offset_range":{{"first_offset_key":"' || first_offset_key || '","last_offset_key":"' || last_offset_key || '"}}}}') as manifest_hash from listed),
+heads as (
+  select db_id, segment_sequence, manifest_hash, 'sha256:' || sha256(manifest_hash || last_row_hash || 'sha256:{"0" * 64}') as segment_hash from manifests where segment_sequence = 0
+  union all select m.db_id, m.segment_sequence, m.manifest_hash, 'sha256:' || sha256(m.manifest_hash || m.last_row_hash || h.segment_hash) from heads h join manifests m on m.db_id = h.db_id and m.segment_sequence = h.segment_sequence + 1)"""
+
+
+@query(f"with recursive {_HEADS} select db_id, segment_sequence, manifest_hash, segment_hash from heads")
 def segment_heads(spark: SparkSession, root: str) -> DataFrame:
     return segments.heads(segments.manifests(_chained(spark, root))).select("db_id", "segment_sequence", "manifest_hash", "segment_hash")
 
@@ -365,11 +422,24 @@ def chain_verify(spark: SparkSession, root: str) -> DataFrame:
     return verify.object_failures(_tampered(_chained(spark, root))).select("envelope_id", "rule")
 
 
-@query(f"""with {_SEGMENTS}, m as (select distinct db_id, segment_sequence from numbered)
-select db_id, segment_sequence, 'MISSING_PREVIOUS' as rule from m where segment_sequence % 5 <> 3 and segment_sequence > 0 and (segment_sequence - 1) % 5 = 3""")
+#: Faults by the segment's number modulo 8: 1 its predecessor's hash, 2 its predecessor's id, 3 it is missing, 5 the row before it, 6 the predecessor is another database's, 7 it is the one before the last.
+@query(f"""with {_SEGMENTS}, m as (select distinct db_id, segment_sequence as n, segment_sequence % 8 as k from numbered), held as (select * from m where k <> 3 or n = 0)
+select db_id, n as segment_sequence, unnest(case
+  when n = 0 then case when db_id = 'db-1' then ['GENESIS'] else [] end
+  when k = 1 then ['PREVIOUS_SEGMENT_HASH'] when k = 2 then ['PREVIOUS_SEGMENT', 'PREVIOUS_SEGMENT_HASH'] when k = 4 then ['MISSING_PREVIOUS'] when k = 5 then ['ROW_BOUNDARY']
+  when k = 6 then case when exists (select 1 from held h where h.n = held.n - 1 and h.db_id = 'db-' || (substr(held.db_id, 4)::int + 1) % 4) then ['DB_ID', 'PREVIOUS_SEGMENT_HASH', 'ROW_BOUNDARY'] else ['MISSING_PREVIOUS'] end
+  when k = 7 then ['SEQUENCE', 'PREVIOUS_SEGMENT', 'PREVIOUS_SEGMENT_HASH', 'ROW_BOUNDARY'] else [] end) as rule from held""")
 def cross_segment(spark: SparkSession, root: str) -> DataFrame:
-    heads = segments.heads(segments.manifests(_chained(spark, root)))
-    return verify.cross_failures(heads.where(F.col("segment_sequence") % 5 != 3))
+    h = segments.heads(segments.manifests(_chained(spark, root))).drop("objects")
+    n, k = F.col("segment_sequence"), F.col("segment_sequence") % 8
+    h = h.where((k != 3) | (n == 0))
+    h = h.withColumn("previous_segment_hash", F.when(k == 1, C.sha(F.col("previous_segment_hash"))).otherwise(F.col("previous_segment_hash"))).withColumn("previous_segment_id", F.when((k == 2) | ((n == 0) & (F.col("db_id") == "db-1")), "seg-x").otherwise(F.col("previous_segment_id")))
+    h = h.withColumn("first_prev_row_hash", F.when(k == 5, C.sha(F.col("first_prev_row_hash"))).otherwise(F.col("first_prev_row_hash")))
+    other = F.concat(F.lit("db-"), ((F.substring("db_id", 4, 1).cast("int") + 1) % 4).cast("string"))
+    h = h.withColumn("before_db", F.when(k == 6, other).otherwise(F.col("db_id"))).withColumn("before_n", n - F.when(k == 7, 2).otherwise(1))
+    before = h.select(*[F.col(c).alias(f"p_{c}") for c in ("db_id", "segment_id", "segment_sequence", "manifest_hash", "last_row_hash", "previous_segment_hash")])
+    pairs = h.join(before, (F.col("before_db") == F.col("p_db_id")) & (F.col("before_n") == F.col("p_segment_sequence")), "left")
+    return verify.link_failures(pairs).select("db_id", "segment_sequence", "rule")
 
 
 @query(f"""with {_SEGMENTS}, m as (select distinct db_id, segment_sequence from numbered), k as (select * from m where segment_sequence % 5 <> 3),
@@ -380,10 +450,16 @@ def missing_segments(spark: SparkSession, root: str) -> DataFrame:
     return verify.segment_gaps(placed.where(F.col("segment_sequence") % 5 != 3))
 
 
-@query(f"""with {_SEGMENTS}
-select db_id, segment_sequence, 'gap_detected' as problem from numbered group by 1, 2 having bool_or(seq % 97 = 0)""")
+@query(f"""with {_SEGMENTS}, m as (select db_id, segment_sequence, bool_or(seq % 97 = 0) as gap, segment_sequence % 6 as k from numbered group by 1, 2)
+select db_id, segment_sequence, unnest(case when gap then ['gap_detected'] else [] end || case when k = 2 then ['first_offset_key', 'offset_overlap'] when k = 4 then ['last_offset_key'] else [] end) as problem from m""")
 def offset_overlap(spark: SparkSession, root: str) -> DataFrame:
-    return verify.event_gaps(segments.manifests(_chained(spark, root)))
+    """Segments whose number modulo 6 is 2 begin with the offset before them, those of 4 end with a wrong one."""
+    k = F.col("segment_sequence") % 6
+    m = segments.manifests(_chained(spark, root))
+    before = m.select("db_id", (F.col("segment_sequence") + 1).alias("segment_sequence"), F.col("last_offset_key").alias("_before"))
+    m = m.join(before, ["db_id", "segment_sequence"], "left")
+    m = m.withColumn("first_offset_key", F.when(k == 2, F.col("_before")).otherwise(F.col("first_offset_key"))).withColumn("last_offset_key", F.when(k == 4, "x").otherwise(F.col("last_offset_key")))
+    return verify.event_gaps(m.drop("_before"))
 
 
 @query(f"""with {SEALED}
@@ -396,19 +472,114 @@ def projection_drift(spark: SparkSession, root: str) -> DataFrame:
     return verify.projection_drift(o, shown.unionByName(extra))
 
 
-@query()
+SEEDS = {"key-1": b"\x01" * 32, "key-x": b"\x02" * 32, "tsa-1": b"\x03" * 32, "export-1": b"\x04" * 32}
+STAMPED = "2026-01-01T00:00:00.000Z"
+
+
+def _public(name: str) -> str:
+    return base64.b64encode(ed25519.public_key(SEEDS[name])).decode()
+
+
+def _keys(spark: SparkSession, *names: str) -> DataFrame:
+    return spark.createDataFrame([(n, "ed25519", _public(n), 0, None) for n in names], "key_id string, algorithm string, public_key string, created_ms bigint, revoked_ms bigint")
+
+
+def _records(heads: DataFrame) -> DataFrame:
+    """An anchor record of each head, signed and time-stamped by keys of the drill. Where the number modulo 8 is 5 an unknown key signs, where it is 0, but for the first, the stamp is of another hash."""
+    k = F.col("segment_sequence") % 8
+    r = heads.select("db_id", "segment_id", "segment_sequence", "segment_hash", "last_row_hash", F.lit(1).cast("bigint").alias("head_count"), F.lit(STAMPED).alias("created_at"))
+    r = r.withColumn("signing_key_id", F.when((k == 5) & (F.col("db_id") != "db-0"), "key-x").otherwise("key-1")).withColumn("algorithm", F.lit("ed25519"))
+    r = r.withColumn("signature", proofs.signer(SEEDS["key-1"])(anchor.signing_message()))
+    other = (k == 0) & (F.col("segment_sequence") > 0) & (F.col("db_id") != "db-0")
+    token = proofs.stamper(SEEDS["tsa-1"], "tsa-1", STAMPED)(F.when(other, C.sha(anchor.payload_hash())).otherwise(anchor.payload_hash()))
+    return r.withColumn("provider_type", F.lit("rfc3161")).withColumn("cert_ref", F.lit("tsa-1")).withColumn("token", token)
+
+
+_REPORT = _SEGMENTS + """,
+o as (select *, segment_sequence % 8 as k, lag(arrival) over (partition by db_id, segment_sequence order by place) as before, db_id = 'db-3' and segment_sequence % 8 = 6 as gone, db_id <> 'db-0' as bad from numbered),
+m as (select db_id, segment_sequence as n, segment_sequence % 8 as k, bool_or(seq % 97 = 0) as gap, any_value(bad) as bad, any_value(gone) as gone, count(*) as size, max(segment_sequence) over (partition by db_id) as top from o group by db_id, segment_sequence),
+held as (select * from m where not gone),
+f as (
+  select db_id, 'per_object_hash' as "check", count(*) filter (arrival % 401 = 0) + count(*) filter (arrival % 503 = 0) as failures from o where bad group by 1
+  union all select db_id, 'object_chain', count(*) from o where bad and before % 503 = 0 group by 1
+  union all select db_id, 'segment_manifest', count(*) from o where bad and (gone or arrival % 503 = 0) group by 1
+  union all select db_id, 'segment_manifest', 2 * count(*) from held where bad and k in (2, 3) group by 1
+  union all select db_id, 'cross_segment_continuity', sum(case when k = 4 then 2 when k = 7 and db_id = 'db-3' then 1 else 0 end) from held where bad and n > 0 group by 1
+  union all select db_id, 'no_missing_segment', count(*) from m where gone and n < (select max(h.n) from held h where h.db_id = m.db_id) group by 1
+  union all select db_id, 'no_missing_event', count(*) from held where bad and gap group by 1
+  union all select db_id, 'hsm_signature', count(*) from held where bad and k in (1, 3, 5) group by 1
+  union all select db_id, 'anchor_token', count(*) from held where bad and (k = 1 or (k = 0 and n > 0)) group by 1
+  union all select db_id, 'projection_consistency', count(*) from o where bad and arrival % 89 = 0 group by 1),
+s as (select db_id, "check", cast(sum(failures) as bigint) as failures from f group by 1, 2 having sum(failures) > 0)"""
+
+
+@query(f"""with {_REPORT},
+every as (select d.db_id, c."check" from (select distinct db_id from m) d, (select unnest({list(verify.CHECKS)!r}) as "check") c)
+select e.db_id, e."check", case when s.failures is null then 'PASS' else 'FAIL' end as result, coalesce(s.failures, 0) as failures,
+  case when bool_or(s.failures is not null and e."check" <> 'projection_consistency') over (partition by e.db_id) then 'FAIL' else 'PASS' end as overall
+from every e left join s on s.db_id = e.db_id and e."check" = s."check\"""")
 def verification_report(spark: SparkSession, root: str) -> DataFrame:
-    """The full report over a tampered copy of the sealed segments."""
+    """All nine checks over sealed segments, sound in one database and tampered with in the others.
+
+    Objects: every 401st content and every 503rd row hash. By the segment's number
+    modulo 8: 1 no anchor, 2 a wrong count, 3 a wrong last hash, 5 an unknown key,
+    6 taken out (one database), 0 a stamp of another hash. Every 89th row isn't projected.
+    """
+    bad = F.col("db_id") != "db-0"
+    chained = _chained(spark, root).withColumn("gap_detected", F.col("gap_detected") & bad)
     # every check reads both, so they are computed once
-    objects = cut_lineage(_chained(spark, root))
-    heads = cut_lineage(segments.heads(segments.manifests(objects)))
-    broken = verify.object_failures(_tampered(objects))
-    return verify.report(heads.select("db_id").distinct(), {
-        "per_object_hash": broken.where(F.col("rule").isin("EVENT_HASH", "ROW_HASH")), "object_chain": broken.where("rule = 'PREV_LINK'"), "segment_manifest": verify.list_failures(objects, heads),
+    objects = cut_lineage(chained)
+    sound = cut_lineage(segments.heads(segments.manifests(objects)))
+    n = F.col("segment_sequence")
+    k = n % 8
+    told = _tampered(objects.where(bad)).unionByName(objects.where(~bad))
+    heads = sound.where(~((F.col("db_id") == "db-3") & (k == 6)))
+    heads = heads.withColumn("event_count", F.when(bad & (k == 2), F.col("event_count") + 1).otherwise(F.col("event_count"))).withColumn("last_row_hash", F.when(bad & (k == 3), C.sha(F.col("last_row_hash"))).otherwise(F.col("last_row_hash")))
+    broken = verify.object_failures(told)
+    records = _records(sound).where(~(bad & (k == 1)))
+    certificates = spark.createDataFrame([("tsa-1", "ed25519", _public("tsa-1"))], "ref string, algorithm string, public_key string")
+    signatures, tokens = verify.anchor_failures(heads, records, _keys(spark, "key-1"), certificates)
+    shown = objects.where(~(bad & (F.col("arrival") % 89 == 0))).select("db_id", F.col("envelope_id").alias("object_id"), "row_hash")
+    where_ = ["db_id", "segment_sequence"]
+    manifest = verify.list_failures(told, heads).select(*where_, "rule").unionByName(verify.manifest_failures(heads))
+    return verify.report(sound.select("db_id").distinct(), {
+        "per_object_hash": broken.where(F.col("rule").isin("EVENT_HASH", "ROW_HASH")), "object_chain": broken.where("rule = 'PREV_LINK'"), "segment_manifest": manifest,
         "cross_segment_continuity": verify.cross_failures(heads), "no_missing_segment": verify.segment_gaps(heads), "no_missing_event": verify.event_gaps(heads),
+        "hsm_signature": signatures, "anchor_token": tokens, "projection_consistency": verify.projection_drift(objects, shown),
     })
 
 
+@query(f"""with {_SEGMENTS}, m as (select distinct db_id, segment_sequence as n from numbered where db_id <> 'db-2' or segment_sequence <> 2), o as (select *, arrival % 50 = 0 as wanted from numbered where db_id <> 'db-3'),
+held as (select o.* from o join m on m.db_id = o.db_id and m.n = o.segment_sequence where wanted), need as (select db_id, max(segment_sequence) as last from held group by 1)
+select db_id, 'uncovered' as problem, cast(null as bigint) as segment_sequence, envelope_id as object_id from o where wanted and not exists (select 1 from m where m.db_id = o.db_id and m.n = o.segment_sequence)
+union all select db_id, 'beyond', n, null from m join need using (db_id) where n > last
+union all select db_id, 'missing', 2, null from need where db_id = 'db-2' and last > 2
+union all select db_id, 'no_anchor', n, null from m join need using (db_id) where n <= last and n % 5 = 4
+union all select 'db-3', 'no_objects', null, null where exists (select 1 from m where db_id = 'db-3')""")
+def export_selection(spark: SparkSession, root: str) -> DataFrame:
+    """Why an export of every 50th event can't be built: one segment isn't supplied, every fifth has no anchor, nothing is selected of one database."""
+    chained = _chained(spark, root)
+    supplied = segments.manifests(chained).where("db_id <> 'db-2' or segment_sequence <> 2")
+    selected = chained.where("arrival % 50 = 0 and db_id <> 'db-3'").select("db_id", "envelope_id")
+    return export.selection_problems(selected, supplied, supplied.where("segment_sequence % 5 <> 4").select("db_id", "segment_id"))
+
+
+@query(f"""with {_SEGMENTS} select 'package-' || db_id as package_id, case substr(db_id, 4)::int when 1 then 'package_hash' when 2 then 'unknown' when 3 then 'signature' end as problem from (select distinct db_id from numbered) where db_id <> 'db-0'""")
+def export_seals(spark: SparkSession, root: str) -> DataFrame:
+    """Packages of every database up to its last selected event: sound, changed after sealing, sealed by an unknown key, and with another's signature."""
+    objects = cut_lineage(_chained(spark, root))
+    heads = segments.heads(segments.manifests(objects))
+    selected = objects.where("arrival % 50 = 0").select("db_id", "envelope_id", "segment_sequence")
+    heads = heads.join(selected.groupBy("db_id").agg(F.max("segment_sequence").alias("_last")), "db_id").where(F.col("segment_sequence") <= F.col("_last"))
+    described = objects.select("db_id").distinct().select("db_id", F.concat(F.lit("package-"), "db_id").alias("package_id"), F.lit("drill").alias("purpose"), F.lit(STAMPED).alias("created_at"), F.lit("auditor").alias("created_by"))
+    made = export.packages(selected, heads, _records(heads), _keys(spark, "key-1"), described)
+    which = lambda n: F.col("db_id") == f"db-{n}"
+    signed = made.withColumn("algorithm", F.lit("ed25519")).withColumn("signing_key_id", F.when(which(2), "key-x").otherwise("export-1"))
+    message = export.signing_message(F.when(which(3), C.sha(F.col("package_hash"))).otherwise(F.col("package_hash")))
+    signed = signed.withColumn("signature", proofs.signer(SEEDS["export-1"])(message)).withColumn("body", F.when(which(1), F.replace("body", F.lit("drill"), F.lit("other"))).otherwise(F.col("body")))
+    return export.seal_failures(signed, _keys(spark, "export-1"))
+
+
 @query(f"""with {SEALED} select envelope_id, case when arrival % 3 = 0 then 'unknown' when at_ms < (select min(at_ms) from hashed) + 1000000 then 'not_yet_valid' when arrival % 3 = 2 and at_ms >= (select min(at_ms) from hashed) + 500000000 then 'revoked' else 'active' end as key_state from hashed""")
 def key_validity(spark: SparkSession, root: str) -> DataFrame:
     s = bridge.sealed(spark, root).select("envelope_id", "arrival", "at_ms")
@@ -417,7 +588,12 @@ def key_validity(spark: SparkSession, root: str) -> DataFrame:
     return verify.key_state(s.withColumn("key_id", F.concat(F.lit("key-"), (F.col("arrival") % 3).cast("string"))), keys).select("envelope_id", "key_state")
 
 
-@query()
+@query(f"""with recursive {SEALED},
+tree as (
+  select db_id, count(*) as n, list(sha256(unhex('00') || unhex(substr(event_hash, 8))) order by seq) as h from hashed group by 1
+  union all
+  select db_id, n, list_transform(range(1, len(h) + 1, 2), lambda i: case when i < len(h) then sha256(unhex('01') || unhex(h[i]) || unhex(h[i + 1])) else h[i] end) from tree where len(h) > 1)
+select db_id, h[1] as root, n from tree where len(h) = 1""")
 def merkle_root(spark: SparkSession, root: str) -> DataFrame:
     s = bridge.sealed(spark, root).select("db_id", F.col("gtid"), "event_hash", F.col("arrival"))
     leaves = s.select("db_id", (F.regexp_extract("gtid", r":(\d+)$", 1).cast("bigint") - 1).alias("index"), merkle.leaf(F.col("event_hash")).alias("hash"))
@@ -433,7 +609,15 @@ def unanchored_window(spark: SparkSession, root: str) -> DataFrame:
     return anchor.open_window(sealed, sealed.where(F.col("segment_id") % 4 != 2), NOW_MS, 3_600_000).select("db_id", "oldest_ms", "pending")
 
 
-@query()
+@query(f"""with recursive {SEALED},
+line as (select db_id, arrival, at_ms, row_number() over (partition by db_id order by arrival) as n from hashed),
+due as (
+  select db_id, cast(0 as bigint) as n, at_ms, cast(null as bigint) as arrival, cast(null as varchar) as reason from line where n = 1
+  union all
+  select l.db_id, l.n, l.at_ms, l.arrival, case when l.n = x.full_ then 'events' else 'interval' end from (
+    select d.db_id, d.n + 500 as full_, least(d.n + 500, coalesce((select min(l.n) from line l where l.db_id = d.db_id and l.n > d.n and l.at_ms - d.at_ms >= {AGE_MS}), d.n + 500)) as next from due d) x
+  join line l on l.db_id = x.db_id and l.n = x.next)
+select db_id, arrival, reason from due where reason is not null""")
 def anchor_due(spark: SparkSession, root: str) -> DataFrame:
     return anchor.due(bridge.sealed(spark, root), 500, AGE_MS)
 
@@ -547,7 +731,12 @@ def events_per_minute(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.col("minute").cast("timestamp_ntz").alias("minute"), "event_type", "n")
 
 
-@query()
+@query(f"""with {_CHANGES}, live as (select *, cast(regexp_extract(binlog_file, '(\\d+)\\s*$', 1) as bigint) as file_no from ({_P3}))
+select c.db_id, c.object, c.row_key, c.file_no, c.binlog_pos, c.row_no, c.operation, case c.operation when 'INSERT' then 'DELETE' when 'DELETE' then 'INSERT' else 'UPDATE' end as inverse,
+  case when c.operation = 'DELETE' then l.db_id is not null else (l.file_no, l.binlog_pos, l.row_no) is distinct from (c.file_no, c.binlog_pos, c.row_no) end as drifted
+from (select k.*, case when operation = 'DELETE' then old_key else new_key end as row_key from keyed k where operation in ('INSERT', 'UPDATE', 'DELETE')
+  union all select x.*, null, null, null, null from (select c.* from changes c where c.operation in ('INSERT', 'UPDATE', 'DELETE') and not exists (select 1 from monitored_table m where m.object_name = c.object)) x) c
+left join live l on l.db_id = c.db_id and l.object_name = c.object and l.row_key = c.row_key""")
 def reversal_preview(spark: SparkSession, root: str) -> DataFrame:
     return projection.reversals(read_table(spark, root, "normalized_change"), read_table(spark, root, "monitored_table"))
 
