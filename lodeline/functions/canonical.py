@@ -306,16 +306,19 @@ def snapshot_offset_key(epoch: Column) -> Column:
 
 
 def decimal_compare(a: Column, b: Column) -> Column:
-    """-1, 0 or 1 for exact decimals of up to 38 digits; null if one isn't exact (``-0`` isn't) or is longer."""
+    """-1, 0 or 1 for exact decimals of any length; null if one isn't exact (``-0`` isn't).
+
+    Compared as text: without leading zeros the longer whole part is the greater,
+    of equal length the later; fractions without trailing zeros are in text order.
+    """
     exact = lambda x: F.when(x.rlike(EXACT_DECIMAL) & ~x.rlike(r"^-0(\.0*)?$"), x)
-    # whole and fraction are compared apart, so 38 digits are for either
     sign = lambda x: F.when(x.startswith("-"), -1).otherwise(1)
-    whole = lambda x: F.try_to_number(F.lpad(F.regexp_extract(x, r"^-?(\d+)", 1), 38, "0"), F.lit("9" * 38))
-    part = lambda x: F.rpad(F.regexp_extract(x, r"\.(\d+)$", 1), 60, "0")
+    whole = lambda x: F.regexp_extract(x, r"^-?(\d+)", 1)
+    part = lambda x: F.regexp_extract(x, r"\.(\d*?)0*$", 1)
+    key = lambda x: F.struct(F.length(whole(x)).alias("n"), whole(x).alias("w"), part(x).alias("p"))
     x, y = exact(a), exact(b)
-    size = F.when(whole(x) != whole(y), F.when(whole(x) > whole(y), 1).otherwise(-1)).when(part(x) > part(y), 1).when(part(x) < part(y), -1).otherwise(0)
-    fits = (F.length(x) <= 38) & (F.length(y) <= 38)
-    return F.when(fits, F.when(sign(x) != sign(y), sign(x)).otherwise(size * sign(x)))
+    size = F.when(key(x) > key(y), 1).when(key(x) < key(y), -1).otherwise(0)
+    return F.when(x.isNotNull() & y.isNotNull(), F.when(sign(x) != sign(y), sign(x)).otherwise(size * sign(x)))
 
 
 def backoff_ms(attempt: Column, base: int = 1000, most: int = 30_000, factor: float = 2.0) -> Column:

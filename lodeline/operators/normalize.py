@@ -192,7 +192,7 @@ def attempted(grouped: DataFrame, fidelity: Column | None = None, completeness:
     df = grouped.withColumn("envelope_id", F.when(F.col("part").isNull(), plain).otherwise(parted)).withColumn("schema_version", version)
     items = F.transform("changes", lambda c, i: F.concat(c["item"], F.lit(',"seq":'), i.cast("string"), F.lit("}")))
     source = C.obj({"db_id": C.token(F.col("db_id")), "engine": C.token(F.col("engine")), "server_uuid": C.token(F.col("server_uuid")), "schema": C.token(F.col("schema_name")), "engine_version": C.json_string(F.col("engine_version"))}, {"engine_version"})
-    tx = C.obj({"tx_id": C.token(F.col("tx_id")), "commit_ts": C.token(F.coalesce("commit_iso", "ingest_iso")), "ingest_ts": C.token(F.col("ingest_iso")), "statement_count": F.size("changes").cast("string")})
+    tx = C.obj({"tx_id": C.token(F.col("tx_id")), "commit_ts": C.token(F.coalesce("commit_iso", "ingest_iso")), "ingest_ts": C.token(F.col("ingest_iso")), "statement_count": F.size("changes").cast("string"), "part": F.col("part").cast("string")}, {"part"})
     core = C.obj({
         "schema_version": C.token(F.col("schema_version")), "envelope_id": C.token(F.col("envelope_id")), "kind": F.lit('"transaction"'), "source": source, "transaction": tx,
         "offset": offset_object(), "fidelity": fidelity, "completeness": completeness, "actor": actor, "changes": C.arr(items),
@@ -265,11 +265,17 @@ def attributed(events_: DataFrame, audits: DataFrame, window_ms: int = 5000) ->
     bucket = lambda ms: F.floor(ms / window_ms).cast("bigint")
     clean = audits.select("audit_event_id", F.col("db_id").alias("_db"), "event_ms", "objects", *[F.col(k).alias(f"a_{k}") for k in keys], F.coalesce("tampered", F.lit(False)).alias("tampered")).where(F.col("event_ms").isNotNull())
     about = F.when(F.coalesce(F.size("objects"), F.lit(0)) < 1, F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct("objects"))
-    # per database, table (null: any) and bucket: how many, which if one; an audit of several tables is counted where events ask for several
-    slices = clean.select("_db", "audit_event_id", "event_ms", "tampered", F.explode(about).alias("_table"))
-    each = events_.select("envelope_id", "db_id", "commit_ms", F.explode(F.array_union(F.coalesce("tables", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))).alias("_table"))
-    counted = _near(each, slices, window_ms)
-    dirty = _near(events_.select("envelope_id", "db_id", "commit_ms", F.lit(None).cast("string").alias("_table")), clean.where("tampered").select("_db", "audit_event_id", "event_ms", "tampered", F.lit(None).cast("string").alias("_table")), window_ms)
+    slices = clean.select("_db", "audit_event_id", "event_ms", F.size(about).alias("_wide"), F.explode(about).alias("_table"))
+    asked = F.array_union(F.coalesce("tables", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    each = events_.select("envelope_id", "db_id", "commit_ms", F.size(asked).alias("_asks"), F.explode(asked).alias("_table"))
+    # an event of several tables would count an audit of several twice: these few are listed, by table and bucket, and made distinct
+    one_of, several = slices.where("_wide = 1"), slices.where("_wide > 1")
+    parts = [_near(each, one_of, window_ms), _near(each.where("_asks <= 2"), several, window_ms)]
+    listed = each.where("_asks > 2").select("envelope_id", "db_id", "commit_ms", "_table", F.explode(F.array(*[bucket(F.col("commit_ms")) + d for d in (-1, 0, 1)])).alias("_b"))
+    listed = listed.join(several.select(F.col("_db").alias("db_id"), "_table", bucket(F.col("event_ms")).alias("_b"), "event_ms", "audit_event_id"), ["db_id", "_table", "_b"]).where(F.abs(F.col("event_ms") - F.col("commit_ms")) <= window_ms)
+    listed = listed.select(F.col("envelope_id").cast("string").alias("envelope_id"), "audit_event_id").distinct().groupBy("envelope_id").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) == 1, F.min("audit_event_id")).alias("one"))
+    counted = parts[0].unionByName(parts[1]).unionByName(listed).groupBy("envelope_id").agg(F.sum("n").alias("n"), F.max("one").alias("one"))
+    dirty = _near(events_.select("envelope_id", "db_id", "commit_ms", F.lit(None).cast("string").alias("_table")), clean.where("tampered").select("_db", "audit_event_id", "event_ms", F.lit(None).cast("string").alias("_table")), window_ms)
     out = events_.join(counted.select("envelope_id", F.col("n").alias("candidates"), F.col("one").alias("one_id")), "envelope_id", "left").join(dirty.select("envelope_id", (F.col("n") > 0).alias("tampered")), "envelope_id", "left")
     keyed = None
     for k in keys:

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.operators.ordered import fold
+from lodeline.operators.ordered import carry, fold
 
 MAX_DEPTH, MAX_LEAVES = 8, 64
 BANDS = ((80, "critical"), (50, "high"), (25, "medium"), (0, "low"))
@@ -178,10 +178,14 @@ def suppressed(alerts: DataFrame, key: str, at_ms: str, cooldown_ms: int) -> Dat
     An alert within cooldown_ms of the last one of its key joins it and restarts
     the cooldown, so each run ends where a step exceeds it: gaps and islands.
     """
-    order = Window.partitionBy(key).orderBy(at_ms)
-    opens = alerts.select(key, at_ms, F.when(F.coalesce(F.col(at_ms) - F.lag(at_ms).over(order) > cooldown_ms, F.lit(True)), F.col(at_ms)).alias("_o"))
-    runs = opens.withColumn("_run", F.last("_o", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(key, "_run").agg(F.min(at_ms).alias("first_ms"), F.max(at_ms).alias("last_ms"), F.count(F.lit(1)).alias("occurrences")).drop("_run")
+    # a key's timeline is looked back over in blocks, so a key that raises most alerts isn't one task
+    block = F.floor(F.col("_at") / (16 * max(1, cooldown_ms))).cast("bigint")
+    once = alerts.where(F.col(at_ms).isNotNull()).groupBy(key, F.col(at_ms).alias("_at")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", block)
+    once = once.withColumn("_key", F.struct(F.col(key).alias("k")))
+    seen = carry(once, ["_key"], "_block", ["_at"], {"_prev": F.col("_at")})
+    opens = seen.withColumn("_open", F.when(F.coalesce(F.col("_at") - F.col("_prev") > cooldown_ms, F.lit(True)), F.col("_at")))
+    runs = carry(opens, ["_key"], "_block", ["_at"], {"_run": F.col("_open")}, inclusive=True)
+    return runs.groupBy(key, "_run").agg(F.min("_at").alias("first_ms"), F.max("_at").alias("last_ms"), F.sum("_n").alias("occurrences")).drop("_run")
 
 
 def cooled(alerts: DataFrame, key: str, at_ms: str, cooldown_ms: int) -> DataFrame:

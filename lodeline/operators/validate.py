@@ -18,7 +18,7 @@ from lodeline.functions import canonical as C
 
 SCHEMA = (
     "schema_version string, envelope_id string, kind string, source struct<db_id:string,engine:string,server_uuid:string,schema:string>,"
-    " transaction struct<tx_id:string,commit_ts:string,ingest_ts:string,statement_count:bigint>,"
+    " transaction struct<tx_id:string,commit_ts:string,ingest_ts:string,statement_count:bigint,part:int>,"
     " offset struct<gtid:string,binlog_file:string,binlog_pos:bigint,lsn:string,scn:string,resume_token:string>, fidelity struct<state:string,degraded_reason:string>,"
     " completeness struct<consumed_offset_key:string,gap_detected:boolean,snapshot_phase:string,snapshot_epoch_id:string,snapshot_coverage:struct<status:string,expected_rows:bigint>>,"
     " actor struct<attribution_confidence:string,audit_event_ref:string>,"
@@ -94,13 +94,15 @@ def broken_rules() -> Column:
     identity = (given == epoch) & (e["completeness"]["consumed_offset_key"] == C.snapshot_offset_key(given)) & (first.isNull() | (e["transaction"]["tx_id"] == C.snapshot_tx_id(given, first["schema"], first["name"], F.col("_pk"))))
     covered = coverage.isNotNull() & (coverage["expected_rows"].isNull() | coverage["status"].isin("incomplete", "interrupted"))
     evidence = e["evidence"]
+    ids = (e["source"]["db_id"], e["transaction"]["tx_id"], e["source"]["server_uuid"])
     row = C.row_hash(evidence["prev_row_hash"], evidence["event_hash"])
     anchor = evidence["anchor_ref"]
     return F.array_compact(F.array(
         version_gate(e["schema_version"]),
         rule("V1", ~e["schema_version"].isin(*VERSIONS)),
         rule("V2", e["kind"] != "transaction"),
-        rule("V3", e["envelope_id"] != C.envelope_id(e["source"]["db_id"], e["transaction"]["tx_id"], e["source"]["server_uuid"])),
+        # a part of a large transaction has an id of its own
+        rule("V3", e["envelope_id"] != F.when(e["transaction"]["part"].isNull(), C.envelope_id(*ids)).otherwise(C.envelope_id(*ids, e["transaction"]["part"].cast("string")))),
         rule("V4", ~seqs | (e["transaction"]["statement_count"] != F.size(changes))),
         rule("V5", ~every(nullity)),
         rule("V6", ~every(pk)),

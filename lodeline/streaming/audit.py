@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,12 +60,19 @@ def segmented(stream: DataFrame, max_events: int = segments.MAX_EVENTS, max_age_
             state.update((sequence, opened, n))
             return
         out = []
-        for r in pd.concat(list(frames)).sort_values("arrival").itertuples():
-            if n and (n >= max_events or (opened is not None and r.at_ms - opened >= max_age_ms)):
+        # two numbers an event: the micro-batch, which the source's limit bounds, must be put in order
+        pairs = [f[["arrival", "at_ms"]].to_numpy() for f in frames]
+        events = np.concatenate(pairs)
+        events = events[np.argsort(events[:, 0], kind="stable")]
+        for arrival, at in events.tolist():
+            if n and (n >= max_events or (opened is not None and at - opened >= max_age_ms)):
                 sequence, opened, n = sequence + 1, None, 0
-            opened = r.at_ms if opened is None else opened
+            opened = at if opened is None else opened
             n += 1
-            out.append((key[0], r.arrival, sequence))
+            out.append((key[0], arrival, sequence))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=["db_id", "arrival", "segment_sequence"])
+                out = []
         state.update((sequence, opened, n))
         state.setTimeoutDuration(max_age_ms)
         yield pd.DataFrame(out, columns=["db_id", "arrival", "segment_sequence"])
