@@ -154,6 +154,16 @@ def transactions(items: DataFrame, arrival: str = "change_id", max_changes: int
     return grouped.select("db_id", "island", F.when(full, F.col("_part")).alias("part"), "first.*", "changes", "statement_count", "errors", refused)
 
 
+def tables_of(grouped: DataFrame) -> DataFrame:
+    """Adds tables, the distinct tables of each transaction in order of their first change, and operations, one for each change."""
+    return grouped.withColumn("tables", F.array_distinct(F.transform("changes", lambda c: c["object_name"]))).withColumn("operations", F.transform("changes", lambda c: c["operation"]))
+
+
+def outcomes(routed: DataFrame, by: list[str] | None = None, outcome: str = "outcome") -> DataFrame:
+    """Pipeline statistics: how many of each outcome, in all or by the columns named."""
+    return routed.groupBy(*(by or []), outcome).agg(F.count(F.lit(1)).alias("n"))
+
+
 def unattested_fidelity(completeness_known: Column | None = None) -> Column:
     """Fidelity of an event nothing attests: degraded, with the reasons."""
     notes = '["completeness not attested"]'

@@ -78,7 +78,59 @@ def _flag(leaf: dict) -> Column:
     return F.col(leaf["column"])
 
 
-LEAVES: dict[str, Callable[[dict], Column]] = {"field_change": _field_change, "field_value": _value, "operation": _operation, "object": _object, "outside_hours": _outside_hours, "flag": _flag}
+def _transaction(leaf: dict) -> Column:
+    """statement_count, distinct_tables_count, contains_operation, all_operations_are or touches_table of a transaction (columns operations and tables, arrays with one entry for each change)."""
+    kind = leaf["predicate"]
+    if kind == "statement_count":
+        return compare(F.size("operations").cast("string"), leaf["op"], leaf["value"])
+    if kind == "distinct_tables_count":
+        return compare(F.size(F.array_distinct("tables")).cast("string"), leaf["op"], leaf["value"])
+    if kind == "contains_operation":
+        return F.array_contains("operations", leaf["value"])
+    if kind == "all_operations_are":
+        return (F.size("operations") > 0) & F.forall("operations", lambda o: o == leaf["value"])
+    if kind == "touches_table":
+        return F.array_contains("tables", leaf["value"])
+    raise ValueError(f"unknown predicate {kind!r}")
+
+
+#: Ranks of attribution, the weakest first.
+CONFIDENCES = ("unattributed", "probable", "exact")
+
+
+def _behaviour(leaf: dict) -> Column:
+    """outside_business_hours, unusual_host, new_actor (columns of ``known_actors``), actor_in_list, actor_not_in_list, privilege_role_in or confidence_below."""
+    kind = leaf["predicate"]
+    if kind == "outside_business_hours":
+        return _outside_hours(leaf)
+    if kind in ("unusual_host", "new_actor"):
+        return F.col(kind)
+    listed = {"actor_in_list": "actor", "actor_not_in_list": "actor", "privilege_role_in": "actor_role"}
+    if kind in listed:
+        found = F.coalesce(F.col(listed[kind]).isin(*leaf["values"]), F.lit(False))
+        return ~found & F.col("actor").isNotNull() if kind == "actor_not_in_list" else found
+    if kind == "confidence_below":
+        return F.array_position(F.array(*[F.lit(c) for c in CONFIDENCES]), F.coalesce("attribution_confidence", F.lit(CONFIDENCES[0]))) < CONFIDENCES.index(leaf["value"]) + 1
+    raise ValueError(f"unknown predicate {kind!r}")
+
+
+def _fidelity(leaf: dict) -> Column:
+    """What is wrong with the capture itself: state_not_healthy, gap_detected, row_image_downgraded, audit_plugin_disabled or attribution_unavailable_on_sensitive. Null where it isn't known."""
+    kind = leaf["predicate"]
+    of = {
+        "state_not_healthy": lambda: F.col("fidelity_state").isin("DEGRADED", "COMPROMISED"), "gap_detected": lambda: F.col("gap_detected"), "row_image_downgraded": lambda: F.upper("binlog_row_image") != "FULL",
+        "audit_plugin_disabled": lambda: F.array_contains("tamper_indicators", "AUDIT_PLUGIN_DISABLED"),
+        "attribution_unavailable_on_sensitive": lambda: F.col("sensitive") & (F.col("attribution_confidence") == "unattributed"),
+    }
+    if kind not in of:
+        raise ValueError(f"unknown predicate {kind!r}")
+    return of[kind]()
+
+
+LEAVES: dict[str, Callable[[dict], Column]] = {
+    "field_change": _field_change, "field_value": _value, "operation": _operation, "object": _object, "outside_hours": _outside_hours, "flag": _flag,
+    "transaction": _transaction, "user_behavior": _behaviour, "fidelity": _fidelity,
+}
 
 
 def compiled(rule: dict) -> tuple[Column, Column, Column]:
@@ -127,11 +179,11 @@ def evaluated(events: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def tumbling(events: DataFrame, by: list[str], ts: str, seconds: int, least: int, value: str | None = None) -> DataFrame:
-    """Windows of fixed length with at least ``least`` events: by, window_start, n, and the exact sum and distinct count of ``value``."""
-    metrics = [F.count(F.lit(1)).alias("n")]
+    """Windows of fixed length with at least ``least`` events: by, window_start, n, rate (events a second), and the exact sum and distinct count of ``value``."""
+    metrics = [F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / seconds).alias("rate")]
     if value:
         metrics += [F.sum(F.col(value).cast("decimal(38,6)")).alias("total"), F.count_distinct(value).alias("distinct")]
-    return events.groupBy(*by, F.window(ts, f"{seconds} seconds").alias("w")).agg(*metrics).where(F.col("n") >= least).select(*by, F.col("w.start").alias("window_start"), *[m for m in ("n", "total", "distinct") if m == "n" or value])
+    return events.groupBy(*by, F.window(ts, f"{seconds} seconds").alias("w")).agg(*metrics).where(F.col("n") >= least).select(*by, F.col("w.start").alias("window_start"), *[m for m in ("n", "rate", "total", "distinct") if m in ("n", "rate") or value])
 
 
 def sliding(events: DataFrame, by: list[str], ts: str, seconds: int, least: int, id_: str = "event_id") -> DataFrame:
@@ -158,6 +210,39 @@ def related(events: DataFrame, other: DataFrame | None, on: list[str], name: str
     return events.join(keys, on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
+def field_compared(events: DataFrame, other: DataFrame | None, on: list[str], name: str, own: str, op: str, field: str) -> DataFrame:
+    """Adds a flag whether a related row's ``field`` compares so with the event's ``own``; null if the other table isn't available.
+
+    Of the related rows only the least and greatest value and, for equality, the
+    distinct ones are joined, so an event never meets all related rows.
+    """
+    if other is None:
+        return events.withColumn(name, F.lit(None).cast("boolean"))
+    if op in ("==",):
+        keys = other.select(*on, F.col(field).alias("_v")).where(F.col("_v").isNotNull()).distinct().withColumn(name, F.lit(True))
+        left = events.withColumn("_v", F.col(own))
+        return left.join(keys, [*on, "_v"], "left").select(*events.columns, F.coalesce(name, F.lit(False)).alias(name))
+    ends = other.groupBy(*on).agg(F.min(field).alias("_least"), F.max(field).alias("_most"))
+    test = {">": F.col(own) > F.col("_least"), ">=": F.col(own) >= F.col("_least"), "<": F.col(own) < F.col("_most"), "<=": F.col(own) <= F.col("_most"), "!=": (F.col("_least") != F.col(own)) | (F.col("_most") != F.col(own))}
+    if op not in test:
+        raise ValueError(f"unknown operator {op!r}")
+    return events.join(ends, on, "left").select(*events.columns, F.coalesce(test[op], F.lit(False)).alias(name))
+
+
+def known_actors(events: DataFrame, hosts: DataFrame, lookback_ms: int) -> DataFrame:
+    """Adds new_actor (not seen in the lookback_ms before) and unusual_host (a host not known of the actor).
+
+    events: actor, client_host, at_ms; hosts: actor, client_host. Without an
+    actor both are false. Looking back goes by blocks, so a busy actor isn't one task.
+    """
+    times = events.where(F.col("actor").isNotNull() & F.col("at_ms").isNotNull()).select("actor", "at_ms").distinct().withColumn("_block", F.floor(F.col("at_ms") / lookback_ms).cast("bigint"))
+    seen = carry(times, ["actor"], "_block", ["at_ms"], {"_prev": F.col("at_ms")}).select("actor", "at_ms", (F.col("_prev").isNull() | (F.col("at_ms") - F.col("_prev") > lookback_ms)).alias("new_actor"))
+    usual = hosts.select("actor", "client_host").distinct().withColumn("_usual", F.lit(True))
+    out = events.join(seen, ["actor", "at_ms"], "left").join(usual, ["actor", "client_host"], "left")
+    unusual = F.col("actor").isNotNull() & F.col("client_host").isNotNull() & F.col("_usual").isNull()
+    return out.withColumn("new_actor", F.coalesce("new_actor", F.lit(False))).withColumn("unusual_host", unusual).drop("_usual")
+
+
 def event_scores(results: DataFrame, by: list[str], share: float = 0.25) -> DataFrame:
     """Score of each event over its fired rules: the greatest, plus ``share`` of the sum of the others, at most 100."""
     fired = results.where("outcome = 'FIRED'")

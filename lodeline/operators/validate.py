@@ -51,6 +51,12 @@ def core_hash(events: pd.Series) -> pd.Series:
     return events.map(one)
 
 
+def object_kind(content: Column) -> Column:
+    """What a sealed object is, by its member kind: cce, epoch_manifest, or null for anything else."""
+    kind = F.get_json_object(content, "$.kind")
+    return F.when(kind == "transaction", "cce").when(kind == "snapshot_epoch_manifest", "epoch_manifest")
+
+
 def version_gate(version: Column) -> Column:
     """VERSION_MAJOR for a major version other than 1 or text that is no version; else null."""
     return F.when(~F.coalesce(version.rlike(r"^cce-1\.\d+$"), F.lit(False)), "VERSION_MAJOR")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeline.functions import canonical as C
 from lodeline.functions import ed25519, gtid, merkle, proofs
 from lodeline.functions.changes import plain_object, position
-from lodeline.operators import anchor, attest, changelog, completeness, deadletter, export, ingest, normalize, projection, rules, segments, verify
+from lodeline.operators import anchor, attest, changelog, completeness, deadletter, delivery, export, ingest, normalize, projection, rules, segments, verify
 from lodeline.operators.ordered import numbered
 from lodeline.plans import bridge
 from lodeline.plans.bridge import SEALED, STREAM
@@ -82,8 +82,7 @@ def primary_keys(spark: SparkSession, root: str) -> DataFrame:
 # ---- normalisation ---------------------------------------------------------------------------------------------
 
 _CELLS = f"""
-base as (select *, {_OBJECT} as object from normalized_change where operation in ('INSERT', 'UPDATE', 'DELETE')
-    and not exists (select 1 from (select unnest(list_concat(coalesce(json_extract(before_image, '$.*'), []), coalesce(json_extract(after_image, '$.*'), []))) as v) where json_type(v) = 'DOUBLE' and cast(v as double) <> floor(cast(v as double)))),
+base as (select *, {_OBJECT} as object from normalized_change where operation in ('INSERT', 'UPDATE', 'DELETE')),
 names as (
   select change_id, unnest(list_distinct(list_concat(case when operation <> 'INSERT' then coalesce(json_keys(before_image), []) else [] end, case when operation <> 'DELETE' then coalesce(json_keys(after_image), []) else [] end))) as name from base),
 cells as (
@@ -95,7 +94,8 @@ kept as (
   select *, case when json_type(w) <> 'NULL' then w else o end as side from cells where operation <> 'UPDATE' or json_type(o) <> json_type(w) or (o ->> '$') is distinct from (w ->> '$')),
 diff as (
   select change_id, object, name as "column", o, w, case json_type(side) when 'NULL' then 'null' when 'BOOLEAN' then 'bool' when 'OBJECT' then 'json' when 'ARRAY' then 'json' when 'VARCHAR'
-    then case when regexp_full_match(side ->> '$', '-?\\d+\\.\\d+') then 'decimal' else 'string' end else 'int' end as data_type from kept)"""
+    then case when regexp_full_match(side ->> '$', '-?\\d+\\.\\d+') then 'decimal' else 'string' end
+    when 'DOUBLE' then case when cast(side as double) <> floor(cast(side as double)) then 'decimal' else 'int' end else 'int' end as data_type from kept)"""
 
 
 def _items(changes: DataFrame, names: list[str]) -> DataFrame:
@@ -109,12 +109,12 @@ def _items(changes: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumn("fields", F.when(F.coalesce("_b.error", "_a.error").isNull(), fields).otherwise(unknown))
 
 
-_PLAIN = lambda c: f"case when json_type({c}) in ('OBJECT', 'ARRAY', 'NULL') then null when json_type({c}) = 'DOUBLE' then cast(cast(cast({c} as double) as bigint) as varchar) else {c} ->> '$' end"
+_PLAIN = lambda c: f"case when json_type({c}) in ('OBJECT', 'ARRAY', 'NULL') then null when json_type({c}) = 'DOUBLE' and cast({c} as double) = floor(cast({c} as double)) then cast(cast(cast({c} as double) as bigint) as varchar) else {c} ->> '$' end"
 
 
 @query(f"with {_CELLS} select change_id, \"column\", data_type, {_PLAIN('o')} as old, {_PLAIN('w')} as new from diff")
 def field_diff(spark: SparkSession, root: str) -> DataFrame:
-    """All row changes; the SQL leaves out those with a fractional number in an image."""
+    """The changed fields of all row changes."""
     table = projection.field_table(_items(read_table(spark, root, "normalized_change"), []))
     plain = lambda c: F.when(~F.col(c).rlike(r"^[\[{]"), rules.bare_token(F.col(c)))
     return table.select("change_id", "column", "data_type", plain("old").alias("old"), plain("new").alias("new"))
@@ -169,6 +169,41 @@ def dlq_routed(spark: SparkSession, root: str) -> DataFrame:
     return dead.select("db_id", "island", "statement_count", F.array_join(F.transform("change_ids", lambda x: x.cast("string")), ",").alias("change_ids"))
 
 
+@query("""with prev as (
+  select *, lag(gtid) over (partition by db_id order by change_id) as p, row_number() over (partition by db_id order by change_id) as n from normalized_change),
+opens as (select *, case when n = 1 or gtid is null or p is distinct from gtid then change_id end as o from prev),
+runs as (select *, last_value(o ignore nulls) over (partition by db_id order by change_id rows between unbounded preceding and current row) as island, """ + _OBJECT + """ as object from opens),
+tx as (select db_id, island, count(*) as n, count(distinct object) as tables, bool_and(operation = 'UPDATE') as updates, bool_or(object = 'users') as users from runs group by 1, 2)
+select db_id, island, unnest(case when n >= 3 then ['many-changes'] else [] end || case when tables >= 2 then ['several-tables'] else [] end || case when updates and users then ['only-updates-with-users'] else [] end) as rule_id from tx""")
+def rule_transaction(spark: SparkSession, root: str) -> DataFrame:
+    """Rules over whole transactions."""
+    changes = read_table(spark, root, "normalized_change").select("db_id", "change_id", "gtid", "operation", plain_object(F.col("object_name")).alias("object_name"))
+    tx = normalize.islands(changes, key="gtid").groupBy("db_id", "island").agg(F.array_sort(F.collect_list(F.struct("change_id", "operation", "object_name"))).alias("changes"))
+    leaf = lambda **x: {"leaf": "transaction", **x}
+    wanted = [
+        {"id": "many-changes", "base": 30, "when": leaf(predicate="statement_count", op=">=", value=3)}, {"id": "several-tables", "base": 20, "when": leaf(predicate="distinct_tables_count", op=">=", value=2)},
+        {"id": "only-updates-with-users", "base": 10, "when": {"all": [leaf(predicate="all_operations_are", value="UPDATE"), leaf(predicate="touches_table", value="users")]}},
+    ]
+    return rules.evaluated(normalize.tables_of(tx), wanted).where("outcome = 'FIRED'").select("db_id", "island", "rule_id")
+
+
+@query(f"""with {STREAM}, e as (select event_id, user_id, epoch_us(ts) // 1000 as t, event_id % 7 as host from stream),
+p as (select user_id, t, lag(t) over (partition by user_id order by t) as prev from (select distinct user_id, t from e)),
+h as (select distinct user_id, host from e where event_id % 3 <> 0)
+select e.event_id, p.prev is null or e.t - p.prev > 86400000 as new_actor, h.user_id is null as unusual_host from e join p on p.user_id = e.user_id and p.t = e.t left join h on h.user_id = e.user_id and h.host = e.host""")
+def rule_actors(spark: SparkSession, root: str) -> DataFrame:
+    """Actors not seen for a day, and hosts not known of them: known are those of two thirds of the events."""
+    e = bridge.stream(spark, root).select("event_id", F.col("user_id").alias("actor"), F.unix_millis("ts").alias("at_ms"), (F.col("event_id") % 7).alias("client_host"))
+    return rules.known_actors(e, e.where("event_id % 3 <> 0"), 86_400_000).select("event_id", "new_actor", "unusual_host")
+
+
+@query("""select o_orderkey, exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_extendedprice * 2 > o.o_totalprice) as has_half from orders o""")
+def rule_field_compare(spark: SparkSession, root: str) -> DataFrame:
+    """Orders with a line of more than half their total."""
+    lines = read_table(spark, root, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_extendedprice") * 2).alias("twice"))
+    return rules.field_compared(read_table(spark, root, "orders").select("o_orderkey", "o_totalprice"), lines, ["o_orderkey"], "has_half", "o_totalprice", "<", "twice").select("o_orderkey", "has_half")
+
+
 @query(f"with {SEALED} select envelope_id, event_hash from hashed")
 def event_hash(spark: SparkSession, root: str) -> DataFrame:
     return bridge.sealed(spark, root).select("envelope_id", "event_hash")
@@ -317,7 +352,15 @@ def fidelity_assess(spark: SparkSession, root: str) -> DataFrame:
     return attest.assessed(_configs(spark, root)).select("db_id", "state", "degraded_reason", F.size("notes").alias("n_notes"))
 
 
-@query()
+@query(f"""with k as (select *, {_READ} as k from source_db),
+f as (select *, list_filter([
+    case when k % 11 = 0 then 'log_bin is OFF: binary logging disabled — no change capture' end, case when k % 5 = 0 then 'binlog_format is STATEMENT (expected ROW): field-level capture lost' end,
+    case when k % 7 = 0 then 'binlog_row_image could not be read' end, case when k % 3 = 0 and engine = 'mysql' then 'gtid_mode is OFF (expected ON): completeness proof impossible' end,
+    case when k % 4 = 0 then 'binlog retention 0s is below the 86400s threshold (gap risk)' end], lambda x: x is not null) as notes from k),
+t as (select *, '{{"binlog_expire_logs_seconds":' || case when k % 4 = 0 then 0 else 604800 end || ',"binlog_format":"' || case when k % 5 = 0 then 'STATEMENT' else 'ROW' end || '","binlog_row_image":' || case when k % 7 = 0 then 'null' else '"FULL"' end
+  || ',"db_id":"' || db_id || '","engine":"' || engine || '","gtid_mode":' || case when engine <> 'mysql' then 'null' when k % 3 = 0 then '"OFF"' else '"ON"' end || ',"gtid_strict_mode":' || case when engine = 'mariadb' then '"ON"' else 'null' end
+  || ',"log_bin":"' || case when k % 11 = 0 then 'OFF' else 'ON' end || '","sampled_at":"2017-03-01T00:00:00.000Z","server_uuid":"' || case when engine = 'mysql' then server_uuid else '1' end || '"}}' as text from f)
+select db_id, case when k % 11 = 0 then 'COMPROMISED' when len(notes) > 0 then 'DEGRADED' else 'HEALTHY' end as state, notes[1] as degraded_reason, 'cfg-' || substr(sha256(text), 1, 16) as config_snapshot_id from t""")
 def config_snapshots(spark: SparkSession, root: str) -> DataFrame:
     return attest.sampled(read_table(spark, root, "source_db"), _configs(spark, root), F.lit("2017-03-01T00:00:00.000Z")).select("db_id", "state", "degraded_reason", "config_snapshot_id")
 
@@ -697,9 +740,9 @@ def rule_cross_table(spark: SparkSession, root: str) -> DataFrame:
     return rules.related(read_table(spark, root, "orders").select("o_orderkey"), lines, ["o_orderkey"], "has_big", F.col("l_quantity") > 45)
 
 
-@query("""select change_id, not (isodow(commit_ts) between 1 and 5 and hour(commit_ts) * 60 + minute(commit_ts) >= 480 and hour(commit_ts) * 60 + minute(commit_ts) < 1080) as outside from normalized_change where commit_ts is not null""")
+@query("""select change_id, not (isodow(commit_ts) between 1 and 5 and hour(commit_ts) * 60 + minute(commit_ts) >= 480 and hour(commit_ts) * 60 + minute(commit_ts) < 1080) as outside from normalized_change""")
 def rule_outside_hours(spark: SparkSession, root: str) -> DataFrame:
-    """Null for a change without a commit time: the rule can't decide it. The SQL leaves those out."""
+    """Null for a change without a commit time: the rule can't decide it."""
     leaf = rules.LEAVES["outside_hours"]({"days": [1, 2, 3, 4, 5], "from": "08:00", "to": "18:00"})
     return _observed(spark, root).select("change_id", leaf.alias("outside"))
 
@@ -750,12 +793,19 @@ def epoch_coverage(spark: SparkSession, root: str) -> DataFrame:
     return projection.epoch_coverage(once, expected).select("db_id", "object", "emitted_rows", "status")
 
 
-@query("select delivery_id, 'sha256:' || regexp_replace(lower(payload_hash), '^sha256:', '') as payload_hash from dlq where payload_hash is not null")
+@query()
 def payload_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """The payload's hash in key order, of every dead letter; the SQL gives the stated ones."""
+    """The payload's hash in key order, of every dead letter."""
     return read_table(spark, root, "dlq").select("delivery_id", C.sha(C.stable(F.col("original_payload"))).alias("payload_hash"))
 
 
+@query("select delivery_id, case when payload_hash is not null then true end as agrees from dlq")
+def payload_hash_check(spark: SparkSession, root: str) -> DataFrame:
+    """Whether the hash a dead letter states is that of its payload; null where none is stated. In these data all that are stated are right."""
+    own = C.sha(C.stable(F.col("original_payload")))
+    return read_table(spark, root, "dlq").select("delivery_id", (own == delivery.payload_identity(F.col("payload_hash"))).alias("agrees"))
+
+
 @query("select doc_id, sha256(nfc_normalize(text)) as nfc_hash from documents where text is not null")
 def nfc_hashes(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "documents").where(F.col("text").isNotNull()).select("doc_id", F.sha2(C.nfc(F.col("text")), 256).alias("nfc_hash"))
