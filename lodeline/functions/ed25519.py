@@ -44,13 +44,40 @@ def _add(a: Point, b: Point) -> Point:
     return e * f % P, g * h % P, f * g % P, e * h % P
 
 
-def _times(n: int, a: Point) -> Point:
+def _windowed(n: int, a: Point) -> Point:
+    """n times a, four bits at a time."""
+    table = [(0, 1, 1, 0), a]
+    while len(table) < 16:
+        table.append(_add(table[-1], a))
+    out = table[0]
+    for digit in f"{n:x}":
+        out = _add(out, out)
+        out = _add(out, out)
+        out = _add(out, out)
+        out = _add(out, out)
+        if digit != "0":
+            out = _add(out, table[int(digit, 16)])
+    return out
+
+
+_comb: list[list[Point]] = []
+
+
+def _base_times(n: int) -> Point:
+    """n times the base point, from its multiples of each hexadecimal place, which are computed once."""
+    if not _comb:
+        place = BASE
+        for _ in range(64):
+            row = [(0, 1, 1, 0)]
+            while len(row) < 16:
+                row.append(_add(row[-1], place))
+            _comb.append(row)
+            place = _add(row[-1], place)
     out: Point = (0, 1, 1, 0)
-    while n:
-        if n & 1:
-            out = _add(out, a)
-        a = _add(a, a)
-        n >>= 1
+    for row in _comb:
+        if n & 15:
+            out = _add(out, row[n & 15])
+        n >>= 4
     return out
 
 
@@ -77,14 +104,14 @@ def _secret(seed: bytes) -> tuple[int, bytes]:
 
 
 def public_key(seed: bytes) -> bytes:
-    return _pack(_times(_secret(seed)[0], BASE))
+    return _pack(_base_times(_secret(seed)[0]))
 
 
 def sign(seed: bytes, message: bytes) -> bytes:
     a, prefix = _secret(seed)
-    key = _pack(_times(a, BASE))
+    key = _pack(_base_times(a))
     r = _number(prefix, message) % L
-    top = _pack(_times(r, BASE))
+    top = _pack(_base_times(r))
     return top + ((r + _number(top, key, message) % L * a) % L).to_bytes(32, "little")
 
 
@@ -95,7 +122,7 @@ def verify(key: bytes, message: bytes, signature: bytes) -> bool:
     a, r, s = _unpack(key), _unpack(signature[:32]), int.from_bytes(signature[32:], "little")
     if a is None or r is None or s >= L:
         return False
-    left, right = _times(s, BASE), _add(r, _times(_number(signature[:32], key, message) % L, a))
+    left, right = _base_times(s), _add(r, _windowed(_number(signature[:32], key, message) % L, a))
     return (left[0] * right[2] - right[0] * left[2]) % P == 0 and (left[1] * right[2] - right[1] * left[2]) % P == 0
 
 

@@ -324,3 +324,32 @@ def test_sinks(spark, tmp_path):
     assert objects.generated_changes(spark, 50).count() == 50
     d = spark.createDataFrame([(True, 5, "delete"), (False, 15, "delete"), (False, 5, "delete"), (False, 5, "extend")], "held boolean, until int, act string")
     assert [r[0] for r in d.select(sinks.retention_decision(F.col("held"), F.col("until"), F.lit(10), F.col("act"), F.lit(4))).collect()] == ["DENY_HOLD", "DENY_RETENTION", "ALLOW", "DENY_BACKWARD"]
+
+
+def test_leaves(spark):
+    row = [(["UPDATE", "DELETE", "UPDATE"], ["a", "b", "a"], "ann", "admin", "probable", True, False, "DEGRADED", None, "MINIMAL", ["AUDIT_PLUGIN_DISABLED"], True), (["DELETE"], ["a"], None, None, None, False, True, "HEALTHY", True, None, [], False)]
+    df = spark.createDataFrame(row, "operations array<string>, tables array<string>, actor string, actor_role string, attribution_confidence string, new_actor boolean, unusual_host boolean, fidelity_state string, gap_detected boolean, binlog_row_image string, tamper_indicators array<string>, sensitive boolean")
+
+    def fired(**leaf):
+        return [r["outcome"] == "FIRED" if r["outcome"] != "INDETERMINATE" else None for r in rules.evaluated(df, [{"id": "r", "when": leaf}]).collect()]
+
+    t = lambda p, **x: fired(leaf="transaction", predicate=p, **x)
+    assert t("statement_count", op=">", value=2) == [True, False] and t("distinct_tables_count", op="==", value=2) == [True, False] and t("contains_operation", value="UPDATE") == [True, False]
+    assert t("all_operations_are", value="DELETE") == [False, True] and t("touches_table", value="b") == [True, False]
+    u = lambda p, **x: fired(leaf="user_behavior", predicate=p, **x)
+    assert u("actor_in_list", values=["ann"]) == [True, False] and u("actor_not_in_list", values=["bob"]) == [True, False] and u("privilege_role_in", values=["admin"]) == [True, False]
+    assert u("confidence_below", value="exact") == [True, True] and u("confidence_below", value="probable") == [False, True] and u("new_actor") == [True, False] and u("unusual_host") == [False, True]
+    f = lambda p: fired(leaf="fidelity", predicate=p)
+    assert f("state_not_healthy") == [True, False] and f("gap_detected") == [None, True] and f("row_image_downgraded") == [True, None] and f("audit_plugin_disabled") == [True, False] and f("attribution_unavailable_on_sensitive") == [False, False]
+    for leaf in ("transaction", "user_behavior", "fidelity"):
+        with pytest.raises(ValueError):
+            fired(leaf=leaf, predicate="nothing")
+    a = spark.createDataFrame([("x", "h1", 0), ("x", "h2", 50), ("x", "h1", 300), (None, "h1", 0), ("y", None, 5), ("y", "h1", 5)], "actor string, client_host string, at_ms bigint")
+    got = {(r["actor"], r["client_host"], r["at_ms"]): (r["new_actor"], r["unusual_host"]) for r in rules.known_actors(a, spark.createDataFrame([("x", "h1")], "actor string, client_host string"), 100).collect()}
+    assert got == {("x", "h1", 0): (True, False), ("x", "h2", 50): (False, True), ("x", "h1", 300): (True, False), (None, "h1", 0): (False, False), ("y", None, 5): (True, False), ("y", "h1", 5): (True, True)}
+    other = spark.createDataFrame([(1, 5), (1, 9), (2, None)], "k int, w int")
+    mine = spark.createDataFrame([(1, 7), (1, 9), (2, 1), (3, 1)], "k int, v int")
+    flags = lambda op: [r["ok"] for r in rules.field_compared(mine, other, ["k"], "ok", "v", op, "w").orderBy("k", "v").collect()]
+    assert flags(">") == [True, True, False, False] and flags("<") == [True, False, False, False] and flags("==") == [False, True, False, False] and flags("!=") == [True, True, False, False]
+    kinds = spark.createDataFrame([('{"kind":"transaction"}',), ('{"kind":"snapshot_epoch_manifest"}',), ('{"kind":1}',), ("x",), (None,)], "c string")
+    assert [r[0] for r in kinds.select(validate.object_kind(F.col("c"))).collect()] == ["cce", "epoch_manifest", None, None, None]
