@@ -32,7 +32,7 @@ from lodeline.llm.tokens import RANKS, token_counts
 from lodeline.session import bounded_rows
 
 #: Items of a shard, on average; bounds the memory and time of one task's group.
-SHARD = 4_000
+SHARD = 10_000
 #: Windows of a class: more make classes wider and windows less full.
 WIDTH = 8
 #: Rows of pack_budget, a fixed table.

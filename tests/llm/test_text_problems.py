@@ -132,6 +132,20 @@ def test_packing_is_whole_and_tight():
     assert check_packing([], 10) == 0 and check_packing([0, 0], 10) == 1
 
 
+def test_every_window_is_differenced_and_full(monkeypatch):
+    rng = random.Random(8)
+    for capacity, draw in ((512, lambda: rng.randint(1, 512)), (512, lambda: rng.choice([rng.randint(1, 60), rng.randint(200, 512)])), (2048, lambda: min(2048, int(rng.lognormvariate(6, 1)) + 1))):
+        sizes = np.array([draw() for _ in range(3000)])
+        window = pack.windows(sizes, capacity)
+        assert np.bincount(window, sizes).max() <= capacity
+        least = max(-(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
+        assert int(window.max()) + 1 <= least * 1.01 + 3
+    # the windows are those differencing gives: where it puts all items into one window, nothing fits but one item each
+    monkeypatch.setattr(pack, "differencing", lambda sizes, k: (np.zeros(len(sizes), np.int64), np.array([sizes.sum()])) if k < len(sizes) else (np.arange(len(sizes)), sizes))
+    assert int(pack.windows(np.full(40, 300), 512).max()) + 1 == 40
+    assert int(pack.windows(np.array([100, 100]), 512).max()) + 1 == 1
+
+
 def test_differencing_balances():
     sizes = np.array([8, 7, 6, 5, 4])
     window, sums = pack.differencing(sizes, 2)
