@@ -35,6 +35,63 @@ REAL_KEYS = ("gtid", "lsn", "scn", "resume_token")
 ROW_OPERATIONS = ("INSERT", "UPDATE", "DELETE")
 
 
+#: The record's members and the kinds of their values (text, whole, truth, any; ``?`` or null; ``[]`` a list of it; a dict a closed object, OPEN an open one).
+OPEN = "open"
+MEMBERS = {
+    "schema_version": "text", "envelope_id": "text", "kind": "text",
+    "source": {"db_id": "text", "engine": "text", "engine_version": "text", "server_uuid": "text", "schema": "text"},
+    "transaction": {"tx_id": "text", "commit_ts": "text", "ingest_ts": "text", "statement_count": "whole", "part": "whole"},
+    "offset": {"gtid": "text?", "binlog_file": "text?", "binlog_pos": "whole?", "lsn": "text?", "scn": "text?", "resume_token": "text?"},
+    "fidelity": {"state": "text", "source_config": OPEN, "notes": ["text"], "degraded_reason": "text"},
+    "completeness": {
+        "consumed_offset_key": "text", "consumed_gtid_set": "text", "heartbeat_ts": "text", "gap_detected": "truth", "snapshot_phase": "text", "snapshot_epoch_id": "text",
+        "snapshot_coverage": {"epoch_id": "text", "table": "text", "expected_rows": "whole?", "expected_is_estimate": "truth", "emitted_rows": "whole", "status": "text"},
+    },
+    "actor": {"db_user": "text?", "client_host": "text?", "connection_id": "text?", "application_name": "text?", "attribution_confidence": "text", "audit_event_ref": "text", "correlation_basis": ["text"]},
+    "changes": [{
+        "seq": "whole", "operation": "text", "object": {"schema": "text", "name": "text", "primary_key": OPEN}, "before": "open?", "after": "open?", "ddl": OPEN,
+        "field_changes": [{"path": ["text"], "old": "any", "new": "any", "data_type": "text", "changed": "truth", "sensitive": "truth", "masked": "truth", "array_op": "text"}],
+    }],
+    "evidence": {"event_hash": "text", "prev_row_hash": "text?", "row_hash": "text?", "worm_object_key": "text", "segment_id": "text", "anchor_ref": "open?"},
+}
+
+_KINDS = {"text": str, "whole": int, "truth": bool, "open": dict}
+
+
+def misfit(value, kind, path: str = "") -> str | None:
+    """Path of the first member that the record doesn't know or whose value is of another kind; null if there is none. Members may be missing: that is for the rules."""
+    if isinstance(kind, dict):
+        if not isinstance(value, dict):
+            return path or "record"
+        for name, x in value.items():
+            at = f"{path}.{name}" if path else name
+            found = at if name not in kind else misfit(x, kind[name], at)
+            if found:
+                return found
+        return None
+    if isinstance(kind, list):
+        if not isinstance(value, list):
+            return path
+        return next((found for i, x in enumerate(value) if (found := misfit(x, kind[0], f"{path}[{i}]"))), None)
+    if kind == "any" or (value is None and kind.endswith("?")):
+        return None
+    own = _KINDS[kind.rstrip("?")]
+    return None if isinstance(value, own) and not (own is int and isinstance(value, bool)) else path
+
+
+@F.pandas_udf(T.StringType())
+def structure(events: pd.Series) -> pd.Series:
+    """``misfit`` of each event; ``unreadable`` for text that isn't JSON."""
+
+    def one(text):
+        try:
+            return misfit(json.loads(text), MEMBERS)
+        except (ValueError, TypeError, RecursionError):
+            return "unreadable"
+
+    return pd.Series([one(t) for t in events], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def core_hash(events: pd.Series) -> pd.Series:
     """Hash token of each event's canonical form without its evidence; null where it has none."""
@@ -138,8 +195,13 @@ def _types() -> T.StructType:
 
 
 def validated(records: DataFrame, event: str = "event") -> DataFrame:
-    """Adds ``rules``, the broken rules of the JSON in column ``event``; text that isn't a JSON object breaks SCHEMA alone."""
-    df = records.withColumn("e", F.from_json(event, SCHEMA, {"mode": "PERMISSIVE"})).withColumn("_hash", core_hash(F.col(event)))
+    """Adds ``rules``, the broken rules of the JSON in column ``event``, and ``misfit``.
+
+    Text that isn't a JSON object breaks SCHEMA alone; a member that the record
+    doesn't know, or whose value is of another kind, breaks it too (misfit is its path).
+    """
+    df = records.withColumn("e", F.from_json(event, SCHEMA, {"mode": "PERMISSIVE"})).withColumn("_hash", core_hash(F.col(event))).withColumn("misfit", structure(F.col(event)))
     df = df.withColumn("_pk", C.canonical(F.get(F.col("e.changes"), F.lit(0))["object"]["primary_key"])["text"])
     readable = F.coalesce(F.col(event).rlike(r"^\s*\{"), F.lit(False)) & F.col("e").isNotNull() & F.col("_hash").isNotNull()
-    return df.select(*records.columns, F.when(readable, broken_rules()).otherwise(F.array(F.lit("SCHEMA"))).alias("rules"))
+    odd = F.when(F.col("misfit").isNotNull(), F.array(F.lit("SCHEMA"))).otherwise(F.array().cast("array<string>"))
+    return df.select(*records.columns, F.when(readable, F.concat(odd, broken_rules())).otherwise(F.array(F.lit("SCHEMA"))).alias("rules"), "misfit")

@@ -100,3 +100,26 @@ def test_parts_are_valid_events(spark):
     wrong["transaction"]["part"] = 0
     wrong["evidence"]["event_hash"] = "sha256:" + sha(write({k: v for k, v in wrong.items() if k != "evidence"}))
     assert validate.validated(spark.createDataFrame([(json.dumps(wrong),)], "event string")).first()["rules"] == ["V3"]
+
+
+def test_structure(spark):
+    """Members the record doesn't know and values of another kind are refused, wherever they stand."""
+    good = {**plain(CASES[0]), "evidence": {"event_hash": "sha256:" + sha(write(plain(CASES[0]))), "prev_row_hash": None, "row_hash": None}}
+    assert validate.misfit(good, validate.MEMBERS) is None
+
+    def with_(path, value):
+        doc = json.loads(json.dumps(good))
+        *way, last = path
+        at = doc
+        for step in way:
+            at = at[step]
+        at[last] = value
+        return doc
+
+    cases = [(["x"], 1, "x"), (["source", "port"], 1, "source.port"), (["transaction", "statement_count"], "1", "transaction.statement_count"), (["transaction", "statement_count"], True, "transaction.statement_count"), (["offset", "gtid"], None, None),
+             (["offset", "binlog_pos"], 1.5, "offset.binlog_pos"), (["changes", 0, "field_changes", 0, "old"], [1], None), (["changes", 0, "field_changes", 0, "note"], 1, "changes[0].field_changes[0].note"), (["changes"], {}, "changes"), (["completeness", "gap_detected"], None, "completeness.gap_detected"), (["fidelity", "source_config", "z"], 1, None)]
+    for path, value, want in cases:
+        assert validate.misfit(with_(path, value), validate.MEMBERS) == want, path
+    rows = [(json.dumps(good),), (json.dumps(with_(["x"], 1)),), ("[]",), ("{",), (None,)]
+    got = validate.validated(spark.createDataFrame(rows, "event string")).collect()
+    assert got[0]["rules"] == [] and got[1]["rules"][0] == "SCHEMA" and got[1]["misfit"] == "x" and all(r["rules"] == ["SCHEMA"] for r in got[2:])
