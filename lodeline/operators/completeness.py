@@ -65,6 +65,18 @@ def lag_alarms(stream: DataFrame, threshold_ms: int = LAG_MS) -> DataFrame:
     return stream.where(lag > threshold_ms).withColumn("lag_ms", lag).withColumn("severity", F.when(lag > 3 * threshold_ms, "high").otherwise("medium"))
 
 
+def stall_alarms(live: DataFrame, now_ms: int, key: str = "db_id", stall_ms: int = STALL_MS) -> DataFrame:
+    """An alarm for each source without activity for longer than stall_ms, as ``liveness`` gives them: key, kind, silent_ms, severity (critical beyond five times of it)."""
+    silent = F.lit(now_ms) - F.col("last_activity_ms")
+    return live.where("liveness = 'stalled'").select(key, F.lit("SOURCE_STALLED").alias("kind"), silent.alias("silent_ms"), F.when(silent > 5 * stall_ms, "critical").otherwise("high").alias("severity"))
+
+
+def new_alarms(raised: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Alarms (db_id, signature, ...) whose signature wasn't raised before; append them to the table of known ones with ``sinks.put_new``."""
+    once = raised.dropDuplicates(["db_id", "signature"])
+    return once if known is None else once.join(known.select("db_id", "signature").distinct(), ["db_id", "signature"], "left_anti")
+
+
 def updates(runs: DataFrame, activity: DataFrame, now_ms: int) -> DataFrame:
     """Completeness record of each source: consumed set, gap flag, liveness."""
     flags = gtid.summary(runs, ["db_id", "key"]).groupBy("db_id").agg(F.bool_or("gap_detected").alias("gap_detected"))

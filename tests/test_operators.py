@@ -233,6 +233,13 @@ def test_liveness_and_handoff(spark):
     assert [(r["change_id"] // 70_000, r["type"]) for r in completeness.handoff_events(s).orderBy("change_id", "type").collect()] == [(0, "snapshot_start"), (2, "snapshot_complete"), (3, "streaming_resumed"), (5, "snapshot_complete"), (5, "streaming_resumed")]
 
 
+def test_stalls_and_new_alarms(spark):
+    live = spark.createDataFrame([("a", 900, "stalled"), ("b", 100, "stalled"), ("c", 990, "live")], "db_id string, last_activity_ms bigint, liveness string")
+    assert sorted((r["db_id"], r["severity"]) for r in completeness.stall_alarms(live, 1000, stall_ms=50).collect()) == [("a", "high"), ("b", "critical")]
+    raised = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x")], "db_id string, signature string")
+    assert completeness.new_alarms(raised, None).count() == 2 and [r["db_id"] for r in completeness.new_alarms(raised, raised.where("db_id = 'a'")).collect()] == ["b"]
+
+
 def test_attestation_never_healthy_without_proof(spark):
     right = {"log_bin": "on", "binlog_format": "row", "binlog_row_image": "full", "gtid_mode": "on", "binlog_expire_logs_seconds": "86400", "server_uuid": "u"}
     data = [("ok", "mysql", k.upper(), v) for k, v in right.items()]
@@ -321,7 +328,14 @@ def test_sinks(spark, tmp_path):
     assert [r["key"] for r in found.collect()] == ["a"] and sorted(r["key"] for r in lost.collect()) == ["../a", "z"]
     with pytest.raises(ValueError):
         objects.package('{"db_id": "d"}')
+    whole = {"package_version": "v", "package_id": "p", "db_id": "d", "purpose": "x", "created_at": "t", "created_by": "me", "object_refs": [{"object_id": "o", "object_type": "cce", "worm_object_key": "k", "event_hash": "h"}], "segment_manifests": ["{}"], "anchor_records": [], "public_keys": []}
+    assert objects.package(json.dumps(whole)) == whole
+    for bad in ({"extra": 1}, {"segment_manifests": ["x"]}, {"segment_manifests": [{}]}, {"object_refs": [{"object_id": "o"}]}, {"created_by": None}, {"export_signature": "s"}):
+        with pytest.raises(ValueError):
+            objects.package(json.dumps({**whole, **bad}))
     assert objects.generated_changes(spark, 50).count() == 50
+    drill = objects.drill(spark, 10).collect()
+    assert len({r["label"] for r in drill}) == 9 and sum(r["label"] == "load" for r in drill) == 10 and len({r["change_id"] for r in drill}) == len(drill)
     d = spark.createDataFrame([(True, 5, "delete"), (False, 15, "delete"), (False, 5, "delete"), (False, 5, "extend")], "held boolean, until int, act string")
     assert [r[0] for r in d.select(sinks.retention_decision(F.col("held"), F.col("until"), F.lit(10), F.col("act"), F.lit(4))).collect()] == ["DENY_HOLD", "DENY_RETENTION", "ALLOW", "DENY_BACKWARD"]
 

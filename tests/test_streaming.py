@@ -1,9 +1,11 @@
 """A stream taken in micro-batches gives what one batch gives."""
 
+import hashlib
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from lodeline.functions import canonical as C
 from lodeline.operators import segments
 from lodeline.streaming import audit
 
@@ -53,3 +55,32 @@ def test_upsert_sink(spark, tmp_path):
     drain(audit.table_stream(spark, path), tmp_path, "upsert", sink=audit.upsert_sink(str(tmp_path / "out"), ["id"], "n"))
     last = sorted(p.name for p in (tmp_path / "out").iterdir())[-1]
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / last)).select("id", F.col("n")).collect())) == [("a", 3), ("b", 1), ("c", 1)]
+
+
+def test_guard_chain_and_consumed_set_keep_state(spark, tmp_path):
+    rows = [("e1", 1, "h1", "d"), ("e2", 2, "h2", "d"), ("e1", 3, "h1", "d"), ("e1", 4, "x", "d"), ("e3", 5, "h3", "f"), ("e2", 6, "h2", "d")]
+    schema = "envelope_id string, arrival bigint, event_hash string, db_id string"
+    path = folder(spark, tmp_path, [rows[:2], rows[2:4], rows[4:]], schema)
+    got = {r["arrival"]: r["outcome"] for r in drain(audit.guarded(audit.table_stream(spark, path)), tmp_path, "guard").collect()}
+    assert got == {1: "EMIT", 2: "EMIT", 3: "DUPLICATE", 4: "INTEGRITY_VIOLATION", 5: "EMIT", 6: "DUPLICATE"}
+    links = {r["arrival"]: (r["prev_row_hash"], r["row_hash"]) for r in drain(audit.chained(audit.table_stream(spark, path)), tmp_path, "chain").collect()}
+    before = {}
+    for _, n, h, db in rows:
+        previous = before.get(db, C.GENESIS)
+        before[db] = "sha256:" + hashlib.sha256((previous + h).encode()).hexdigest()
+        assert links[n] == (previous, before[db])
+
+
+def test_consumed_set(spark, tmp_path):
+    path = folder(spark, tmp_path, [[("d", "k", 1, 3), ("d", "k", 7, 7)], [("d", "k", 4, 5)], [("d", "k", 6, 6), ("d", "j", 9, 2)]], "db_id string, key string, start bigint, end bigint")
+    got = drain(audit.consumed(audit.table_stream(spark, path)), tmp_path, "consumed", mode="update").collect()
+    assert [(r["runs"], r["high_watermark"], r["gap_detected"]) for r in got] == [("1-3:7", 7, True), ("1-5:7", 7, True), ("1-7", 7, False)]
+
+
+def test_append_sink_replaces_a_replayed_batch(spark, tmp_path):
+    sink = audit.append_sink(str(tmp_path / "out"))
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    for _ in range(2):
+        sink(df, 0)
+    sink(df.where("n = 1"), 1)
+    assert spark.read.parquet(str(tmp_path / "out")).groupBy("batch").count().orderBy("batch").collect() == [(0, 2), (1, 1)]
