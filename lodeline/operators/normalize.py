@@ -129,6 +129,11 @@ def snapshot_identity(changes: DataFrame) -> DataFrame:
     return df.withColumn("tx_id", F.when(F.col("epoch_id").isNull(), F.col("gtid")).otherwise(C.snapshot_tx_id(F.col("epoch_id"), F.col("schema_name"), F.col("object_name"), F.col("pk_text"))))
 
 
+def gtid_islands(changes: DataFrame, arrival: str = "change_id") -> DataFrame:
+    """Adds ``island`` by GTID where there is one. Best done before the items are built, as they are larger than what they are built of."""
+    return islands(changes.withColumn("_key", F.when(F.col("gtid") != "", F.col("gtid"))), arrival=arrival, key="_key").drop("_key")
+
+
 def transactions(items: DataFrame, arrival: str = "change_id", max_changes: int = MAX_CHANGES) -> DataFrame:
     """One row per transaction and part: metadata of its first change and its items in order of arrival.
 
@@ -137,9 +142,7 @@ def transactions(items: DataFrame, arrival: str = "change_id", max_changes: int
     errors (change_id, error) are the part's changes without a canonical form;
     refused says whether any part of the transaction has one.
     """
-    # the GTID is the key where there is one; it is a plain column, so looking back never computes an image
-    keyed = items.withColumn("_key", F.when(F.col("gtid") != "", F.col("gtid")))
-    runs = islands(keyed, arrival=arrival, key="_key").drop("_key")
+    runs = items if "island" in items.columns else gtid_islands(items, arrival)
     order = Window.partitionBy("db_id", "island").orderBy(arrival)
     runs = runs.withColumn("_n", F.row_number().over(order) - 1).withColumn("_part", F.floor(F.col("_n") / max_changes).cast("int"))
     first = ["engine", "server_uuid", "schema_name", "engine_version", "tx_id", "epoch_id", "gtid", "binlog_file", "binlog_pos", "snapshot_phase", "commit_iso", "ingest_iso"]
@@ -224,7 +227,7 @@ def prepared(changes: DataFrame, sources: DataFrame, names: list[str] | None = N
     df = changes.join(dimension, "db_id", "left").select(
         "change_id", "db_id", "engine", F.coalesce("server_uuid", F.lit("")).alias("server_uuid"), "schema_name", "object_name",
         F.col("primary_key").alias("pk"), "operation", "before_image", "after_image", "ddl_statement", "ddl_effect", "gtid", "binlog_file", "binlog_pos", "snapshot_phase",
-        C.iso_ms(F.col("commit_ts")).alias("commit_iso"), C.iso_ms(F.col("ingest_ts")).alias("ingest_iso"), F.lit(None).cast("string").alias("engine_version"),
+        C.iso_ms(F.col("commit_ts")).alias("commit_iso"), C.iso_ms(F.col("ingest_ts")).alias("ingest_iso"), F.lit(None).cast("string").alias("engine_version"), *(["island"] if "island" in changes.columns else []),
     )
     return snapshot_identity(change_items(df, names))
 

@@ -141,11 +141,16 @@ def tx_group(spark: SparkSession, root: str) -> DataFrame:
     return normalize.islands(changes, key="gtid").groupBy("db_id", "island").agg(F.first("gtid", ignorenulls=True).alias("gtid"), F.count(F.lit(1)).alias("n_changes"))
 
 
+def _transactions(spark: SparkSession, root: str) -> DataFrame:
+    columns = ["change_id", "db_id", "engine", "schema_name", "object_name", "primary_key", "operation", "before_image", "after_image", "ddl_statement", "ddl_effect", "gtid", "binlog_file", "binlog_pos", "snapshot_phase", "commit_ts", "ingest_ts"]
+    changes = read_table(spark, root, "normalized_change").select(*columns).withColumn("object_name", plain_object(F.col("object_name")))
+    return normalize.transactions(normalize.prepared(normalize.gtid_islands(changes), read_table(spark, root, "source_db")))
+
+
 @query()
 def canonical_events(spark: SparkSession, root: str) -> DataFrame:
     """Canonical events of the whole change feed with the guard's outcome, and its refused transactions (DEAD_LETTER, with reason and change ids)."""
-    changes = read_table(spark, root, "normalized_change").withColumn("object_name", plain_object(F.col("object_name")))
-    built = normalize.attempted(normalize.transactions(normalize.prepared(changes, read_table(spark, root, "source_db"))))
+    built = normalize.attempted(_transactions(spark, root))
     # the guard reads the events twice; their ids and hashes are computed once
     slim = cut_lineage(built.select("db_id", "island", "envelope_id", "schema_version", "statement_count", "event_hash", "errors", "refused"))
     kept = normalize.guarded(slim.where("not refused")).select("db_id", "island", "envelope_id", "schema_version", "statement_count", "event_hash", "outcome")
@@ -164,8 +169,7 @@ runs as (select *, last_value(o ignore nulls) over (partition by db_id order by
 select db_id, island, count(*) as statement_count, string_agg(case when broken then change_id end, ',' order by change_id) as change_ids from runs group by 1, 2 having bool_or(broken)""")
 def dlq_routed(spark: SparkSession, root: str) -> DataFrame:
     """The transactions the normaliser refuses, whole, with the changes that have no canonical form."""
-    changes = read_table(spark, root, "normalized_change").withColumn("object_name", plain_object(F.col("object_name")))
-    dead = normalize.dead_letters(normalize.transactions(normalize.prepared(changes, read_table(spark, root, "source_db"))))
+    dead = normalize.dead_letters(_transactions(spark, root))
     return dead.select("db_id", "island", "statement_count", F.array_join(F.transform("change_ids", lambda x: x.cast("string")), ",").alias("change_ids"))
 
 
