@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from lodeline.functions import ed25519
 from lodeline.functions.canonical import HASH_TOKEN, canonical_text
 
+# The members of tokens and the reason codes below, as issued tokens and reports hold them.
 STAMP_TAG, HEAD_TAG = "time-stamp-v1", "signed-tree-head-v1"
 
 _HASH = re.compile(HASH_TOKEN)

@@ -13,6 +13,7 @@ RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$
 #: What is signed is this tag, a colon and the canonical payload; a verifier of other records passes their tag.
 DOMAIN = "anchor-payload-v1"
 
+#: The members of the payload; so are the statuses, answers and reasons in ``outcome``.
 PAYLOAD = ("db_id", "segment_id", "segment_sequence", "segment_hash", "last_row_hash", "head_count", "created_at")
 
 

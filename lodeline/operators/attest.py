@@ -29,6 +29,9 @@ def config_rows(variables: DataFrame) -> DataFrame:
     )
 
 
+# The notes' texts in ``findings``; they end up in hashed events.
+
+
 def findings(min_retention_s: int = MIN_RETENTION_S) -> Column:
     """Array of struct(rank, severity, kind, note) of what is wrong, in the order the settings are looked at.
 

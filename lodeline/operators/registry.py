@@ -13,7 +13,7 @@ from lodeline.functions import canonical as C
 from lodeline.operators.ordered import fold
 
 #: Algorithms of keys.
-ALGORITHMS = ("ed25519", "ecdsa-p256")
+ALGORITHMS = ("ecdsa-p256", "ecdsa-p384", "ed25519", "rsa-pss-3072")
 
 
 def decided(steps: DataFrame) -> DataFrame:

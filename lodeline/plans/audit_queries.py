@@ -346,6 +346,7 @@ def _configs(spark: SparkSession, root: str) -> DataFrame:
     return attest.config_rows(d.select("db_id", "engine", rows).select("db_id", "engine", "x.*"))
 
 
+# The notes' texts in the two queries below are those of hashed events.
 @query(f"""with k as (select *, {_READ} as k from source_db),
 f as (select db_id, list_filter([
     case when k % 11 = 0 then 'log_bin is OFF: binary logging disabled — no change capture' end, case when k % 5 = 0 then 'binlog_format is STATEMENT (expected ROW): field-level capture lost' end,
