@@ -27,6 +27,15 @@ def payload_problem() -> Column:
     )
 
 
+def payload_members(text: Column) -> Column:
+    """Why payload text hasn't exactly the payload's members (missing:name or unknown:name, the first by name); null if it has, ``unreadable`` for what isn't an object."""
+    names = F.json_object_keys(text)
+    known = F.array(*[F.lit(n) for n in sorted(PAYLOAD)])
+    first = lambda kind, left: F.concat(F.lit(f"{kind}:"), F.array_min(left))
+    missing, unknown = F.array_except(known, names), F.array_except(names, known)
+    return F.when(names.isNull(), "unreadable").when(F.size(missing) > 0, first("missing", missing)).when(F.size(unknown) > 0, first("unknown", unknown))
+
+
 def payload_text() -> Column:
     number = ("segment_sequence", "head_count")
     return C.obj({n: C.token(F.col(n), "number" if n in number else "string") for n in PAYLOAD})
@@ -44,10 +53,13 @@ def outcome(answers: DataFrame) -> DataFrame:
     """Adds status (anchored, pending, failed) and why.
 
     answers: provider_type, answer (anchored, outage, timeout, ...), token,
-    answered_hash, payload_hash, verified. Anchored needs a token, the requested
-    hash and a verified token; outage and timeout are pending; all else failed.
+    answered_hash, payload_hash, verified. Anchored needs a token of the provider's
+    form (base64 of a time stamp, an inclusion proof's members), the requested hash and a verified token; outage and timeout are pending; all else failed.
     """
-    formed = F.coalesce(F.length("token") > 0, F.lit(False))
+    member = lambda name: F.get_json_object("token", f"$.{name}")
+    log = (F.length(member("log_id")) > 0) & member("leaf_index").rlike(r"^\d+$") & member("inclusion_proof").startswith("[") & (F.length(member("signed_tree_head")) > 0)
+    shape = F.when(F.col("provider_type") == "rfc3161", F.col("token").rlike(r"^[A-Za-z0-9+/]+=*$")).when(F.col("provider_type") == "transparency_log", log).otherwise(F.length("token") > 0)
+    formed = F.coalesce(shape, F.lit(False))
     bound = F.col("answered_hash").eqNullSafe(F.col("payload_hash"))
     known = F.col("provider_type").isin("rfc3161", "transparency_log", "dual_custodian")
     why = (

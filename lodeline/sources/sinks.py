@@ -13,7 +13,12 @@ class AlreadyThere(ValueError):
 
 
 def put_new(objects: DataFrame, path: str, key: str = "key") -> None:
-    """Appends objects whose keys aren't there; ``AlreadyThere`` and nothing written if one is, or if keys repeat."""
+    """Appends objects whose keys aren't there; ``AlreadyThere`` and nothing written if one is, or if keys repeat.
+
+    The input is read for each of the two checks and for writing, and the checks
+    and the write aren't one step: of several writers at one path, one must be let
+    in at a time (a store that refuses to overwrite does that by itself).
+    """
     spark = objects.sparkSession
     repeated = objects.groupBy(key).count().where("count > 1").limit(1).count()
     try:

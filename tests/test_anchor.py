@@ -1,5 +1,7 @@
 """Heads, answers, records and the audit trail's state."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from lodeline.functions import canonical as C
@@ -18,6 +20,21 @@ def test_payloads(spark):
     assert C.canonical_text(text) == text
 
 
+def test_payload_members(spark):
+    names = sorted(anchor.PAYLOAD)
+    whole = {n: 1 for n in names}
+    texts = [whole, {**whole, "x": 1}, {n: 1 for n in names[1:]}, {}, [1], None]
+    df = spark.createDataFrame([(json.dumps(t) if t is not None else None,) for t in texts] + [("{",)], "t string")
+    assert [r[0] for r in df.select(anchor.payload_members(F.col("t"))).collect()] == [None, "unknown:x", f"missing:{names[0]}", f"missing:{names[0]}", "unreadable", "unreadable", "unreadable"]
+
+
+def test_forms_of_tokens(spark):
+    log = {"log_id": "l", "leaf_index": 0, "inclusion_proof": [], "signed_tree_head": "x"}
+    rows = [("rfc3161", "%%"), ("rfc3161", "YQ=="), ("transparency_log", json.dumps(log)), ("transparency_log", json.dumps({**log, "leaf_index": "a"})), ("transparency_log", "YQ=="), ("dual_custodian", "any"), ("dual_custodian", None)]
+    df = spark.createDataFrame([(k, "anchored", t, H, H, True) for k, t in rows], "provider_type string, answer string, token string, answered_hash string, payload_hash string, verified boolean")
+    assert [r["why"] for r in anchor.outcome(df).collect()] == ["malformed", None, None, "malformed", "malformed", None, "malformed"]
+
+
 def test_outcomes_and_records(spark):
     rows = [
         ("rfc3161", "anchored", "t", H, H, True, "1"), ("rfc3161", "anchored", "t2", H, H, True, "2"), ("rfc3161", "outage", None, None, H, None, "1"), ("rfc3161", "timeout", None, None, H, None, "1"), ("rfc3161", "anchored", "", H, H, True, "1"),
