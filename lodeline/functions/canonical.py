@@ -49,6 +49,12 @@ def json_string(value: Column) -> Column:
     return F.concat(F.lit('"'), plain, F.lit('"'))
 
 
+def json_text(value: Column) -> Column:
+    """``json_string`` of long text full of quotes, as is JSON in JSON: two passes over it, not one for each character that may need an escape."""
+    text = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.when(value.rlike(r"[\x00-\x1f]"), json_string(value)).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+
 def token(value: Column, kind: str = "string") -> Column:
     """A JSON token of a column; null becomes ``null``. kind: string, number, boolean or json (already a token)."""
     text = json_string(value) if kind == "string" else value.cast("string")

@@ -40,13 +40,17 @@ stream as (
 
 def sealed(spark: SparkSession, root: str) -> DataFrame:
     """The stream as canonical records with id and hash, shaped for segments."""
-    s = stream(spark, root)
+    return shaped(stream(spark, root))
+
+
+def shaped(s: DataFrame, *kept: str) -> DataFrame:
+    """``sealed`` of a stream that is there already, with the columns in kept."""
     core = C.obj({"db_id": C.token(F.col("db_id")), "event_id": F.col("event_id").cast("string"), "event_type": C.token(F.col("event_type")), "gtid": C.token(F.col("gtid")), "ts": C.token(C.iso_ms(F.col("ts"))), "user_id": F.col("user_id").cast("string"), "value": C.token(F.col("value_text"))})
     return s.select(
         "db_id", F.col("event_id").alias("arrival"), F.unix_millis("ts").alias("at_ms"), C.envelope_id(F.col("db_id"), F.col("gtid"), F.lit(SERVER)).alias("envelope_id"), core.alias("core"), C.sha(core).alias("event_hash"),
         C.iso_ms(F.col("ts")).alias("commit_iso"), "gtid", F.lit(None).cast("string").alias("binlog_file"), F.lit(None).cast("bigint").alias("binlog_pos"), F.lit(None).cast("string").alias("epoch_id"),
         F.lit("events").alias("schema_name"), F.col("event_type").alias("object_name"), F.sha2(F.col("event_id").cast("string"), 256).alias("key_hash"),
-        F.when(F.col("event_type") == "error", "DEGRADED").otherwise("HEALTHY").alias("state"), F.when(F.col("event_type") == "error", "error event").alias("reason"), (F.col("seq") % 97 == 0).alias("gap_detected"), F.col("gtid").alias("offset_key"),
+        F.when(F.col("event_type") == "error", "DEGRADED").otherwise("HEALTHY").alias("state"), F.when(F.col("event_type") == "error", "error event").alias("reason"), (F.col("seq") % 97 == 0).alias("gap_detected"), F.col("gtid").alias("offset_key"), *kept,
     )
 
 

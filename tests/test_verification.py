@@ -131,6 +131,35 @@ def test_exports(spark):
     assert spark.range(1).select(export.package_key(F.lit("a"), F.lit("p"))).first()[0] == "exports/a/p.json"
 
 
+def test_package_hashes_without_bodies(spark, monkeypatch):
+    objects = chained(spark, 60)
+    m = segments.heads(segments.manifests(objects))
+    selected = objects.where("arrival % 4 >= 2 or arrival > 55").select("db_id", "envelope_id")
+    records = audit_queries._records(m)
+    rows = [("a", "p1", "case", AT, "me"), ("a", "p3", 'é"\\\n\x01' * 50, AT, None), ("b", "p2", "case", AT, "me"), ("c", "p4", "case", AT, "me")]
+    described = spark.createDataFrame(rows, "db_id string, package_id string, purpose string, created_at string, created_by string")
+    keys = audit_queries._keys(spark, "key-1", "key-x")
+    monkeypatch.setattr(export, "PIECE", 37)
+    for anchored, n in (("db_id = 'b'", 1), ("true", 3), ("false", 0)):
+        some = records.where(anchored)
+        want = {(r["db_id"], r["package_id"]): r["package_hash"] for r in export.packages(selected, m, some, keys, described).collect()}
+        got = {(r["db_id"], r["package_id"]): r["package_hash"] for r in export.package_hashes(selected, m, some, keys, described).collect()}
+        assert got == want and len(got) == n
+
+
+def test_seals_build_no_body(spark, monkeypatch):
+    """A package of some hundred thousand objects is no row that an executor can hold."""
+    monkeypatch.setattr(export, "packages", None)
+    got = {(r["package_id"], r["problem"]) for r in audit_queries.export_seals(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {("package-db-1", "package_hash"), ("package-db-2", "unknown"), ("package-db-3", "signature")}
+
+
+def test_json_in_json(spark):
+    texts = ['{"a":"b\\\\"}', "", "é\n\x01\x1f\"", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(C.json_text(F.col("t"))).collect()] == [t if t is None else json.dumps(t, ensure_ascii=False) for t in texts]
+
+
 def test_registry_and_trust_file(spark):
     step = lambda n, kind, key, created=0, revoked=None, asked="x", approved="y", registry="sign": (registry, n, kind, key, "ed25519", "PUB" + str(key), created, revoked, asked, approved)
     steps = [
